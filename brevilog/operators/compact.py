@@ -15,7 +15,7 @@ from ..functions.tokens import savings_pct, tokens_from_bytes, tokens_saved
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
 from . import intents
-from .blocks import block_of_line, block_of_ord, carries, per_block
+from .blocks import block_of_line, block_of_ord, carries, div, per_block  # noqa: F401
 from .classify import LINEAR, PASSTHROUGH, TABULAR, TREE, classify_runs
 
 # Marks written into the output.
@@ -23,6 +23,7 @@ LAST_TOKEN = r"(?U)(?<!\S)\S++(?=\s*+\z)"
 INDENT = r"^[ \t│├└─]*"
 ONE_COLUMN = " ─"
 RAW = "raw"
+FOLD_ORD = 2 * (1 + DEFAULTS.table_head) + 1
 
 
 def repeat_suffix(count: Column) -> Column:
@@ -326,3 +327,14 @@ def report(done: Compacted) -> DataFrame:
         .withColumn("tokens_saved", tokens_saved(tin, tout))
         .withColumn("savings_pct", savings_pct(tin, tout))
     )
+
+
+def tty_bypass(runs: DataFrame) -> DataFrame:
+    """Interactive runs are never compacted: tokens out are the tokens of the raw bytes."""
+    tty, raw = F.col("is_tty"), tokens_from_bytes(F.col("raw_bytes"))
+    return runs.withColumns({
+        "tokens_in": F.when(tty, raw).otherwise(F.col("tokens_in")),
+        "tokens_out": F.when(tty, raw).otherwise(F.col("tokens_out")),
+        "savings_pct": F.when(tty, F.lit(0.0)).otherwise(F.col("savings_pct")),
+        "archetype": F.when(tty, PASSTHROUGH).otherwise(F.col("archetype")),
+    })
