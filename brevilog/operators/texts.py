@@ -165,15 +165,20 @@ def compact_texts(
     intent: Column | None = None,
     p: Params = DEFAULTS,
     count_tokens: Callable[[Column], Column] = approx_tokens,
+    archetype: Column | None = None,
 ) -> DataFrame:
-    """Add ``archetype``, ``compacted`` and the token columns to a table of texts."""
+    """Add ``archetype``, ``compacted`` and the token columns to a table of texts.
+
+    Where ``archetype`` is given and not null it replaces the classifier's choice.
+    """
     given = df.columns
     short = octets(F.col(text)) < p.short_bytes
     df = df.withColumn("_lines", F.when(~short, split_lines(F.col(text))))
     df = df.withColumn("_sample", F.slice("_lines", 1, p.sample_lines))
     df = with_scores(df, "_sample", p)
-    df = df.withColumn("archetype", F.when(short, PASSTHROUGH).otherwise(archetype_of(p)))
-    kind, n = F.col("archetype"), F.size("_lines")
+    chosen = archetype_of(p) if archetype is None else F.coalesce(archetype, archetype_of(p))
+    df = df.withColumn("_archetype", F.when(short, PASSTHROUGH).otherwise(chosen))
+    kind, n = F.col("_archetype"), F.size("_lines")
     whole = ((kind == TABULAR) & (n <= 1 + p.table_head + p.table_tail)) | (
         (kind == LINEAR) & (n <= p.log_tail))
     df = df.withColumn("_route", F.when(~short & ~whole, kind))
@@ -187,7 +192,7 @@ def compact_texts(
         df = _bias(df.withColumn("_kind", F.when(~short, intent_kind(intent))), p)
     tin, tout = F.col("tokens_in"), F.col("tokens_out")
     return (
-        df.select(*given, "archetype", "compacted")
+        df.select(*given, F.col("_archetype").alias("archetype"), "compacted")
         .withColumn("tokens_in", count_tokens(F.col(text)))
         .withColumn("tokens_out", count_tokens(F.col("compacted")))
         .withColumn("tokens_saved", tokens_saved(tin, tout))

@@ -15,8 +15,12 @@ from ..operators import intents as I
 from ..operators import lines as N
 from ..operators import mining as M
 from ..operators import texts as W
+from ..session import scratch_path
 from ..sources import reports
 from ..sources.journal import new_runs
+from ..streaming import chunks as live_chunks
+from ..streaming import live
+from ..streaming import windows as S
 from . import journal as J
 from . import oracle as O
 from . import views as V
@@ -647,16 +651,12 @@ WINDOWS5 = f"""{O.LINES_DOC}, glue AS (SELECT run_id, (line_no - 1) // 5 AS sec,
 
 
 def _section_sql(glue: str) -> str:
-    """Compaction of sections: (document, section) pairs become runs of their own."""
-    again = O.texts_compacted("texts2 AS (SELECT run_id || '/' || sec AS doc_id, text FROM glue WHERE text <> '')")
-    for name in ("pieces", "trimmed", "lines"):
-        again = again.replace(f"{name} AS", f"{name}2 AS").replace(f"FROM {name} ", f"FROM {name}2 ")
-        again = again.replace(f"FROM {name})", f"FROM {name}2)")
-    again = again.replace("FROM texts)", "FROM texts2)").replace("FROM texts x", "FROM texts2 x")
-    return f"WITH {glue}, {again}"
+    """Compaction of sections: each (document, section) pair is a run of its own."""
+    texts = "texts AS (SELECT run_id || '/' || sec AS doc_id, text FROM glue WHERE text <> '')"
+    return f"WITH {glue}, sections AS (WITH {O.texts_compacted(texts)} SELECT * FROM done)"
 
 
-DISTILLED = f"SELECT regexp_extract(run_id, '^[^/]+') AS doc_id, archetype, text, compacted, {O.TOKEN_COLUMNS} FROM done"
+DISTILLED = f"SELECT regexp_extract(run_id, '^[^/]+') AS doc_id, archetype, text, compacted, {O.TOKEN_COLUMNS} FROM sections"
 DISTILL_TOTALS = f"""SELECT doc_id, count(*) AS sections, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
   CAST(sum(tokens_out) AS BIGINT) AS tokens_out, greatest(CAST(sum(tokens_in) - sum(tokens_out) AS BIGINT), 0) AS tokens_saved,
   {O.pct('sum(tokens_in)', 'sum(tokens_out)')} AS savings_pct FROM ({DISTILLED}) GROUP BY doc_id"""
@@ -751,3 +751,108 @@ def _template_query(name: str, view: str, top: int | None):
 _template_query("k17_templates", "log", None)
 _template_query("k17b_templates_doc", "doc", None)
 _template_query("k17c_top_templates", "diff", 20)
+
+
+# --- streams ----------------------------------------------------------------------
+
+def _numbered_with_end(spark, sf) -> DataFrame:
+    """Log lines with run ids as text and the last line of each run marked."""
+    lines = V.lines_log(spark, sf)
+    lasts = lines.groupBy("run_id").agg(F.max("line_no").alias("line_no")).withColumn("is_last", F.lit(True))
+    return lines.join(lasts, ["run_id", "line_no"], "left").select(
+        F.col("run_id").cast("string").alias("run_id"), "line_no", "line",
+        F.coalesce("is_last", F.lit(False)).alias("is_last"))
+
+
+def _stored(df: DataFrame, name: str, files: int) -> tuple[str, DataFrame]:
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(files).write.parquet(path)
+    return path, df.sparkSession.read.parquet(path)
+
+
+def _windows_sql(size: int) -> str:
+    key = "CAST(run_id AS VARCHAR) || '/' || ((line_no - 1) // {n})".format(n=size)
+    texts = f"texts AS (SELECT {key} AS doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n_lines FROM lines GROUP BY 1)"
+    return f"""WITH {O.LINES_LOG}, wins AS ({texts.split(' AS (', 1)[1][:-1]}),
+      done2 AS (WITH {O.texts_compacted("texts AS (SELECT doc_id, text FROM wins)")} SELECT * FROM done),
+      x AS (SELECT string_split(run_id, '/') AS k, w.n_lines, archetype, compacted, d.text FROM done2 d JOIN wins w ON w.doc_id = d.run_id)
+    SELECT k[1] AS run_id, CAST(k[2] AS BIGINT) AS window_no, n_lines,
+      CASE WHEN k[2] = '0' AND n_lines < 20 THEN NULL ELSE archetype END AS archetype,
+      CASE WHEN k[2] = '0' AND n_lines < 20 THEN text ELSE compacted END AS compacted FROM x"""
+
+
+WINDOW = 25
+
+
+def _window_columns(df: DataFrame) -> DataFrame:
+    return df.select("run_id", "window_no", F.col("n_lines").cast("bigint").alias("n_lines"), "archetype", "compacted")
+
+
+@register("st01_batch_windows", _windows_sql(WINDOW))
+def st01_batch(spark, sf):
+    lines = V.lines_log(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
+    return _window_columns(S.compact_windows(S.batch_windows(lines, window=WINDOW)))
+
+
+@register("st01_stream_windows", _windows_sql(WINDOW))
+def st01_stream(spark, sf):
+    path, stored = _stored(_numbered_with_end(spark, sf), "lines", 3)
+    out = scratch_path(spark, "windows")
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    live.start_window_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
+    return _window_columns(spark.read.schema(
+        "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(out))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    """Log text in chunks that begin ten bytes into one line and end ten bytes into the next."""
+    lines = _numbered_with_end(spark, sf)
+    head = lines.select("run_id", (F.col("line_no") - 1).alias("chunk_no"), F.lit(1).alias("part"),
+                        F.left("line", F.lit(10)).alias("s"), F.lit(False).alias("is_last"))
+    rest = lines.select("run_id", F.col("line_no").alias("chunk_no"), F.lit(0).alias("part"),
+                        F.concat(F.substring("line", 11, 1_000_000), F.lit("\n")).alias("s"), "is_last")
+    return head.unionByName(rest).groupBy("run_id", "chunk_no").agg(
+        F.sort_array(F.collect_list(F.struct("part", "s"))).alias("ps"), F.max("is_last").alias("is_last"),
+    ).select("run_id", "chunk_no",
+             F.array_join(F.transform("ps", lambda x: x["s"]), "").cast("binary").alias("data"), "is_last")
+
+
+@register("st08_chunk_lines", f"WITH {O.LINES_LOG} SELECT CAST(run_id AS VARCHAR) AS run_id, line_no, line FROM lines")
+def st08_lines(spark, sf):
+    return live_chunks.lines_of_chunks(_chunks(spark, sf))
+
+
+@register("st08b_chunk_stream", _windows_sql(WINDOW))
+def st08_stream(spark, sf):
+    path = scratch_path(spark, "chunks")
+    # Three files in chunk order, as a live source would deliver them.
+    bounds = F.when(F.col("chunk_no") < 11, 0).when(F.col("chunk_no") < 47, 1).otherwise(2)
+    source = _chunks(spark, sf).withColumn("part", bounds).persist()
+    for part in range(3):
+        source.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    source.unpersist()
+    schema = spark.read.parquet(path).schema
+    out = scratch_path(spark, "chunk-windows")
+    stream = live.read_stream(spark, path, schema, files_per_batch=1)
+    live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
+    return _window_columns(spark.read.schema(
+        "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(f"{out}/windows"))
+
+
+@register("st06_raw_totals", f"WITH {O.LINES_LOG} SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(sum(strlen(line)) + count(*) AS BIGINT) AS raw_bytes FROM lines GROUP BY run_id")
+def st06(spark, sf):
+    path, stored = _stored(_chunks(spark, sf), "raw-chunks", 2)
+    out = scratch_path(spark, "raw")
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    live.start_raw_sink(stream, out, f"{out}-checkpoint", once=True).awaitTermination()
+    return live.raw_totals(spark.read.schema(stored.schema).parquet(out)).select("run_id", "raw_bytes")
+
+
+@register("st09_live_daily", f"""WITH {O.RUNS} SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, count(*) AS runs,
+  CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM runs GROUP BY 1""")
+def st09(spark, sf):
+    schema = V.table(spark, sf, "events").schema
+    out = scratch_path(spark, "daily")
+    events = live.read_stream(spark, sf, schema, glob="events.parquet")
+    live.start_live_table(live.live_daily(V.runs_of(events)), out, f"{out}-checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(out).withColumn("day", F.col("day").cast("string"))

@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journal: one run per event."""
-    e = table(spark, sf_dir, "events")
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(e: DataFrame) -> DataFrame:
+    """Journal: one run per event, for a table or a stream of events."""
     whole = F.floor("value").cast("bigint")
     tokens_in = F.lit(40) + 7 * F.regexp_extract("props", "[0-9]+", 0).cast("bigint") + whole
     tokens_out = F.lit(20) + (F.col("event_id") * 37) % 200
