@@ -44,10 +44,11 @@ def raw_totals(chunks: DataFrame) -> DataFrame:
 
 
 def start_window_compaction(
-    lines: DataFrame, out: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None, once: bool = False
+    lines: DataFrame, out: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None,
+    once: bool = False, expiry_ms: int = 3_600_000,
 ) -> StreamingQuery:
     """Compacted windows of a stream of numbered lines, as Parquet."""
-    done = compact_windows(stream_windows(lines, p, window), p)
+    done = compact_windows(stream_windows(lines, p, window, None if once else expiry_ms), p)
     return _start(done.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 

@@ -21,7 +21,6 @@ from ..params import DEFAULTS, Params
 
 WINDOW_SCHEMA = "run_id string, window_no bigint, n_lines int, text string"
 STATE_SCHEMA = "nos array<bigint>, lines array<string>, expected int, done boolean"
-HOUR_MS = 3_600_000
 
 
 def window_of(lines: DataFrame, window: int) -> DataFrame:
@@ -70,13 +69,15 @@ def batch_windows(lines: DataFrame, p: Params = DEFAULTS, window: int | None = N
 
 
 def stream_windows(
-    lines: DataFrame, p: Params = DEFAULTS, window: int | None = None, expiry_ms: int = HOUR_MS
+    lines: DataFrame, p: Params = DEFAULTS, window: int | None = None, expiry_ms: int | None = None
 ) -> DataFrame:
     """Finished windows of a stream of ``(run_id, line_no, line, is_last)``.
 
     A window is finished when it is full, when the last line of the run is known and all
     lines up to it are there, or when nothing came for ``expiry_ms``. A line that arrives
-    twice counts once.
+    twice counts once. With an expiry the marks of finished windows are dropped as well,
+    so a stream that never ends should set one; a run over what is available now must
+    not, since timeouts make Spark schedule batches without end.
     """
     size = max(window or p.window_lines, p.window_min_lines)
 
@@ -104,7 +105,9 @@ def stream_windows(
         done = done or bool(finished)
         order = [] if done else sorted(held)
         state.update((order, [held[no] for no in order], expected, done))
-        state.setTimeoutDuration(expiry_ms)
+        if expiry_ms:
+            state.setTimeoutDuration(expiry_ms)
 
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expiry_ms else GroupStateTimeout.NoTimeout
     return window_of(lines, size).groupBy("run_id", "window_no").applyInPandasWithState(
-        collect, WINDOW_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        collect, WINDOW_SCHEMA, STATE_SCHEMA, "append", timeout)
