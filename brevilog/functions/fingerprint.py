@@ -36,14 +36,41 @@ def _placeholder(hit: Column) -> Column:
     )
 
 
-def fingerprint(line: Column) -> Column:
-    """Fingerprint of one line, without a UDF.
+# Every token is set between two control characters; the marked pieces are then named one
+# shape at a time, most telling first.
+OPEN, CLOSE = "\x01", "\x02"
+MARKED = "(?U)(" + "|".join(TOKEN_SHAPES) + ")"
+NAMING = [
+    (r"\x01(?:/|[A-Za-z]:\\)[^\x02]*+\x02", "<PATH>"),
+    (r"\x010x[^\x02]*+\x02", "<HEX>"),
+    (r"\x01....-[^\x02]*+\x02", "<ISO8601>"),
+    (r"\x01[^\x02.-]*+\x02", "<NUM>"),
+    (r"\x01[^\x02.]*+\x02", "<UUID>"),
+    (r"\x01[^\x02]*+\x02", "<IP>"),
+]
+
+
+def _by_marks(line: Column) -> Column:
+    """Seven cheap passes; for lines without the two marks of their own."""
+    out = F.regexp_replace(line, MARKED, f"{OPEN}$1{CLOSE}")
+    for pattern, name in NAMING:
+        out = F.regexp_replace(out, pattern, name)
+    return out
+
 
-    The text between the tokens and the tokens themselves come from one split and one
-    extract of the same pattern; placeholders are then woven back in.
-    """
+def _by_pieces(line: Column) -> Column:
+    """Split and extract with the same pattern, then weave placeholders back in."""
     between = F.split(line, TOKEN, -1)
     hits = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
     marks = F.transform(hits, _placeholder)
     woven = F.zip_with(between, marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(line.rlike(CANDIDATE), F.array_join(woven, "")).otherwise(line)
+    return F.array_join(woven, "")
+
+
+def fingerprint(line: Column) -> Column:
+    """Fingerprint of one line, without a UDF."""
+    own_marks = line.contains(OPEN) | line.contains(CLOSE)
+    return (
+        F.when(~line.rlike(CANDIDATE), line).when(own_marks, _by_pieces(line))
+        .otherwise(_by_marks(line))
+    )

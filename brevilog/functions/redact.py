@@ -16,6 +16,16 @@ PATTERNS = [
      r"(?i)(pass|secret|token|key|password|apikey|api_key|auth_token)\s*[:=]\s*['\"]?\S{8,}"),
     ("bearer-token", r"(?i)bearer\s+[A-Za-z0-9._-]{16,}"),
 ]
+# What a text must hold for the pattern to have any chance; cheap to look for.
+HINTS = {
+    "ssh-key": lambda t: t.contains("-----BEGIN"),
+    "github-token": lambda t: t.rlike(r"gh[poasu]_"),
+    "openai-key": lambda t: t.contains("sk-"),
+    "aws-key": lambda t: t.contains("AKIA"),
+    "jwt-token": lambda t: t.contains("eyJ"),
+    "generic-secret": lambda t: t.rlike(r"[:=]"),
+    "bearer-token": lambda t: t.rlike(r"[bB][eE][aA][rR][eE][rR]"),
+}
 ON_VALUES = ["1", "on", "true", "yes"]
 
 
@@ -41,7 +51,7 @@ def redact(df: DataFrame, text: str = "text", mode: str | Column = "on") -> Data
         before = F.col(f"_t{i}")
         steps = steps.withColumn(
             f"_t{i + 1}",
-            F.when(gate, F.regexp_replace(before, "(?U)" + pattern, f"[REDACTED: {name}]"))
+            F.when(gate & HINTS[name](before), F.regexp_replace(before, "(?U)" + pattern, f"[REDACTED: {name}]"))
             .otherwise(before),
         )
     counts = [
