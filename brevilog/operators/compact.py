@@ -256,12 +256,18 @@ def compact_lines(
             F.col("is_short") | F.col("kind").isNull(), "none").otherwise(F.col("kind")))
     runs = cut_lineage(runs)
     # At most one row per route and intent kind: which branches the plan needs at all.
-    census = runs.groupBy("route", "kind").agg(F.max("is_long").alias("is_long")).collect()
+    n_blocks = block_of_line(F.col("n_lines"), p.block_lines) + 1
+    census = runs.groupBy("route", "kind").agg(
+        F.max("is_long").alias("is_long"), F.sum(n_blocks).alias("blocks")).collect()
     routes = {r.route: any(x.is_long for x in census if x.route == r.route) for r in census}
     any_long = any(routes.values())
 
     facts = per_block(
         runs.select("run_id", "n_lines", "route", *CARRIED), "n_lines", p.block_lines)
+    # The exact number of fact rows is known by now; beyond the limit the join is a
+    # shuffle on (run_id, block), whose keys hold at most one block of lines each.
+    if sum(r.blocks for r in census) <= p.broadcast_rows:
+        facts = F.broadcast(facts)
     keyed = lines.select(
         "run_id", block_of_line(F.col("line_no"), p.block_lines).alias("block"), "line_no", "line")
     rows = keyed.join(facts, ["run_id", "block"])

@@ -30,6 +30,8 @@ class Params:
     # Spark layout: lines per (run, block). No task ever has to hold more than
     # this many lines of one run, whatever the length of the run.
     block_lines: int = 65_536
+    # Per-run facts are broadcast up to this many rows (a few dozen bytes each).
+    broadcast_rows: int = 200_000
 
 
 DEFAULTS = Params()

@@ -23,7 +23,8 @@ from .windows import compact_windows
 
 BYTES = "ISO-8859-1"  # one character per byte, so bytes survive string functions
 CHUNK_SPAN = 4096     # chunks per piece of the prefix sum
-STATE = "run_id string, n_done bigint, next_chunk bigint, held array<string>, tail binary"
+STATE = (
+    "run_id string, n_done bigint, next_chunk bigint, held array<string>, tail binary, closed_at bigint")
 
 
 def _span(chunk_no: Column) -> Column:
@@ -97,10 +98,12 @@ class ChunkCompactor:
 
     ``out_dir/windows/batch=N`` gets the compacted windows, ``out_dir/state/slot=K`` what
     is unfinished. Chunks of a run must arrive in order across batches, in any order
-    within one.
+    within one. Finished runs are remembered for ``REMEMBER`` batches, so chunks of theirs
+    that come again are dropped.
     """
 
     SLOTS = 3
+    REMEMBER = 1000
 
     def __init__(self, out_dir: str, p: Params = DEFAULTS, window: int | None = None):
         self.out_dir, self.p = out_dir, p
@@ -119,16 +122,16 @@ class ChunkCompactor:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         state = self._state(batch.sparkSession, batch_id)
-        known = state.select("run_id", "next_chunk", "n_done")
+        known = state.select("run_id", "next_chunk", "n_done", "closed_at")
         zero = F.lit(0).cast("bigint")
 
         # Chunks that an earlier batch has seen are dropped. The per-run row is spread
         # over the spans of the run, so a busy run does not end up in one join task.
-        batch = batch.withColumn("span", _span(F.col("chunk_no")))
+        batch = batch.withColumn("span", _span(F.col("chunk_no"))).persist()
         seen = batch.select("run_id", "span").distinct().join(known, "run_id", "left")
         fresh = (
             batch.dropDuplicates(["run_id", "chunk_no"]).join(seen, ["run_id", "span"])
-            .filter(F.col("chunk_no") >= F.coalesce("next_chunk", zero)).drop("span", "next_chunk", "n_done")
+            .filter(F.col("chunk_no") >= F.coalesce("next_chunk", zero)).drop("span", "next_chunk", "n_done", "closed_at")
         )
         # The open line of the last batch goes in front, as if it were a chunk.
         tails = state.select(
@@ -143,7 +146,9 @@ class ChunkCompactor:
             known.join(arrived, "run_id", "full_outer").join(closed, "run_id", "left")
             .select("run_id", F.coalesce("ended", F.lit(False)).alias("ended"),
                     F.coalesce("closed", "n_done", zero).alias("n_done"),
-                    F.greatest(F.coalesce("next_chunk", zero), F.coalesce("after", zero)).alias("next_chunk"))
+                    F.greatest(F.coalesce("next_chunk", zero), F.coalesce("after", zero)).alias("next_chunk"),
+                    F.coalesce("closed_at", F.when(F.col("ended"), F.lit(batch_id).cast("bigint"))).alias("closed_at"))
+            .persist()
         )
         # One open line and at most one open window per run: these joins have no skew.
         open_lines = lines.filter("is_open").join(runs, "run_id")
@@ -170,13 +175,16 @@ class ChunkCompactor:
             f"{self.windows_dir()}/batch={batch_id}")
 
         waiting = part.filter(~F.col("ended")).select("run_id", F.col("lines").alias("held"))
+        is_open = F.col("closed_at").isNull()
         after = (
-            runs.filter(~F.col("ended")).drop("ended").join(waiting, "run_id", "left")
+            runs.filter(is_open | (F.col("closed_at") > batch_id - self.REMEMBER))
+            .join(waiting, "run_id", "left")
             .join(open_lines.select("run_id", F.col("data").alias("tail")), "run_id", "left")
             .select("run_id", "n_done", "next_chunk",
                     F.coalesce("held", F.array().cast("array<string>")).alias("held"),
-                    F.coalesce("tail", F.lit(b"")).alias("tail"))
+                    F.when(is_open, F.coalesce("tail", F.lit(b""))).otherwise(F.lit(b"")).alias("tail"),
+                    "closed_at")
         )
         after.write.mode("overwrite").parquet(self._state_path(batch_id))
-        lines.unpersist()
-        windows.unpersist()
+        for cached in (batch, lines, runs, windows):
+            cached.unpersist()
