@@ -43,7 +43,7 @@ MARKED = "(?U)(" + "|".join(TOKEN_SHAPES) + ")"
 NAMING = [
     (r"\x01(?:/|[A-Za-z]:\\)[^\x02]*+\x02", "<PATH>"),
     (r"\x010x[^\x02]*+\x02", "<HEX>"),
-    (r"\x01....-[^\x02]*+\x02", "<ISO8601>"),
+    (r"\x01[^\x02]{4}-[^\x02]*+\x02", "<ISO8601>"),
     (r"\x01[^\x02.-]*+\x02", "<NUM>"),
     (r"\x01[^\x02.]*+\x02", "<UUID>"),
     (r"\x01[^\x02]*+\x02", "<IP>"),
