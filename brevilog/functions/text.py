@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TRAILING_SPACE = r"(?U)(?<!\s)\s++\z"
 EDGE_SPACE = r"(?U)\A\s++|(?<!\s)\s++\z"
 VISIBLE = r"(?U)\S"
+SPACE = r"(?U)\s"
 
 
 def drop_cr(line: Column) -> Column:
@@ -26,8 +27,9 @@ def split_lines(text: Column) -> Column:
 
 
 def trim_end(line: Column) -> Column:
-    """Right-trim of all Unicode white space."""
-    return F.regexp_replace(line, TRAILING_SPACE, "")
+    """Right-trim of all Unicode white space; the last character decides whether to look."""
+    spaced = F.substring(line, -1, 1).rlike(SPACE)
+    return F.when(spaced, F.regexp_replace(line, TRAILING_SPACE, "")).otherwise(line)
 
 
 def trim_both(text: Column) -> Column:

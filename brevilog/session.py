@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "brevilog", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Call sites of Python column expressions: costs more than the plans here gain.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
