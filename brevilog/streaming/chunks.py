@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ansi import strip_ansi
 from ..functions.text import drop_cr
-from ..operators.blocks import div
+from ..operators.blocks import carries, div, number_within
+from ..operators.texts import compact_texts
 from ..params import DEFAULTS, Params
 from .windows import compact_windows
 
@@ -53,33 +54,43 @@ def _newlines_before(chunks: DataFrame, start: DataFrame | None) -> DataFrame:
     )
 
 
-def assemble_lines(chunks: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """``(run_id, idx, data, is_open)``: the lines of a set of chunks.
-
-    ``chunks`` holds ``(run_id, chunk_no, data)``; lines are counted from 0, or from
-    ``start(run_id, n_done)``. The last line of a run has no line end yet and is marked
-    open; it may be empty.
-    """
+def _placed(chunks: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Chunks cut at line ends, each with the number of line ends before it."""
     text = F.decode(F.col("data"), BYTES)
     cut = chunks.select("run_id", "chunk_no", F.split(text, "\n", -1).alias("pieces"))
-    cut = cut.withColumn("ends", (F.size("pieces") - 1).cast("bigint"))
-    pieces = _newlines_before(cut, start).select(
-        "run_id", "chunk_no", "before", "ends", F.posexplode("pieces").alias("k", "piece"))
+    return _newlines_before(cut.withColumn("ends", (F.size("pieces") - 1).cast("bigint")), start)
+
+
+def _joined(placed: DataFrame) -> DataFrame:
+    """Lines from placed chunks; ``seg`` is the segment of the chunk that closes a line."""
+    pieces = placed.select(
+        "run_id", "chunk_no", "before", "ends", "seg", F.posexplode("pieces").alias("k", "piece"))
     pieces = pieces.withColumn("idx", F.col("before") + F.col("k"))
     closes = F.col("k") < F.col("ends")
     inner = (F.col("k") > 0) & closes
-    whole = pieces.filter(inner).select("run_id", "idx", "piece", F.lit(False).alias("is_open"))
+    whole = pieces.filter(inner).select("run_id", "idx", "seg", "piece", F.lit(False).alias("is_open"))
     # Only the first and last piece of a chunk can belong to a line that was cut.
     cut_lines = (
         pieces.filter(~inner).groupBy("run_id", "idx")
         .agg(F.sort_array(F.collect_list(F.struct("chunk_no", "piece"))).alias("parts"),
-             F.max(closes).alias("closed"))
-        .select("run_id", "idx",
+             F.max(closes).alias("closed"), F.max("seg").alias("seg"))
+        .select("run_id", "idx", "seg",
                 F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("piece"),
                 (~F.col("closed")).alias("is_open"))
     )
     return whole.unionByName(cut_lines).select(
-        "run_id", "idx", F.encode(F.col("piece"), BYTES).alias("data"), "is_open")
+        "run_id", "idx", "seg", F.encode(F.col("piece"), BYTES).alias("data"), "is_open")
+
+
+def assemble_lines(chunks: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """``(run_id, idx, data, is_open)``: the lines of a set of chunks.
+
+    ``chunks`` holds ``(run_id, chunk_no, data)``; lines are counted from 0, or from
+    ``start(run_id, n_done)``. The last line of a run has no line end yet and is marked
+    open; it may be empty.
+    """
+    placed = _placed(chunks, start).withColumn("seg", F.lit(0).cast("bigint"))
+    return _joined(placed).drop("seg")
 
 
 def line_text(data: Column) -> Column:
@@ -93,6 +104,47 @@ def lines_of_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select("run_id", (F.col("idx") + 1).alias("line_no"), line_text(F.col("data")).alias("line"))
 
 
+def newline_windows(chunks: DataFrame, p: Params = DEFAULTS, window: int | None = None) -> DataFrame:
+    """Windows of finished runs that also end wherever a chunk ends with a line end.
+
+    Here the windows depend on how the stream was cut into chunks, which is why no
+    stream uses this by default. Windows before the first one with enough lines to
+    classify a run are passed on unchanged.
+    """
+    size = max(window or p.window_lines, p.window_min_lines)
+    placed = _placed(chunks).withColumn("block", _span(F.col("chunk_no")))
+    # A segment begins after the last earlier chunk that ended with a line end.
+    flush = F.when((F.element_at("pieces", -1) == "") & (F.col("ends") > 0), F.col("before") + F.col("ends"))
+    placed = placed.join(carries(placed, {"seg_before": (F.max(flush), "max")}), ["run_id", "block"], "left")
+    earlier = (
+        Window.partitionBy("run_id", "block").orderBy("chunk_no")
+        .rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0).cast("bigint")
+    placed = placed.withColumn("seg", F.greatest(F.max(flush).over(earlier), F.col("seg_before"), zero))
+    lines = _joined(placed).filter(~(F.col("is_open") & (F.octet_length("data") == 0)))
+
+    first = F.col("seg") + div(F.col("idx") - F.col("seg"), size) * size
+    windows = (
+        lines.select("run_id", "idx", line_text(F.col("data")).alias("line"), first.alias("first"))
+        .groupBy("run_id", "first").agg(F.sort_array(F.collect_list(F.struct("idx", "line"))).alias("rows"))
+        .select("run_id", "first", F.size("rows").alias("n_lines"),
+                F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+    )
+    windows = windows.withColumn("block", div(F.col("first"), p.block_lines))
+    windows = number_within(windows, ["run_id"], ["block"], [F.col("first")], "window_no").withColumn(
+        "window_no", F.col("window_no") - 1)
+    enough = F.col("n_lines") >= p.window_min_lines
+    upto = (
+        Window.partitionBy("run_id", "block").orderBy("first")
+        .rowsBetween(Window.unboundedPreceding, 0))
+    windows = windows.join(carries(windows, {"ready_before": (F.max(enough), "max")}), ["run_id", "block"], "left")
+    ready = F.max(enough).over(upto) | F.coalesce("ready_before", F.lit(False))
+    done = compact_texts(windows.withColumn("ready", ready), "text", p=p)
+    return done.select(
+        "run_id", "window_no", "n_lines", F.when(F.col("ready"), F.col("archetype")).alias("archetype"),
+        F.when(F.col("ready"), F.col("compacted")).otherwise(F.col("text")).alias("compacted"))
+
+
 class ChunkCompactor:
     """``foreachBatch`` target for a stream of ``(run_id, chunk_no, data, is_last)``.
 

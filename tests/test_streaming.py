@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from brevilog.operators.lines import lines_of_texts
 from brevilog.streaming import live
-from brevilog.streaming.chunks import lines_of_chunks
+from brevilog.streaming.chunks import lines_of_chunks, newline_windows
 from brevilog.streaming.windows import batch_windows, compact_windows, lock_archetypes
 from . import brute
 
@@ -119,3 +119,30 @@ def test_totals_and_live_tables(spark, tmp_path):
     assert [r.runs for r in spark.read.parquet(str(tmp_path / "daily")).orderBy("day").collect()] == [17, 17, 16]
     s = spark.read.parquet(str(tmp_path / "summary")).first()
     assert (s.total_commands, s.tokens_saved, s.savings_pct) == (50, 300, 60.0)
+
+
+def test_windows_that_end_with_a_chunk(spark):
+    # Sizes in lines; True where the chunk ends with a line end.
+    plan = [(3, True), (10, False), (4, True), (30, True), (60, False), (5, True), (2, False)]
+    rows, lines = [], []
+    for no, (n, ends) in enumerate(plan):
+        part = [f"2024-01-01T00:00:00Z worker {len(lines) + i} waits for 10.0.0.1" for i in range(n)]
+        rows.append(("r", no, ("\n".join(part) + "\n" if ends else "\n".join(part) + "\n" + "cut ").encode()))
+        lines += part
+    # A cut line is carried into the next chunk and ends there.
+    lines = "".join(r[2].decode() for r in rows).split("\n")
+    starts, done = [0], 0
+    for n, ends in plan:
+        done += n
+        if ends:
+            starts.append(done)
+    expected, ready = [], False
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        for w in range(a, b, WINDOW):
+            part = lines[w:min(w + WINDOW, b)]
+            ready = ready or len(part) >= 20
+            expected.append(brute.compact("\n".join(part)) if ready else (None, "\n".join(part)))
+    df = spark.createDataFrame(rows, "run_id string, chunk_no bigint, data binary")
+    got = newline_windows(df, window=WINDOW).orderBy("window_no").collect()
+    assert [(r.archetype, r.compacted) for r in got] == expected
+    assert [r.window_no for r in got] == list(range(len(got)))
