@@ -1,0 +1,46 @@
+"""Registered queries of the subpackage: name -> (Spark query, DuckDB statement or None)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import quality_rules, substring_dedup
+from .common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+CATALOG: dict[str, tuple[Query, str | None]] = {}
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def register(name: str, sql: str | None = None):
+    def add(fn: Query) -> Query:
+        CATALOG[name] = (fn, sql)
+        return fn
+    return add
+
+
+@register("op1_substring_dedup", f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+  win AS (SELECT doc_id, p, array_to_string(ws[p:p + 34], ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w)),
+  again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM win JOIN again USING (g)),
+  word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM w),
+  kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text
+           FROM word ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+  SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+  FROM w LEFT JOIN kept USING (doc_id)""")
+def op1(spark, sf):
+    done = substring_dedup.dedup(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op10_quality_rules")
+def op10(spark, sf):
+    s = F.col("signals")
+    return quality_rules.judge(table(spark, sf, "documents")).select(
+        "doc_id", *[s[n].alias(n) for n in quality_rules.SIGNALS[:5]], "base_failed", "kept",
+        *[s[n].alias(n) for n in quality_rules.SIGNALS[5:]], "posterior")
