@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, substring_dedup
-from .common import table
+from . import minhash_dedup, quality_rules, substring_dedup, warc
+from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -44,3 +44,31 @@ def op10(spark, sf):
     return quality_rules.judge(table(spark, sf, "documents")).select(
         "doc_id", *[s[n].alias(n) for n in quality_rules.SIGNALS[:5]], "base_failed", "kept",
         *[s[n].alias(n) for n in quality_rules.SIGNALS[5:]], "posterior")
+
+
+SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+  sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g
+         FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS p FROM w)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
+
+
+@register("op4_minhash_dedup", f"""WITH RECURSIVE {SHINGLES},
+  both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION
+    SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.a = r.b OR l.b = r.b)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(b) AS component_id, d.doc_id = min(b) AS kept
+  FROM documents d JOIN reach ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""")
+def op4(spark, sf):
+    return minhash_dedup.near_duplicates(table(spark, sf, "documents")).drop("k2")
+
+
+@register("op8_warc", """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+  f AS (SELECT page_id, n, sha256(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+  SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+def op8(spark, sf):
+    archives = stash(warc.write(table(spark, sf, "pages")), "archives")
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
