@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, quality_rules, substring_dedup, warc
+from . import html_text, minhash_dedup, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op4(spark, sf):
 def op8(spark, sf):
     archives = stash(warc.write(table(spark, sf, "pages")), "archives")
     return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_html_text")
+def op3(spark, sf):
+    return html_text.main_text(table(spark, sf, "pages"))
