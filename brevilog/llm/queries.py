@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, minhash_dedup, quality_rules, substring_dedup, warc
+from . import bpe, html_text, minhash_dedup, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +78,9 @@ def op8(spark, sf):
 @register("op3_html_text")
 def op3(spark, sf):
     return html_text.main_text(table(spark, sf, "pages"))
+
+
+@register("op2_bpe")
+def op2(spark, sf):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks), ranks))
