@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, minhash_dedup, quality_rules, substring_dedup, warc
+from . import bpe, decontaminate, html_text, minhash_dedup, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,16 @@ def op3(spark, sf):
 def op2(spark, sf):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks), ranks))
+
+
+@register("op6_decontamination", f"""WITH {SHINGLES},
+  iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM benchmark),
+  ish AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + 4], ' ') AS g
+          FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS p FROM iw)),
+  i AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id)
+  SELECT doc_id, item_id, n_item, count(*) AS shared FROM ish JOIN sh USING (g) JOIN i USING (item_id)
+  GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""")
+def op6(spark, sf):
+    found = decontaminate.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("k1").alias("doc_id"), F.col("i1").alias("item_id"), "n_item", "shared")
