@@ -111,53 +111,66 @@ def rules(s: Column) -> dict[str, Column]:
     """Votes: 1 good, 0 bad, null abstains."""
     words, chars = s["n_words"], s["word_chars"]
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(words == 0, F.lit(None)).when(bad, 0).when(good, 1).cast("int")
+    def bad(when: Column) -> Column:
+        return F.when((words > 0) & when, 0).cast("int")
 
     return {
         "length": F.when(words < 20, 0).when(words >= 40, 1).cast("int"),
-        "symbols": vote(20 * s["n_symbols"] > chars, 200 * s["n_symbols"] <= chars),
-        "lines": vote(10 * s["n_dup_lines"] > 3 * s["n_lines"], (s["n_dup_lines"] == 0) & (s["n_lines"] > 2)),
-        "repeats": vote(5 * s["n_repeat_words"] > words, (s["n_repeat_words"] == 0) & (words >= 16)),
-        "word_length": vote((2 * chars < 5 * words) | (chars > 12 * words), (chars >= 4 * words) & (2 * chars <= 13 * words)),
-        "capitals": vote(4 * s["n_upper"] > chars, 10 * s["n_upper"] < chars),
-        "variety": vote((4 * s["n_distinct"] < words), 2 * s["n_distinct"] >= words),
+        "symbols": bad(20 * s["n_symbols"] > chars),
+        "lines": bad(10 * s["n_dup_lines"] > 3 * s["n_lines"]),
+        "repeats": bad(5 * s["n_repeat_words"] > words),
+        "word_length": bad((2 * chars < 5 * words) | (chars > 12 * words)),
+        "capitals": bad(4 * s["n_upper"] > chars),
+        "variety": F.when((words >= 40) & (words < 1000) & (10 * s["n_distinct"] < 4 * words), 0)
+                    .when((words >= 40) & (10 * s["n_distinct"] >= 6 * words), 1).cast("int"),
     }
 
 
 @dataclass(frozen=True)
 class Model:
-    prior: float                        # share of good texts
-    right: dict[str, tuple[float, float]]  # rule -> share of right votes on bad texts, on good texts
+    prior: float                                  # share of good texts
+    weight: dict[str, tuple[float, float, float]]  # rule -> log-odds of good for a vote of bad, none, good
+    right: dict[str, tuple[float, float]]          # rule -> accuracy of its votes of bad, of good
 
     def log_odds(self, votes: dict[str, Column]) -> Column:
         """Of good against bad, given the votes."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, v in votes.items():
-            bad, good = self.right[name]
-            total = total + (F.when(v == 1, F.lit(math.log(good / (1 - bad))))
-                             .when(v == 0, F.lit(math.log((1 - good) / bad))).otherwise(F.lit(0.0)))
+            bad, none, good = self.weight[name]
+            total = total + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(none))
         return total
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], steps: int = 60,
-             prior: float = 0.8, right: float = 0.8) -> Model:
-    """EM over (votes, count). Rules are taken to be better than chance, so good and bad can't change places."""
-    acc = np.full((len(names), 2), right)
-    if not patterns:
-        return Model(prior, {n: (right, right) for n in names})
-    votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
+# Belief about the accuracy of a vote of bad before any text is seen; it weighs as much as the rule's own votes.
+BELIEF = 0.95
+
+
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], steps: int = 100, prior: float = 0.85) -> Model:
+    """EM over (votes, count).
+
+    Estimated are the share of good texts and the accuracy of each rule's votes of bad and of good: how often a text that
+    gets the vote is bad, or good. That a rule abstains says nothing. No vote is taken to be worse than chance, so that
+    good and bad can't change places.
+    """
+    def logit(p):
+        return np.log(p / (1 - p))
+    right = np.full((len(names), 2), BELIEF)
+    right[:, 1] = prior
+    cast = np.array([[1 if v is None else 2 * v for v in p] for p, _ in patterns]).reshape(-1, len(names))  # 0 bad, 1 none, 2 good
     count = np.array([n for _, n in patterns], float)
-    for _ in range(steps):
-        good = np.log(prior) + np.where(votes == 1, np.log(acc[:, 1]), np.where(votes == 0, np.log1p(-acc[:, 1]), 0)).sum(1)
-        bad = np.log1p(-prior) + np.where(votes == 0, np.log(acc[:, 0]), np.where(votes == 1, np.log1p(-acc[:, 0]), 0)).sum(1)
-        p = 1 / (1 + np.exp(bad - good))
-        prior = float(np.clip((count * p).sum() / count.sum(), 0.5, 0.99))
+    for step in range(steps + 1):
+        weight = np.stack([-np.maximum(logit(right[:, 0]) - logit(1 - prior), 0), np.zeros(len(names)),
+                           np.maximum(logit(right[:, 1]) - logit(prior), 0)], 1)
+        if step == steps or not patterns:
+            break
+        good = 1 / (1 + np.exp(-logit(prior) - weight[np.arange(len(names)), cast].sum(1)))
+        prior = float(np.clip((count * good).sum() / count.sum(), 0.5, 0.99))
         for j in range(len(names)):
-            for y, w in ((0, count * (1 - p)), (1, count * p)):
-                hit, cast = (w * (votes[:, j] == y)).sum() + 0.8, (w * (votes[:, j] >= 0)).sum() + 1
-                acc[j, y] = np.clip(hit / cast, 0.55, 0.995)
-    return Model(prior, {n: (float(a), float(b)) for n, (a, b) in zip(names, acc, strict=True)})
+            bad, fine = cast[:, j] == 0, cast[:, j] == 2
+            right[j, 0] = np.clip(((count * (1 - good))[bad].sum() / max(count[bad].sum(), 1) + BELIEF) / 2, 0.01, 0.995) if bad.any() else BELIEF
+            right[j, 1] = np.clip((count * good)[fine].sum() / count[fine].sum(), 0.01, 0.995) if fine.any() else prior
+    return Model(prior, {n: tuple(map(float, w)) for n, w in zip(names, weight, strict=True)},
+                 {n: tuple(map(float, r)) for n, r in zip(names, right, strict=True)})
 
 
 def fit(with_signals: DataFrame, name: str = "signals") -> Model:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, minhash_dedup, quality_rules, substring_dedup, warc
+from . import bpe, decontaminate, html_text, minhash_dedup, pairwise_quality, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def op2(spark, sf):
 def op6(spark, sf):
     found = decontaminate.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(F.col("k1").alias("doc_id"), F.col("i1").alias("item_id"), "n_item", "shared")
+
+
+@register("op9_pairwise_quality")
+def op9(spark, sf):
+    return pairwise_quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
