@@ -395,8 +395,8 @@ _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string
 _DIGESTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, perhaps ids): ids as little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, made, kept = [], [], []
@@ -405,5 +405,6 @@ def digests(decoded: DataFrame) -> DataFrame:
                 n.append(len(raw))
                 made.append(hashlib.sha256(raw.tobytes()).hexdigest())
                 kept.append(hashlib.sha256(text.as_buffer() if text.is_valid else b"").hexdigest())
-            yield rows_of(_DIGESTS_ARROW, b.column("doc_id"), n, made, kept)
-    return decoded.select("doc_id", "ids", "bytes").mapInArrow(run, _DIGESTS)
+            done = rows_of(_DIGESTS_ARROW, b.column("doc_id"), n, made, kept)
+            yield done.append_column("ids", b.column("ids")) if keep_ids else done
+    return decoded.select("doc_id", "ids", "bytes").mapInArrow(run, _DIGESTS + (", ids array<int>" if keep_ids else ""))

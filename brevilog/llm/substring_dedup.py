@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (gram_hashes, keyed, pieces, ranges, rows_of, same_row, signed, span_hashes, split_words, stash,
-                     strings, word_hashes)
+                     strings, text_hash, word_hashes)
 
 WINDOW, ANCHOR = 35, 8
 
@@ -201,6 +202,33 @@ def _cut(window: int):
     return run
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                   anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with repeated words taken out of the texts, all other columns as they were.
+
+    Texts without a repeated window stay as they are; of others the kept words are joined by one space.
+    """
+    found = factors(docs, id_col, text_col, window, anchor).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    place = docs.columns.index(text_col)
+    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["k1"]) & (text_hash(text_col) == found["k2"]), "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], found["k1"].alias("k1"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
+                           found["parts"].alias("parts"))
+    width, cut = len(docs.columns), _cut(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = pa.RecordBatch.from_arrays(b.columns[width:], names=["k1", "text", "parts"])
+            done = pa.Table.from_batches(list(cut(iter([own])))).combine_chunks()
+            changed = pc.greater(done.column("n_removed"), 0).combine_chunks()
+            texts = pc.if_else(changed, done.column("kept").combine_chunks(), b.column(place).cast(pa.string()))
+            cols = b.columns[:width]
+            cols[place] = texts
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:width])
+    return joined.mapInArrow(run, docs.schema)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
           anchor: int = ANCHOR) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (text), spans (words start..stop that were removed)."""
