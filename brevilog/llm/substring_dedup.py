@@ -213,7 +213,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["k1"]) & (text_hash(text_col) == found["k2"]), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], found["k1"].alias("k1"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
                            found["parts"].alias("parts"))
-    width, cut = len(docs.columns), _cut(window)
+    width, docs_names, cut = len(docs.columns), docs.columns, _cut(window)
+    joined = joined.toDF(*[f"c{i}" for i in range(width + 3)])  # names of documents may be those of helpers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = pc.if_else(changed, done.column("kept").combine_chunks(), b.column(place).cast(pa.string()))
             cols = b.columns[:width]
             cols[place] = texts
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:width])
+            yield pa.RecordBatch.from_arrays(cols, names=docs_names)
     return joined.mapInArrow(run, docs.schema)
 
 
