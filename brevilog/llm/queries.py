@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, minhash_dedup, pairwise_quality, quality_rules, substring_dedup, warc
+from . import bpe, decontaminate, html_text, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,8 @@ def op6(spark, sf):
 @register("op9_pairwise_quality")
 def op9(spark, sf):
     return pairwise_quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op5_mixing_lm")
+def op5(spark, sf):
+    return mixing_lm.score_documents(table(spark, sf, "documents"))
