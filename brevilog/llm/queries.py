@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, substring_dedup, warc
+from . import bpe, decontaminate, html_text, language_id, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op9(spark, sf):
 @register("op5_mixing_lm")
 def op5(spark, sf):
     return mixing_lm.score_documents(table(spark, sf, "documents"))
+
+
+@register("op7_language_id")
+def op7(spark, sf):
+    return language_id.identify(table(spark, sf, "pages"), table(spark, sf, "documents"))
