@@ -127,9 +127,12 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     every = blocks(rows, window, anchor)
     known = (every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
              .where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")))
+    # Counts are written before they are joined back, so that Spark may split the rows of an anchor that is everywhere.
+    known = stash(known, "anchors")
     again = stash(every.join(known, "anchor"), "blocks")
     copies = (again.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min("k1").alias("src")).where("n > 1")
               .select("anchor", "block", "src", F.lit(True).alias("whole")))
+    copies = stash(copies, "copies")
     found = stash(again.join(copies, ["anchor", "block"], "left").where("mixed or whole")
                   .select("k1", "k2", "lo", "hi", "anchor", F.coalesce("whole", F.lit(False)).alias("whole"), "mixed", "src"),
                   "factors")
@@ -140,6 +143,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                    .mapInArrow(_windows(window), _WINDOW), "windows")
     hits = (single.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.max("whole").alias("sure"), F.min("k1").alias("src"))
             .where("n > 1 or sure").select("anchor", "win", "src"))
+    hits = stash(hits, "hits")
     ends = (single.where("not whole").drop("src").join(hits, ["anchor", "win"])
             .select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"), "src"))
     return found.where("whole").select("k1", "k2", "lo", "hi", "src").unionByName(ends)
