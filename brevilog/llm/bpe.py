@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
 1. Documents are cut into pre-tokens by the rules of the vocabulary's pattern. A block of documents (about
-   ``BLOCK_TOKENS`` pre-tokens, whole documents) becomes one row for each distinct word in it, with its
-   positions, so that a word is shuffled once for each block and not once for each place.
-2. Rows are dealt out by word. Each distinct word is encoded once, in the task that gets it. Words that
-   fill a large part of a block (``HOT_SHARE``) are dealt out by word and block, so that the most frequent words
-   don't meet in one task.
+   ``BLOCK_TOKENS`` pre-tokens, whole documents) gives each distinct word in it once, with its positions, so that a
+   word is shuffled once for each block and not once for each place. Words are packed into rows by bucket of their hash.
+2. Rows are dealt out by bucket. Each distinct word is encoded once, in the task that gets it (again only where a task
+   has met more than ``KNOWN_WORDS`` others). Words that fill a large part of a block (``HOT_SHARE``) go to a bucket by
+   word and block, so that the places of the most frequent words don't meet in one task.
 3. Ids go back to their block and are put in place by position.
 
 Decoding joins the token-byte table, which has one row for each id of the vocabulary (50,256 here) and is
@@ -28,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ranges, rows_of, strings, word_hashes
+from .common import mix, pieces, ranges, rows_of, strings, word_hashes
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_500_000
 HOT_SHARE = 1 / 1000
+MIN_BUCKETS = 256
+KNOWN_WORDS = 200_000
 MAX_VOCABULARY = 2_000_000
 
 # --- vocabulary --------------------------------------------------------------------
@@ -199,15 +202,25 @@ def unpack(data: np.ndarray) -> np.ndarray:
 
 # --- encoding ----------------------------------------------------------------------
 
-_WORDS = "block long, salt long, word binary, at binary"
-_WORDS_ARROW = pa.schema([("block", pa.int64()), ("salt", pa.int64()), ("word", pa.binary()), ("at", pa.binary())])
+# One row holds the words of a block that fall into one bucket: sizes has the bytes and the number of places of each word.
+_WORDS = "block long, bucket int, sizes binary, words binary, at binary"
+_WORDS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary()), ("at", pa.binary())])
+
+
+def press(raw) -> bytes:
+    """Compressed better than by shuffles themselves."""
+    return zstandard.ZstdCompressor(level=7).compress(bytes(raw))
+
+
+def release(held: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(held)
 
 
 class _Block:
     """Distinct words of some documents and where they stand."""
 
-    def __init__(self, number: int) -> None:
-        self.number, self.tokens, self.texts = number, 0, []
+    def __init__(self, number: int, buckets: int) -> None:
+        self.number, self.buckets, self.tokens, self.texts = number, buckets, 0, []
         self.hashes: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.bytes: list[np.ndarray] = []
@@ -226,82 +239,97 @@ class _Block:
         counts = np.concatenate([c for _, c in self.texts]).astype(np.int64)
         known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
         head = np.stack([ids.fill_null(0).to_numpy(), known, counts]).tobytes()
-        yield rows_of(_WORDS_ARROW, [self.number], [self.number], pa.array([None], pa.binary()), pa.array([head], pa.binary()))
+        yield rows_of(_WORDS_ARROW, [self.number], [self.number % self.buckets], *[pa.array([x], pa.binary()) for x in (None, None, head)])
         if not self.tokens:
             return
         hashes, sizes, data = np.concatenate(self.hashes), np.concatenate(self.sizes), np.concatenate(self.bytes)
         begin = np.cumsum(sizes) - sizes
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
         new = np.ones(len(order), bool)
         new[1:] = hashes[order[1:]] != hashes[order[:-1]]
         group = np.flatnonzero(new)
         one = order[group]  # first place of each word
         n = np.diff(np.append(group, len(order)))
         # every word has the bytes of the first of its group
-        where = np.empty(len(order), np.int64)
+        where = np.empty(len(order), np.int32)
         where[order] = np.repeat(one, n)
-        if not np.array_equal(sizes, sizes[where]) or not np.array_equal(data, data[np.repeat(begin[where] - begin, sizes) + np.arange(len(data))]):
+        if not np.array_equal(sizes, sizes[where]):
             raise ValueError("two words with one hash")
+        for lo in range(0, len(order), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            shift = np.repeat(begin[where[part]] - begin[part], sizes[part])
+            here = np.arange(begin[lo], begin[lo] + len(shift))
+            if not np.array_equal(data[here], data[here + shift]):
+                raise ValueError("two words with one hash")
         gap = order.copy()
         gap[1:] -= order[:-1]
         gap[group] = one
-        packed, lengths = pack(gap)
-        cuts = np.append(0, np.cumsum(np.add.reduceat(lengths, group)))
-        at, _ = ranges(begin[one], begin[one] + sizes[one] - 1)
         hot = n > max(64, self.tokens * HOT_SHARE)
-        salt = np.where(hot, self.number, -1)
-        words = strings(data[at], np.append(0, np.cumsum(sizes[one])), pa.binary())
-        places = strings(packed, cuts, pa.binary())
-        for lo in range(0, len(one), 10_000):
-            m = min(10_000, len(one) - lo)
-            yield rows_of(_WORDS_ARROW, np.full(m, self.number), salt[lo : lo + m], words.slice(lo, m), places.slice(lo, m))
-
-
-def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    block = _Block(number)
-    for b in batches:
-        ids = b.column("id")
-        for lo, hi, data, offs in pieces(b.column("text")):
-            block.add(ids.slice(lo, hi - lo), data, offs)
-            if block.tokens >= BLOCK_TOKENS:
-                yield from block.rows()
-                number += 1
-                block = _Block(number)
-    if block.texts:
-        yield from block.rows()
+        key = hashes[one].copy()
+        key[hot] += np.uint64(self.number * 0x9E3779B97F4A7C15 % 2**64)
+        bucket = (mix(key) % np.uint64(self.buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        at, _ = ranges(group[by], group[by] + n[by] - 1)
+        places, place_sizes = pack(gap[at])
+        spot, _ = ranges(begin[one[by]], begin[one[by]] + sizes[one[by]] - 1)
+        packed, packed_sizes = pack(np.stack([sizes[one[by]], n[by]], 1).ravel())
+        used, cut = np.unique(bucket[by], return_index=True)
+        cut = np.append(cut, len(by))
+
+        def column(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+            ends = np.append(0, ends)[cut]
+            return pa.array([press(raw[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        yield rows_of(_WORDS_ARROW, np.full(len(used), self.number), used, column(packed, np.cumsum(packed_sizes)[1::2]),
+                      column(data[spot], np.cumsum(sizes[one[by]])), column(places, np.cumsum(place_sizes)[np.cumsum(n[by]) - 1]))
+
+
+def _take_apart(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(number, buckets)
+        for b in batches:
+            ids = b.column("id")
+            for lo, hi, data, offs in pieces(b.column("text"), 1 << 20):
+                block.add(ids.slice(lo, hi - lo), data, offs)
+                if block.tokens >= BLOCK_TOKENS:
+                    yield from block.rows()
+                    number += 1
+                    block = _Block(number, buckets)
+        if block.texts:
+            yield from block.rows()
+    return run
 
 
+# sizes has the number of places and of ids of each word.
 _PARTS = "block long, head boolean, sizes binary, at binary, ids binary"
 _PARTS_ARROW = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("sizes", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode_words(table):
-    """Rows of words to rows of ids, one for each block in a batch."""
+    """Words of a bucket to their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = table.value, {}
-        wide = np.uint16 if len(ranks) <= 1 << 16 and max(ranks.values(), default=0) < 1 << 16 else np.uint32
+        wide = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
         for b in batches:
-            blocks = b.column("block").to_numpy()
-            words, places = b.column("word").to_pylist(), b.column("at").to_pylist()
-            for number in np.unique(blocks):
-                sizes, at, ids = [], [], []
-                for i in np.flatnonzero(blocks == number):
-                    word = words[i]
-                    if word is None:
-                        yield rows_of(_PARTS_ARROW, [number], [True], pa.array([None], pa.binary()), pa.array([places[i]], pa.binary()),
-                                      pa.array([None], pa.binary()))
-                        continue
-                    if (made := known.get(word)) is None:
-                        made = merge_word(word, ranks)
-                        if len(known) < 200_000:  # words come from several blocks, often not in a row
-                            known[word] = made
-                    sizes += (len(places[i]), len(made))
-                    at.append(places[i])
-                    ids += made
-                if at:
-                    yield rows_of(_PARTS_ARROW, [number], [False], *[pa.array([x], pa.binary()) for x in (
-                        np.array(sizes, np.uint32).tobytes(), b"".join(at), bytes([wide().itemsize]) + np.array(ids, wide).tobytes())])
+            for i in range(b.num_rows):
+                block, places = [b.column("block")[i].as_py()], b.column("at").slice(i, 1)
+                if not b.column("words")[i].is_valid:
+                    yield rows_of(_PARTS_ARROW, block, [True], pa.array([None], pa.binary()), places, pa.array([None], pa.binary()))
+                    continue
+                size, n = unpack(np.frombuffer(release(b.column("sizes")[i].as_py()), np.uint8)).reshape(-1, 2).T
+                words, ids, made, lo = release(b.column("words")[i].as_py()), [], [], 0
+                for hi in np.cumsum(size).tolist():
+                    word = words[lo:hi]
+                    lo = hi
+                    if (x := known.get(word)) is None:
+                        x = merge_word(word, ranks)
+                        if len(known) < KNOWN_WORDS:  # the other blocks' rows of a bucket come through the same task
+                            known[word] = x
+                    ids += x
+                    made.append(len(x))
+                sizes = press(pack(np.stack([n, np.array(made, np.int64)], 1).ravel())[0])
+                yield rows_of(_PARTS_ARROW, block, [False], pa.array([sizes], pa.binary()), places,
+                              pa.array([bytes([wide().itemsize]) + press(np.array(ids, wide).tobytes())], pa.binary()))
     return run
 
 
@@ -315,29 +343,25 @@ def _put_together(t: pa.Table) -> pa.Table:
     parts = {c: t.column(c).to_pylist() for c in ("sizes", "at", "ids")}
     doc, known, counts = np.frombuffer(parts["at"][head.index(True)], np.int64).reshape(3, -1)
     total = int(counts.sum())
-    word_at = np.zeros(total, np.int64)
+    word_at = np.zeros(total, np.int32)
     lengths, flat, base = [], [], 0
     for i, h in enumerate(head):
         if h:
             continue
-        sizes = np.frombuffer(parts["sizes"][i], np.uint32).reshape(-1, 2).astype(np.int64)
-        data = np.frombuffer(parts["at"][i], np.uint8)
-        gaps = unpack(data)
-        # numbers of each word: those that end within its bytes
-        ends = np.cumsum(data < 128)[np.cumsum(sizes[:, 0]) - 1]
-        first = np.append(0, ends[:-1])
+        sizes = unpack(np.frombuffer(release(parts["sizes"][i]), np.uint8)).reshape(-1, 2)
+        gaps, n = unpack(np.frombuffer(release(parts["at"][i]), np.uint8)), sizes[:, 0]
+        first = np.cumsum(n) - n
         sums = np.cumsum(gaps)
-        n = ends - first
         places = sums - np.repeat(sums[first] - gaps[first], n)
         word_at[places] = np.repeat(np.arange(len(sizes)) + base, n)
         base += len(sizes)
         lengths.append(sizes[:, 1])
-        flat.append(np.frombuffer(parts["ids"][i][1:], np.uint16 if parts["ids"][i][0] == 2 else np.uint32).astype(np.int32))
+        flat.append(np.frombuffer(release(parts["ids"][i][1:]), np.uint16 if parts["ids"][i][0] == 2 else np.uint32).astype(np.int32))
     length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
     begin = np.cumsum(length) - length
     size = length[word_at]
-    out = ids[np.arange(int(size.sum())) + np.repeat(begin[word_at] - (np.cumsum(size) - size), size)]
+    out = ids[np.arange(int(size.sum()), dtype=np.int32) + np.repeat((begin[word_at] - (np.cumsum(size) - size)).astype(np.int32), size)]
     offs = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
     if offs[-1] > 2**31 - 1:
         raise ValueError("more than 2^31 tokens in one block")
@@ -349,7 +373,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     """(doc_id, ids) of every document."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = rows.mapInArrow(_take_apart, _WORDS).repartition("word", "salt")
+    buckets = max(MIN_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = rows.mapInArrow(_take_apart(buckets), _WORDS).repartition("bucket")
     return words.mapInArrow(_encode_words(table), _PARTS).groupBy("block").applyInArrow(_put_together, _TOKENS)
 
 
