@@ -126,6 +126,9 @@ class _Tree(HTMLParser):
 def extract(html: str) -> str:
     """Main text of one page."""
     tree = _Tree()
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and html[cut + 1 : cut + 2].isalpha() | (html[cut + 1 : cut + 2] in ("/", "!")):
+        html = html[:cut]  # a tag that is cut off
     tree.feed(html)
     tree.close()
     tag, parent, n = tree.tag, tree.parent, len(tree.tag)
