@@ -1,19 +1,10 @@
-"""Token accounting: byte heuristic, optional exact BPE, savings."""
+"""Token accounting: byte heuristic and savings."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the splitting pattern that goes with the 50k byte-level vocabulary.
-BYTE_BPE_PATTERN = (
-    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
-
-
 def tokens_from_bytes(n_bytes: Column) -> Column:
     """Approximate tokens: a quarter of the bytes, rounded up."""
     return F.floor((n_bytes + 3) / 4).cast("bigint")
@@ -23,44 +14,6 @@ def approx_tokens(text: Column) -> Column:
     return tokens_from_bytes(F.octet_length(text).cast("bigint"))
 
 
-@lru_cache(maxsize=4)
-def _encoder(encoding: str, ranks_path: str | None):
-    """Encoder of this Python worker, or None when no vocabulary can be loaded."""
-    try:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-
-        if ranks_path is None:
-            return tiktoken.get_encoding(encoding)
-        return tiktoken.Encoding(
-            name=encoding,
-            pat_str=BYTE_BPE_PATTERN,
-            mergeable_ranks=load_tiktoken_bpe(ranks_path),
-            special_tokens={},
-        )
-    except Exception:
-        return None
-
-
-def bpe_tokens(text: Column, encoding: str = "cl100k_base", ranks_path: str | None = None) -> Column:
-    """Exact BPE tokens in Arrow batches; the byte heuristic where no vocabulary loads.
-
-    ``ranks_path`` names a local vocabulary file present on every executor; without it
-    the named public encoding is looked up in the package's own cache.
-    """
-
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        enc = _encoder(encoding, ranks_path)
-        if enc is None:
-            return texts.map(lambda t: (len(t.encode("utf-8")) + 3) // 4, na_action="ignore")
-        return texts.map(
-            lambda t: len(enc.encode(t, disallowed_special=())), na_action="ignore"
-        )
-
-    return count(text)
-
-
 def tokens_saved(tokens_in: Column, tokens_out: Column) -> Column:
     return F.greatest(tokens_in - tokens_out, F.lit(0).cast("bigint"))
 

@@ -105,6 +105,7 @@ def run_totals(lines: DataFrame, ends_newline: bool = True) -> DataFrame:
     return lines.groupBy("run_id").agg(
         F.count("*").alias("n_lines"),
         (F.sum(octets(F.col("line"))) + F.count("*") - (0 if ends_newline else 1)).alias("n_bytes"),
+        F.max("line_no").alias("last_no"),
     )
 
 
@@ -122,7 +123,8 @@ def classify_runs(lines: DataFrame, p: Params = DEFAULTS, ends_newline: bool = T
     The classifier only ever sees ``sample_lines`` rows per run; totals use partial
     aggregation. Both end up partitioned by ``run_id``, so their join adds no shuffle.
     """
-    runs = run_totals(lines, ends_newline).join(run_samples(lines, p), "run_id")
+    runs = run_totals(lines, ends_newline).join(run_samples(lines, p), "run_id", "left")
+    runs = runs.withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
     scored = with_scores(runs, "sample", p).withColumn("scored_archetype", archetype_of(p))
     return scored.withColumn(
         "archetype",

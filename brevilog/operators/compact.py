@@ -15,7 +15,7 @@ from ..functions.tokens import savings_pct, tokens_from_bytes, tokens_saved
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
 from . import intents
-from .blocks import block_of_line, block_of_ord, carries, div, per_block  # noqa: F401
+from .blocks import block_of_line, block_of_ord, carries, div, number_within, per_block  # noqa: F401
 from .classify import LINEAR, PASSTHROUGH, TABULAR, TREE, classify_runs
 
 # Marks written into the output.
@@ -250,7 +250,8 @@ def compact_lines(
     if intent is None:
         runs = runs.withColumn("kind", F.lit("none"))
     else:
-        asked = intent.select("run_id", intent_kind(F.col("intent")).alias("kind"))
+        # One kind for each run, whatever the number of its intent rows: the first by name.
+        asked = intent.groupBy("run_id").agg(F.min(intent_kind(F.col("intent"))).alias("kind"))
         # Short runs never reach the intent step.
         runs = runs.join(asked, "run_id", "left").withColumn("kind", F.when(
             F.col("is_short") | F.col("kind").isNull(), "none").otherwise(F.col("kind")))
@@ -258,7 +259,15 @@ def compact_lines(
     # At most one row per route and intent kind: which branches the plan needs at all.
     n_blocks = block_of_line(F.col("n_lines"), p.block_lines) + 1
     census = runs.groupBy("route", "kind").agg(
-        F.max("is_long").alias("is_long"), F.sum(n_blocks).alias("blocks")).collect()
+        F.max("is_long").alias("is_long"), F.sum(n_blocks).alias("blocks"),
+        F.max(F.col("last_no") != F.col("n_lines")).alias("sparse")).collect()
+    if any(r.sparse for r in census):
+        # Line numbers with gaps or a late start: count the lines instead, so that none is lost.
+        counted = number_within(
+            lines.withColumn("_bucket", block_of_line(F.col("line_no"), p.block_lines)),
+            ["run_id"], ["_bucket"], [F.col("line_no"), F.col("line")], "_counted")
+        lines = counted.select("run_id", F.col("_counted").cast("bigint").alias("line_no"), "line")
+        return compact_lines(lines, p, intent=intent, force=force, ends_newline=ends_newline)
     routes = {r.route: any(x.is_long for x in census if x.route == r.route) for r in census}
     any_long = any(routes.values())
 

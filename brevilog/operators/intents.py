@@ -44,12 +44,9 @@ def focus_failures(numbered: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """
     size, reach = p.block_lines, p.context_lines + 1
     at = F.col("out_no")
-    home, inside = block_of_line(at, size), F.pmod(at - 1, F.lit(size))
-    spread = F.array_compact(F.array(
-        home,
-        F.when((inside < reach) & (home > 0), home - 1),
-        F.when(inside >= size - reach, home + 1),
-    ))
+    home = block_of_line(at, size)
+    # Every block in reach, however small blocks are; those after the last one have no facts to join.
+    spread = F.sequence(block_of_line(F.greatest(at - reach, F.lit(1)), size), block_of_line(at + reach, size))
     flagged = numbered.withColumn("hit", is_failure(F.col("line")))
     runs = flagged.groupBy("run_id").agg(
         F.max("hit").alias("any_hit"), F.max("out_no").alias("n_out"))

@@ -503,11 +503,6 @@ def p12(spark, sf):
     return V.documents(spark, sf).select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@register("p13_bpe_tokens")
-def p13(spark, sf):
-    return V.documents(spark, sf).select("doc_id", T.bpe_tokens(F.col("text")).alias("tokens"))
-
-
 # --- classification ---------------------------------------------------------------
 
 VIEWS: dict[str, tuple[Query, str]] = {
@@ -810,7 +805,7 @@ def _chunks(spark, sf) -> DataFrame:
     head = lines.select("run_id", (F.col("line_no") - 1).alias("chunk_no"), F.lit(1).alias("part"),
                         F.left("line", F.lit(10)).alias("s"), F.lit(False).alias("is_last"))
     rest = lines.select("run_id", F.col("line_no").alias("chunk_no"), F.lit(0).alias("part"),
-                        F.concat(F.substring("line", 11, 1_000_000), F.lit("\n")).alias("s"), "is_last")
+                        F.concat(F.expr("substring(line, 11)"), F.lit("\n")).alias("s"), "is_last")
     return head.unionByName(rest).groupBy("run_id", "chunk_no").agg(
         F.sort_array(F.collect_list(F.struct("part", "s"))).alias("ps"), F.max("is_last").alias("is_last"),
     ).select("run_id", "chunk_no",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.tokens import savings_pct, tokens_saved
+from ..sources.journal import DAY
 from ..schema import CUSTOM_PRICE, PRICE_ROWS, PRICES
 
 PCT_DIGITS = 6
@@ -60,11 +61,14 @@ def daily(runs: DataFrame, days: int = 30, as_of: str | None = None) -> DataFram
     """Runs and tokens per UTC day, oldest first.
 
     With a given ``as_of`` the cutoff is a literal range on ``started_at``, which reaches
-    the scan; without one it is the newest run of the journal.
+    the scan, and on the folder column of a stored journal, which prunes folders; without one it is the newest run of the journal.
     """
-    cutoff = F.date_sub(_as_of(runs, as_of), days).cast("timestamp_ntz")
+    first_day = F.date_sub(_as_of(runs, as_of), days)
+    recent = F.col("started_at") >= first_day.cast("timestamp_ntz")
+    if DAY in runs.columns:
+        recent = recent & (F.col(DAY) >= first_day)
     return (
-        runs.filter(F.col("started_at") >= cutoff)
+        runs.filter(recent)
         .groupBy(F.col("started_at").cast("date").alias("day"))
         .agg(F.count("*").alias("runs"), _total("tokens_in"), _total("tokens_out"))
         .withColumn("tokens_saved", _saved()).orderBy("day")
@@ -183,14 +187,12 @@ def purge_report(listing: DataFrame) -> DataFrame:
 
 def snapshot(runs: DataFrame, recent: int = 30, days: int = 30, top: int = 10,
              as_of: str | None = None) -> dict[str, DataFrame]:
-    """Four reports over one cached journal; release it with ``unpersist`` when done."""
-    cached = runs.cache()
+    """Four reports over one journal; each reads the columns and days it needs, nothing stays cached."""
     return {
-        "runs": cached,
-        "summary": summary(cached).withColumn("has_data", F.col("total_commands") > 0),
-        "recent": history(cached, recent),
-        "daily": daily(cached, days, as_of),
-        "top_commands": top_commands(cached, top),
+        "summary": summary(runs).withColumn("has_data", F.col("total_commands") > 0),
+        "recent": history(runs, recent),
+        "daily": daily(runs, days, as_of),
+        "top_commands": top_commands(runs, top),
     }
 
 

@@ -43,10 +43,7 @@ def new_runs(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def append_new_runs(batch: DataFrame, path: str) -> None:
-    """Insert or ignore: only the days of the batch are looked up in the journal.
-
-    A run keeps its start time, so its id can only be stored under that day.
-    """
+    """Insert or ignore, by id alone: of the journal only the ids are read, of all days."""
     spark = batch.sparkSession
     try:
         stored = read_journal(spark, path)
@@ -55,10 +52,7 @@ def append_new_runs(batch: DataFrame, path: str) -> None:
             raise
         append_runs(batch.dropDuplicates(["id"]), path)
         return
-    bounds = batch.agg(F.min("started_at").cast("date").alias("a"), F.max("started_at").cast("date").alias("b")).first()
-    if bounds.a is None:
-        return
-    append_runs(new_runs(batch, stored.filter(F.col(DAY).between(bounds.a, bounds.b))), path)
+    append_runs(new_runs(batch, stored), path)
 
 
 def read_journal(spark: SparkSession, *paths: str) -> DataFrame:

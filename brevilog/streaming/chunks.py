@@ -150,12 +150,11 @@ class ChunkCompactor:
 
     ``out_dir/windows/batch=N`` gets the compacted windows, ``out_dir/state/slot=K`` what
     is unfinished. Chunks of a run must arrive in order across batches, in any order
-    within one. Finished runs are remembered for ``REMEMBER`` batches, so chunks of theirs
-    that come again are dropped.
+    within one. Finished runs are remembered (a small row each), so chunks of theirs
+    that come again are dropped, however late.
     """
 
     SLOTS = 3
-    REMEMBER = 1000
 
     def __init__(self, out_dir: str, p: Params = DEFAULTS, window: int | None = None):
         self.out_dir, self.p = out_dir, p
@@ -229,7 +228,7 @@ class ChunkCompactor:
         waiting = part.filter(~F.col("ended")).select("run_id", F.col("lines").alias("held"))
         is_open = F.col("closed_at").isNull()
         after = (
-            runs.filter(is_open | (F.col("closed_at") > batch_id - self.REMEMBER))
+            runs
             .join(waiting, "run_id", "left")
             .join(open_lines.select("run_id", F.col("data").alias("tail")), "run_id", "left")
             .select("run_id", "n_done", "next_chunk",

@@ -94,3 +94,23 @@ def test_empty_lines_table(spark):
     lines = spark.createDataFrame([], "run_id bigint, line_no bigint, line string")
     done = K.compact_lines(lines)
     assert K.number_lines(done).count() == 0 and K.report(done).count() == 0
+
+
+def test_line_numbers_with_gaps(spark):
+    """Lines from 21 on, or with even numbers only, give what counted lines give, for any block size."""
+    text = [f"no answer from 172.20.3.{i}:6100" for i in range(100)]
+    dense = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(text)], "run_id long, line_no long, line string")
+    want = [r.line for r in K.number_lines(K.compact_lines(dense)).orderBy("out_no").collect()]
+    assert want
+    for numbers in ([21 + i for i in range(100)], [2 * i + 2 for i in range(100)]):
+        rows = spark.createDataFrame([(1, n, x) for n, x in zip(numbers, text)], "run_id long, line_no long, line string")
+        for block in (50, 65_536):
+            done = K.compact_lines(rows, Params(block_lines=block))
+            assert [r.line for r in K.number_lines(done).orderBy("out_no").collect()] == want
+
+
+def test_focus_does_not_depend_on_blocks(spark):
+    rows = [(1, i, "ERROR here" if i == 50 else f"line {i}") for i in range(1, 101)]
+    lines = spark.createDataFrame(rows, "run_id long, line_no long, line string").withColumn("out_no", F.col("line_no"))
+    counts = {focus_failures(lines, Params(block_lines=b)).count() for b in (5, 7, 12, 1000)}
+    assert len(counts) == 1

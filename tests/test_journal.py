@@ -106,7 +106,6 @@ def test_logs_lookup_and_retention(spark):
 def test_snapshot(spark, runs):
     parts = J.snapshot(runs, as_of="2024-01-30")
     assert parts["summary"].first().has_data and parts["recent"].count() == 5
-    parts["runs"].unpersist()
     assert not J.snapshot(spark.createDataFrame([], RUNS))["summary"].first().has_data
 
 
