@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, pieces, ranges, rows_of, strings, word_hashes
 
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_000_000
 HOT_SHARE = 1 / 1000
 MIN_BUCKETS = 256
 KNOWN_WORDS = 200_000
