@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
 1. Documents are cut into pre-tokens by the rules of the vocabulary's pattern. A block of documents (about
-   ``BLOCK_TOKENS`` pre-tokens, whole documents) gives each distinct word in it once, with its positions, so that a
+   ``BLOCK_TOKENS`` pre-tokens, whole documents) gives each distinct word in it once, with how often it occurs, so that a
    word is shuffled once for each block and not once for each place. Words are packed into rows by bucket of their hash.
 2. Rows are dealt out by bucket. Each distinct word is encoded once, in the task that gets it (again only where a task
-   has met more than ``KNOWN_WORDS`` others). Words that fill a large part of a block (``HOT_SHARE``) go to a bucket by
-   word and block, so that the places of the most frequent words don't meet in one task.
-3. Ids go back to their block and are put in place by position.
+   has met more than ``KNOWN_WORDS`` others). A frequent word has one entry for each block, as any other word, so no bucket is hot.
+3. Positions don't travel with words: a second pass over the documents gives, for each block, its words in order, each by its
+   place among the block's words by frequency. Ids join them by block and are put in place. Blocks
+   that don't fit each other raise ValueError.
 
 Decoding joins the token-byte table, which has one row for each id of the vocabulary (50,256 here) and is
 broadcast. Its size is that of the vocabulary file, whatever the corpus holds; ``MAX_VOCABULARY`` is checked.
@@ -15,7 +16,8 @@ Cases: a null or empty text has no tokens; ids of rows that are repeated, or nul
 rows are told apart by their place in a block; text that isn't valid UTF-8 can't occur in a string column; long words
 are merged with a heap, so that a text without white space stays near linear; an unknown id raises ValueError in
 decode, null ids decode to an empty text; other columns are not read; an empty table gives an empty result.
-The input should come from a scan or a written table: if an executor is lost, its part is read again in the same order.
+The input should come from a scan or a written table: it is read twice, and its parts must have the same rows in the same
+order each time, also after an executor was lost.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import mix, pieces, ranges, rows_of, strings, word_hashes
 
 BLOCK_TOKENS = 1_000_000
-HOT_SHARE = 1 / 1000
 MIN_BUCKETS = 256
 KNOWN_WORDS = 200_000
 MAX_VOCABULARY = 2_000_000
@@ -176,7 +177,7 @@ def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return head[chars], np.searchsorted(chars, first_char)
 
 
-# --- positions ---------------------------------------------------------------------
+# --- numbers -----------------------------------------------------------------------
 
 def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers below 2^28 in one to four bytes each, seven bits a byte; and the bytes that each takes."""
@@ -203,8 +204,11 @@ def unpack(data: np.ndarray) -> np.ndarray:
 # --- encoding ----------------------------------------------------------------------
 
 # One row holds the words of a block that fall into one bucket: sizes has the bytes and the number of places of each word.
-_WORDS = "block long, bucket int, sizes binary, words binary, at binary"
-_WORDS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary()), ("at", pa.binary())])
+_WORDS = "block long, bucket int, sizes binary, words binary"
+_WORDS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
+# The documents of a block (id, whether it has one, number of words) and its words in order.
+_ORDER = "block long, docs binary, words binary"
+_ORDER_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("words", pa.binary())])
 
 
 def press(raw) -> bytes:
@@ -216,8 +220,13 @@ def release(held: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(held)
 
 
+def by_frequency(n: np.ndarray) -> np.ndarray:
+    """Words from the most frequent one on; of equals, the first."""
+    return np.argsort(-n, kind="stable")
+
+
 class _Block:
-    """Distinct words of some documents and where they stand."""
+    """Distinct words of some documents, by bucket and hash, and where they stand."""
 
     def __init__(self, number: int, buckets: int) -> None:
         self.number, self.buckets, self.tokens, self.texts = number, buckets, 0, []
@@ -234,22 +243,33 @@ class _Block:
         self.tokens += len(starts)
         self.texts.append((ids, np.diff(first)))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        ids = pa.concat_arrays([i for i, _ in self.texts])
-        counts = np.concatenate([c for _, c in self.texts]).astype(np.int64)
-        known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-        head = np.stack([ids.fill_null(0).to_numpy(), known, counts]).tobytes()
-        yield rows_of(_WORDS_ARROW, [self.number], [self.number % self.buckets], *[pa.array([x], pa.binary()) for x in (None, None, head)])
-        if not self.tokens:
-            return
-        hashes, sizes, data = np.concatenate(self.hashes), np.concatenate(self.sizes), np.concatenate(self.bytes)
-        begin = np.cumsum(sizes) - sizes
+    def sort(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places by hash, first of each group in that order, size and bucket of groups, and groups by bucket."""
+        hashes = np.concatenate(self.hashes)
         order = np.argsort(hashes, kind="stable").astype(np.int32)
         new = np.ones(len(order), bool)
         new[1:] = hashes[order[1:]] != hashes[order[:-1]]
         group = np.flatnonzero(new)
+        bucket = (mix(hashes[order[group]]) % np.uint64(self.buckets)).astype(np.int32)
+        return order, group, np.diff(np.append(group, len(order))), bucket, np.argsort(bucket, kind="stable")
+
+    def order(self) -> pa.RecordBatch:
+        ids = pa.concat_arrays([i for i, _ in self.texts])
+        counts = np.concatenate([c for _, c in self.texts]).astype(np.int64)
+        known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        docs = press(np.stack([ids.fill_null(0).to_numpy(), known, counts]).tobytes())
+        order, group, n, _, by = self.sort()
+        rank = np.empty(len(group), np.int32)
+        rank[by[by_frequency(n[by])]] = np.arange(len(group))
+        words = np.empty(len(order), np.int32)
+        words[order] = np.repeat(rank, n)
+        return rows_of(_ORDER_ARROW, [self.number], pa.array([docs], pa.binary()), pa.array([press(pack(words)[0])], pa.binary()))
+
+    def words(self) -> pa.RecordBatch:
+        sizes, data = np.concatenate(self.sizes), np.concatenate(self.bytes)
+        begin = np.cumsum(sizes) - sizes
+        order, group, n, bucket, by = self.sort()
         one = order[group]  # first place of each word
-        n = np.diff(np.append(group, len(order)))
         # every word has the bytes of the first of its group
         where = np.empty(len(order), np.int32)
         where[order] = np.repeat(one, n)
@@ -261,61 +281,58 @@ class _Block:
             here = np.arange(begin[lo], begin[lo] + len(shift))
             if not np.array_equal(data[here], data[here + shift]):
                 raise ValueError("two words with one hash")
-        gap = order.copy()
-        gap[1:] -= order[:-1]
-        gap[group] = one
-        hot = n > max(64, self.tokens * HOT_SHARE)
-        key = hashes[one].copy()
-        key[hot] += np.uint64(self.number * 0x9E3779B97F4A7C15 % 2**64)
-        bucket = (mix(key) % np.uint64(self.buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        at, _ = ranges(group[by], group[by] + n[by] - 1)
-        places, place_sizes = pack(gap[at])
-        spot, _ = ranges(begin[one[by]], begin[one[by]] + sizes[one[by]] - 1)
-        packed, packed_sizes = pack(np.stack([sizes[one[by]], n[by]], 1).ravel())
+        one = one[by]
+        spot, _ = ranges(begin[one], begin[one] + sizes[one] - 1)
+        packed, packed_sizes = pack(np.stack([sizes[one], n[by]], 1).ravel())
         used, cut = np.unique(bucket[by], return_index=True)
         cut = np.append(cut, len(by))
 
         def column(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
             ends = np.append(0, ends)[cut]
             return pa.array([press(raw[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        yield rows_of(_WORDS_ARROW, np.full(len(used), self.number), used, column(packed, np.cumsum(packed_sizes)[1::2]),
-                      column(data[spot], np.cumsum(sizes[one[by]])), column(places, np.cumsum(place_sizes)[np.cumsum(n[by]) - 1]))
+        return rows_of(_WORDS_ARROW, np.full(len(used), self.number), used, column(packed, np.cumsum(packed_sizes)[1::2]),
+                       column(data[spot], np.cumsum(sizes[one])))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[_Block]:
+    number = TaskContext.get().partitionId() << 32
+    block = _Block(number, buckets)
+    for b in batches:
+        ids = b.column("id")
+        for lo, hi, data, offs in pieces(b.column("text"), 1 << 20):
+            block.add(ids.slice(lo, hi - lo), data, offs)
+            if block.tokens >= BLOCK_TOKENS:
+                yield block
+                number += 1
+                block = _Block(number, buckets)
+    if block.texts:
+        yield block
+
+
+def _words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (block.words() for block in _blocks(batches, buckets) if block.tokens)
+    return run
 
 
-def _take_apart(buckets: int):
+def _order(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        block = _Block(number, buckets)
-        for b in batches:
-            ids = b.column("id")
-            for lo, hi, data, offs in pieces(b.column("text"), 1 << 20):
-                block.add(ids.slice(lo, hi - lo), data, offs)
-                if block.tokens >= BLOCK_TOKENS:
-                    yield from block.rows()
-                    number += 1
-                    block = _Block(number, buckets)
-        if block.texts:
-            yield from block.rows()
+        yield from (block.order() for block in _blocks(batches, buckets))
     return run
 
 
 # sizes has the number of places and of ids of each word.
-_PARTS = "block long, head boolean, sizes binary, at binary, ids binary"
-_PARTS_ARROW = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("sizes", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
+_PARTS = "block long, bucket int, sizes binary, ids binary"
+_PARTS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode_words(table):
     """Words of a bucket to their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = table.value, {}
-        wide = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
         for b in batches:
+            made_sizes, made_ids = [], []
             for i in range(b.num_rows):
-                block, places = [b.column("block")[i].as_py()], b.column("at").slice(i, 1)
-                if not b.column("words")[i].is_valid:
-                    yield rows_of(_PARTS_ARROW, block, [True], pa.array([None], pa.binary()), places, pa.array([None], pa.binary()))
-                    continue
                 size, n = unpack(np.frombuffer(release(b.column("sizes")[i].as_py()), np.uint8)).reshape(-1, 2).T
                 words, ids, made, lo = release(b.column("words")[i].as_py()), [], [], 0
                 for hi in np.cumsum(size).tolist():
@@ -327,9 +344,9 @@ def _encode_words(table):
                             known[word] = x
                     ids += x
                     made.append(len(x))
-                sizes = press(pack(np.stack([n, np.array(made, np.int64)], 1).ravel())[0])
-                yield rows_of(_PARTS_ARROW, block, [False], pa.array([sizes], pa.binary()), places,
-                              pa.array([bytes([wide().itemsize]) + press(np.array(ids, wide).tobytes())], pa.binary()))
+                made_sizes.append(press(pack(np.stack([n, np.array(made, np.int64)], 1).ravel())[0]))
+                made_ids.append(press(np.array(ids, np.int32).tobytes()))
+            yield rows_of(_PARTS_ARROW, b.column("block"), b.column("bucket"), pa.array(made_sizes, pa.binary()), pa.array(made_ids, pa.binary()))
     return run
 
 
@@ -337,31 +354,22 @@ _TOKENS = "doc_id long, ids array<int>"
 _TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _put_together(t: pa.Table) -> pa.Table:
+def _put_together(order: pa.Table, parts: pa.Table) -> pa.Table:
     """Documents of one block with their ids."""
-    head = t.column("head").to_pylist()
-    parts = {c: t.column(c).to_pylist() for c in ("sizes", "at", "ids")}
-    doc, known, counts = np.frombuffer(parts["at"][head.index(True)], np.int64).reshape(3, -1)
-    total = int(counts.sum())
-    word_at = np.zeros(total, np.int32)
-    lengths, flat, base = [], [], 0
-    for i, h in enumerate(head):
-        if h:
-            continue
-        sizes = unpack(np.frombuffer(release(parts["sizes"][i]), np.uint8)).reshape(-1, 2)
-        gaps, n = unpack(np.frombuffer(release(parts["at"][i]), np.uint8)), sizes[:, 0]
-        first = np.cumsum(n) - n
-        sums = np.cumsum(gaps)
-        places = sums - np.repeat(sums[first] - gaps[first], n)
-        word_at[places] = np.repeat(np.arange(len(sizes)) + base, n)
-        base += len(sizes)
-        lengths.append(sizes[:, 1])
-        flat.append(np.frombuffer(release(parts["ids"][i][1:]), np.uint16 if parts["ids"][i][0] == 2 else np.uint32).astype(np.int32))
-    length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-    ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-    begin = np.cumsum(length) - length
-    size = length[word_at]
-    out = ids[np.arange(int(size.sum()), dtype=np.int32) + np.repeat((begin[word_at] - (np.cumsum(size) - size)).astype(np.int32), size)]
+    if order.num_rows != 1:
+        raise ValueError("the parts of the input changed between its two passes")
+    doc, known, counts = np.frombuffer(release(order.column("docs")[0].as_py()), np.int64).reshape(3, -1)
+    words = unpack(np.frombuffer(release(order.column("words")[0].as_py()), np.uint8))
+    parts = parts.sort_by("bucket")
+    sizes = np.concatenate([np.zeros((0, 2), np.int64), *(unpack(np.frombuffer(release(x.as_py()), np.uint8)).reshape(-1, 2) for x in parts.column("sizes"))])
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(release(x.as_py()), np.int32) for x in parts.column("ids"))])
+    turn = by_frequency(sizes[:, 0])
+    if len(words) != counts.sum() or not np.array_equal(np.bincount(words, minlength=len(turn)), sizes[turn, 0]):
+        raise ValueError("the parts of the input changed between its two passes")
+    length = sizes[:, 1]
+    begin = (np.cumsum(length) - length)[turn]
+    size = length[turn][words]
+    out = ids[np.arange(int(size.sum()), dtype=np.int32) + np.repeat((begin[words] - (np.cumsum(size) - size)).astype(np.int32), size)]
     offs = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
     if offs[-1] > 2**31 - 1:
         raise ValueError("more than 2^31 tokens in one block")
@@ -374,8 +382,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     table = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = max(MIN_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = rows.mapInArrow(_take_apart(buckets), _WORDS).repartition("bucket")
-    return words.mapInArrow(_encode_words(table), _PARTS).groupBy("block").applyInArrow(_put_together, _TOKENS)
+    parts = rows.mapInArrow(_words(buckets), _WORDS).repartition("bucket").mapInArrow(_encode_words(table), _PARTS)
+    order = rows.mapInArrow(_order(buckets), _ORDER)
+    # Each side has a shuffle of its own, so the number of a part is that of the scan in both.
+    return order.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_put_together, _TOKENS)
 
 
 _DECODED = "doc_id long, ids array<int>, bytes binary"
