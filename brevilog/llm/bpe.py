@@ -402,10 +402,7 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.frombuffer(b"".join(ranks), np.uint8), start, size
 
 
-def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``tokens`` (doc_id, ids) with the bytes that the ids stand for."""
-    table = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
-
+def _decode(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, start, size = table.value
         for b in batches:
@@ -423,15 +420,20 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 out = data[np.arange(int(sums[-1])) + np.repeat(start[flat] - sums[:-1], n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), strings(out, sums[offs - offs[0]], pa.binary())],
                                                  schema=_DECODED_ARROW)
-    return tokens.select("doc_id", "ids").mapInArrow(run, _DECODED)
+    return run
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``tokens`` (doc_id, ids) with the bytes that the ids stand for."""
+    table = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    return tokens.select("doc_id", "ids").mapInArrow(_decode(table), _DECODED)
 
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _DIGESTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, perhaps ids): ids as little-endian unsigned 32-bit integers."""
+def _digest(keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, made, kept = [], [], []
@@ -442,4 +444,15 @@ def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
                 kept.append(hashlib.sha256(text.as_buffer() if text.is_valid else b"").hexdigest())
             done = rows_of(_DIGESTS_ARROW, b.column("doc_id"), n, made, kept)
             yield done.append_column("ids", b.column("ids")) if keep_ids else done
-    return decoded.select("doc_id", "ids", "bytes").mapInArrow(run, _DIGESTS + (", ids array<int>" if keep_ids else ""))
+    return run
+
+
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, perhaps ids): ids as little-endian unsigned 32-bit integers."""
+    return decoded.select("doc_id", "ids", "bytes").mapInArrow(_digest(keep_ids), _DIGESTS + (", ids array<int>" if keep_ids else ""))
+
+
+def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
+    """``digests(decode(tokens))`` in one step, so that decoded texts stay in the task that makes them."""
+    decoded, digest = _decode(tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))), _digest(keep_ids)
+    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: digest(decoded(batches)), _DIGESTS + (", ids array<int>" if keep_ids else ""))

@@ -83,7 +83,7 @@ def op3(spark, sf):
 @register("op2_bpe")
 def op2(spark, sf):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks), ranks))
+    return bpe.decoded_digests(bpe.encode(table(spark, sf, "documents"), ranks), ranks)
 
 
 @register("op6_decontamination", f"""WITH {SHINGLES},
