@@ -36,7 +36,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of the ids and of the text they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks), ranks), keep_ids=True)
+    return bpe.decoded_digests(bpe.encode(docs, ranks), ranks, keep_ids=True)
 
 
 STAGES = [
