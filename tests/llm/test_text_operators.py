@@ -162,6 +162,8 @@ def test_bpe(spark, docs, rows, empty, ranks):
     one = bpe.digests(done).where("doc_id = 1301").first() or bpe.digests(done).where("doc_id = 8").first()
     ids = next(k for k in want if k[0] == one.doc_id)
     assert one.n_tokens == len(ids[1]) and one.ids_sha256 == hashlib.sha256(np.array(ids[1], "<u4").tobytes()).hexdigest()
+    once = bpe.decoded_digests(bpe.encode(more, ranks), ranks)
+    assert collections.Counter(once.collect()) == collections.Counter(bpe.digests(done).collect())
     assert bpe.decode(bpe.encode(empty, ranks), ranks).count() == 0
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), ranks).collect()
