@@ -249,3 +249,18 @@ def test_bit_probabilities_are_proper():
     assert abs(math.exp(a) + math.exp(b) - 1) < 1e-4
     tree = mixing_lm.code_tree(np.array([5, 900, 3] + [0] * 253))
     assert abs(sum(2.0 ** -tree.size) - 1) < 1e-12 and tree.size[1] == tree.size.min()
+
+
+def test_every_context_is_counted_by_itself(docs, rows):
+    """The table of contexts grows with the texts, and no two contexts share their counts."""
+    from brevilog.llm.common import keyed
+    want = collections.Counter()
+    for _, t, *_ in rows:
+        text = " ".join(words_of(t, lower=True)).encode() + b"\n"
+        for at, byte in enumerate(text):
+            before = b"\n" * 6 + text[:at]
+            want.update((order, before[-k:], byte) for order, k in enumerate((2, 3, 4, 6)))
+    got = mixing_lm.context_counts(keyed(docs, "doc_id", "text")).collect()
+    found = {(x.ctx >> 56, x.ctx.to_bytes(8, "big")[8 - (2, 3, 4, 6)[x.ctx >> 56] :], v & 255): v >> 8 for x in got for v in x.held if x.ctx >> 56 < 4}
+    assert found == want
+    assert len(got) > len({k[:2] for k in want})
