@@ -7,8 +7,8 @@ A page becomes a tree of elements. For every node
 with C characters, T tags, LC characters inside links, LT link tags, and Cb, LCb of the body (a zero
 denominator counts as 1): text with many links is pulled down, long plain text pulled up. The
 node with the largest sum of its children's densities is the main node. The threshold is the smallest density on
-the path from the body to it; neighbours of that path that are headings or running text and reach the
-threshold belong to the text too. If the main node lies in an article element, that element is the text.
+the path from the body to it. Every block off that path that reaches the threshold, at any depth and of any name, and whose
+text is not mostly links, gives the node with the largest sum below it (or itself) to the text too. If the main node lies in an article element, that element is the text.
 
 Before that, elements whose name, role or class says that they are no text of the article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, reader comments) are cut out.
@@ -46,7 +46,7 @@ MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header mast
                   "advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal "
                   "newsletter subscribe signup share sharing social related recommended comment comments disqus widget "
                   "pagination pager toolbar gdpr".split())
-TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -73,6 +73,8 @@ class _Tree(HTMLParser):
         return j  # line numbers aren't needed
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or self.tag[self.open[-1]] == "head" and tag not in IN_HEAD and tag != "html":
+            self._pop_to(frozenset(("head",)), frozenset())  # </head> may be left out
         if tag in ("html", "body"):
             return
         if tag in CLOSES_P:
@@ -119,6 +121,8 @@ class _Tree(HTMLParser):
         self._pop_to(frozenset((tag,)), frozenset() if tag in SCOPE else SCOPE)
 
     def handle_data(self, data: str) -> None:
+        if data.strip() and self.tag[self.open[-1]] == "head":
+            self._pop_to(frozenset(("head",)), frozenset())
         if data:
             self.run.append((self.open[-1], data))
 
@@ -183,9 +187,12 @@ def extract(html: str) -> str:
     else:
         least = min(density[i] for i in path)
         on_path = set(path)
-        # what stands beside the path: headings and running text, or blocks of them
-        roots |= {i for i in range(1, n) if parent[i] in on_path and i not in on_path and not gone[i]
-                  and tag[i] in TEXT and density[i] >= least and 2 * link_chars[i] < chars[i]}
+        best = list(range(n))  # the node with the largest sum in each subtree
+        for i in range(n - 1, 0, -1):
+            if total[best[i]] > total[best[parent[i]]]:
+                best[parent[i]] = best[i]
+        roots |= {best[i] for i in range(1, n) if i not in on_path and not gone[i] and chars[i]
+                  and tag[i] not in INLINE and density[i] >= least and 2 * link_chars[i] < chars[i]}
         if main == 0:
             roots = {0}
     inside = [i in roots for i in range(n)]

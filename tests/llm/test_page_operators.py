@@ -21,6 +21,25 @@ def test_extract(html, text):
     assert html_text.extract(html) == text
 
 
+def words(name, n=40):
+    return f"Paragraph {name} " + " ".join(f"{name}word{i}" for i in range(n)) + "."
+
+
+@pytest.mark.parametrize("block", ["<div>{}</div>", "<section><div>{}</div></section>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>",
+                                   "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<dl><dd>{}</dd></dl>"])
+def test_text_in_several_blocks_without_article(block):
+    parts = [words(c) for c in "abcdef"]
+    html = ("<body><div><a href=x>Home</a> <a href=y>News</a></div><div><section><h2>First heading of it all here</h2><p>" + "</p><p>".join(parts[:4]) + "</p></section>"
+            + "".join(block.format(f"<p>{p}</p>") for p in parts[4:]) + "</div></body>")
+    got = html_text.extract(html)
+    assert [p for p in parts if p in got] == parts and "News" not in got
+
+
+@pytest.mark.parametrize("rest", ["<body><p>one</p><p>two</p>", "<p>one</p><p>two", "<div>one</div>two", "one<p>two"])
+def test_head_that_is_not_closed(rest):
+    assert html_text.extract("<html><head><title>T</title><meta name=x>\n<script>no</script>" + rest) == "one\n\ntwo"
+
+
 def test_deep_page():
     assert html_text.extract("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
 
