@@ -6,12 +6,13 @@
   likelihoods are counts by grouped aggregation over documents with a known language. ``pull`` keeps the
   many dependent trigrams of a long page from drowning everything else.
 * Declared markup language and address suffix (the first two-letter part of the path, else the last part of the host):
-  how often they go with a language is counted over all pages, by the language that the text alone gives.
+  how often they go with a language is counted over all pages with text, by the language that the text alone gives. Each
+  value has its own counts, however rare; those of a value lean on how often each language occurs, with ``SMOOTH`` pseudo-counts.
 * Host: prior of a host, smoothed towards its registered domain, that towards its top-level domain, and that towards
   the whole table, with ``SMOOTH`` pseudo-counts a level. Each level is a grouped aggregate.
 
-The model's tables have CELLS rows, or one for each value of a declaration that is seen ``LEAST`` times or more and each language; hosts are
-never collected, their priors are joined.
+The text model has CELLS rows for each language and is collected; values of declarations, suffixes and hosts
+are never collected, what is known of them is joined. Pages without text vote for no language.
 
 Cases: null or empty html has no text, so the other evidence decides; a null url has no host and takes the prior of the whole table; a page without
 any evidence gets the most frequent language; ties go to the first language by name; without training rows the result is null;
@@ -33,7 +34,6 @@ from .common import LOWER, mix, pieces, rows_of, stash
 CELLS = 1 << 16
 SMOOTH = 20.0
 PULL_BYTES = 300   # a page's text weighs at most as much as so many trigrams
-LEAST = 20         # declarations seen less often count as one
 MAX_LANGS = 200
 
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>?")
@@ -91,7 +91,7 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def _evidence(held, n_langs: int):
-    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("said", pa.string()), ("text_logs", pa.list_(pa.float64()))])
+    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("said", pa.string()), ("has_text", pa.bool_()), ("text_logs", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,12 +99,13 @@ def _evidence(held, n_langs: int):
                 part = b.slice(lo, 500)
                 html = part.column("html").to_pylist()
                 said = [declared(h) for h in html]
-                logs = []
+                logs, has_text = [], []
                 for h in html:
                     c = cells(np.frombuffer(visible(h).encode(), np.uint8))
+                    has_text.append(len(c) > 0)
                     s = held.value[:, c].sum(1) * min(1.0, PULL_BYTES / max(len(c), 1)) if len(c) else np.zeros(n_langs)
                     logs.append(s - s.max() if len(s) else s)
-                yield rows_of(out, part.column("page_id"), part.column("url").cast(pa.string()), said, pa.array(logs, pa.list_(pa.float64())))
+                yield rows_of(out, part.column("page_id"), part.column("url").cast(pa.string()), said, has_text, pa.array(logs, pa.list_(pa.float64())))
     return run
 
 
@@ -117,22 +118,12 @@ def url_parts(url: Column) -> dict[str, Column]:
             "top": F.element_at(parts, -1), "suffix": F.when(path != "", path).otherwise(F.element_at(parts, -1))}
 
 
-def _vote_logs(rows: DataFrame, column: str, langs: list[str]) -> Column:
-    """log P(value | lang) as an array column; rare values count as one."""
-    counts: dict[str, np.ndarray] = {}
-    totals = np.zeros(len(langs))
-    grouped = rows.groupBy(column).agg(*[F.sum((F.col("first") == k).cast("long")) for k in range(len(langs))], F.count("*").alias("n"))
-    for row in grouped.where(F.col("n") >= LEAST).orderBy(F.desc("n"), column).limit(1000).collect():
-        counts[row[0]] = np.array(row[1:-1], float)
-    whole = np.array(rows.agg(*[F.coalesce(F.sum((F.col("first") == k).cast("long")), F.lit(0)) for k in range(len(langs))]).first(), float)
-    totals = whole + 1.0 * (len(counts) + 1)
-    rest = whole - sum(counts.values(), np.zeros(len(langs)))
-    logs = lambda n: F.array(*[F.lit(float(x)) for x in np.log((n + 1.0) / totals)])
-    out = logs(rest)
-    chosen = None
-    for value, n in counts.items():
-        chosen = (F if chosen is None else chosen).when(F.col(column) == value, logs(n))
-    return out if chosen is None else chosen.otherwise(out)
+def _vote_logs(seen: DataFrame, column: str, tally: list[Column], prior: np.ndarray) -> DataFrame:
+    """(column, column_logs): log P(lang | value) / P(lang), which is log P(value | lang) but for a constant, for each value."""
+    n = seen.groupBy(column).agg(*tally)
+    total = sum((F.col(f"c{k}") for k in range(len(prior))), F.lit(SMOOTH))
+    logs = [F.log((F.col(f"c{k}") + SMOOTH * float(p)) / total / float(p)) for k, p in enumerate(prior)]
+    return n.select(column, F.array(*logs).alias(f"{column}_logs"))
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -147,14 +138,15 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         empty = [F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"))]
         return rows.select("page_id", "url", *empty)
     held = docs.sparkSession.sparkContext.broadcast(logs)
-    seen = rows.mapInArrow(_evidence(held, len(langs)), "page_id long, url string, said string, text_logs array<double>")
-    best = (F.array_position(F.col("text_logs"), F.array_max("text_logs")) - 1).cast("int")
+    seen = rows.mapInArrow(_evidence(held, len(langs)), "page_id long, url string, said string, has_text boolean, text_logs array<double>")
+    best = F.when(F.col("has_text"), (F.array_position(F.col("text_logs"), F.array_max("text_logs")) - 1).cast("int"))
     seen = stash(seen.withColumns(url_parts(F.col("url"))).withColumn("first", best), "evidence")
     # Hosts: counts by language at each level; a level's prior leans on the next one up.
-    tally = [F.sum((F.col("first") == k).cast("double")).alias(f"c{k}") for k in range(len(langs))]
+    tally = [F.coalesce(F.sum((F.col("first") == k).cast("double")), F.lit(0.0)).alias(f"c{k}") for k in range(len(langs))]
     by_host = seen.where("host <> ''").groupBy("host", "domain", "top").agg(*tally)
-    whole = np.array(seen.agg(*[F.coalesce(t, F.lit(0.0)) for t in tally]).first(), float) + 1.0
-    prior = F.array(*[F.lit(float(x)) for x in whole / whole.sum()])
+    whole = np.array(seen.agg(*tally).first(), float) + 1.0
+    shares = whole / whole.sum()
+    prior = F.array(*[F.lit(float(x)) for x in shares])
 
     def level(name: str) -> DataFrame:
         return by_host.groupBy(name).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(langs))]).select(
@@ -166,11 +158,12 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     hosts = by_host.select("host", "domain", "top", F.array(*[F.col(f"c{k}") for k in range(len(langs))]).alias("host_n"))
     hosts = hosts.join(level("domain"), "domain").join(level("top"), "top")
     hosts = hosts.select("host", lean(F.col("host_n"), lean(F.col("domain_n"), lean(F.col("top_n"), prior))).alias("host_prior"))
-    said, suffix = _vote_logs(seen, "said", langs), _vote_logs(seen, "suffix", langs)
-    joined = seen.join(hosts, "host", "left").withColumns({"said_logs": said, "suffix_logs": suffix, "host_prior": F.coalesce("host_prior", prior)})
+    joined = seen.join(hosts, "host", "left").withColumn("host_prior", F.coalesce("host_prior", prior))
+    for column in ("said", "suffix"):
+        joined = joined.join(_vote_logs(seen, column, tally, shares), column)
     parts = [F.col("text_logs")[k] + F.col("said_logs")[k] + F.col("suffix_logs")[k] + F.log(F.col("host_prior")[k]) for k in range(len(langs))]
     joined = joined.withColumn("all", F.array(*parts)).withColumn("top_log", F.array_max("all"))
     names = F.array(*[F.lit(x) for x in langs])
     return joined.select("page_id", "url", F.element_at(names, F.array_position("all", F.col("top_log")).cast("int")).alias("lang"),
                          (1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top_log")))).alias("probability"),
-                         F.element_at(names, F.col("first") + 1).alias("text_lang"), F.col("said").alias("declared"), "host")
+                         F.when(F.col("first").isNotNull(), F.element_at(names, F.col("first") + 1)).alias("text_lang"), F.col("said").alias("declared"), "host")

@@ -98,3 +98,31 @@ def test_language(spark):
     assert got[201].lang in ("de", "en") and 0 < got[201].probability <= 1
     assert language_id.identify(spark.createDataFrame([], SCHEMA), docs).count() == 0
     assert language_id.identify(spark.createDataFrame(pages[:1], SCHEMA), docs.limit(0)).first().lang is None
+
+
+def test_rare_declarations_count_by_themselves_and_empty_pages_do_not_vote(spark):
+    docs = spark.createDataFrame([("the cat and the dog with this and that " * 5, "en"), ("der hund und die katze mit dem und das ist " * 5, "de")], "text string, lang string")
+    say = {"en": "this and the dog", "de": "der hund und die katze"}
+    pages = [(i, f"http://h{i}.example.org/", f"<html lang=en><p>{say['en']} {i}</p>", "", "") for i in range(60)]
+    pages += [(100 + i, f"http://g{i}.example.org/", f"<html lang={x}><p>{say['de']} {i}</p>", "", "") for i, x in enumerate(["de", "de", "de", "nds", "nds", "nds"])]
+    pages += [(300 + i, f"http://k{i}.example.org/", f"<html lang={x}><p>{say['en']} {i}</p>", "", "") for i, x in enumerate(["sco"] * 10)]
+    few = spark.createDataFrame(pages, SCHEMA)
+    asked = [(200, "http://x.other/", "<html lang=nds><p>1", "", ""), (201, "http://y.other/", "<html lang=sco><p>2", "", "")]
+    asked = [(i, u, h, "", "") for i, u, h, *_ in asked]
+    got = {r.page_id: r for r in language_id.identify(few.union(spark.createDataFrame(asked, SCHEMA)), docs).collect()}
+    alone = {r.page_id: r for r in language_id.identify(few, docs).collect()}
+    # seen three and ten times: each speaks for its own language
+    share = lambda r: r.probability if r.lang == "de" else 1 - r.probability
+    assert share(got[200]) > 2 * share(got[201])
+    assert got[200].text_lang is None and got[100].text_lang == "de"
+    # what pages without text are given tells nothing of others
+    assert all(abs(got[i].probability - alone[i].probability) < 1e-12 and got[i].lang == alone[i].lang for i in alone)
+
+
+def test_no_suffix_is_left_out(spark):
+    """More values than any fixed number: the last ones count as the first ones do."""
+    docs = spark.createDataFrame([("the cat and the dog with this and that " * 5, "en"), ("der hund und die katze mit dem und das ist " * 5, "de")], "text string, lang string")
+    pages = [(i, f"http://a.t{i % 1500}/", "<p>der hund und die katze" if i % 1500 == 1499 else "<p>this and the dog", "", "") for i in range(30_000)]
+    pages.append((-1, "http://b.t1499/", "", "", ""))
+    got = language_id.identify(spark.createDataFrame(pages, SCHEMA), docs).where("page_id = -1").first()
+    assert got.lang == "de" and got.text_lang is None
