@@ -14,8 +14,8 @@ A document's set is its distinct five-word shingles (A-Z lower-cased). Its sketc
    hubs. So thousands of near copies of one text cost one comparison each and list, not one for each pair.
    Classes that are still in lists of several components get lists by their full sets, where only the rarest
    15 % of a set count; members of different components are compared there.
-4. A pair is compared only if the sizes allow it and the estimate from the sketch of the union is near
-   the threshold; then the full sets decide.
+4. A pair is compared only if the sizes allow it; with hubs also only if the estimate from the sketch of the union is
+   near the threshold. Then the full sets decide. What the estimate leaves out goes on to the lists by full sets.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; with one to four words the
 whole sequence is the one shingle; rows with equal ids are one document; rows without an id are linked
@@ -127,15 +127,19 @@ def _confirm(percent: int, shingle: int):
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b) whose estimate is near enough and whose full sets are similar enough."""
+def likely(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose estimate is near the threshold. Says which pairs are worth a look first, and decides nothing."""
     s = reps.select("id", "sketch")
     a, b = s.toDF("a", "sketch_a"), s.toDF("b", "sketch_b")
     share = percent / 100
     margin = 5 * (share * (1 - share) / k) ** 0.5  # five standard deviations of the estimate
-    likely = (pairs.join(a, "a").join(b, "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= share - margin)
-              .select("a", "b").distinct())
-    return (likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return (pairs.join(a, "a").join(b, "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= share - margin)
+            .select("a", "b").distinct())
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
+    return (pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, shingle), _LINK))
 
 
@@ -207,9 +211,10 @@ def class_components(docs: DataFrame, reps: DataFrame, known: DataFrame, id_col:
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
+        # The estimate only picks what hubs are compared with; pairs that it leaves out are open to the last round.
+        pairs = stash(likely(pairs, reps, k, percent) if turn < HUB_ROUNDS else pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        new = stash(confirmed(pairs, reps, texts, k, percent, shingle), "links")
+        new = stash(confirmed(pairs, texts, percent, shingle), "links")
         found = found.union(new)
         if comp is None or not new.isEmpty():
             comp = components(found)

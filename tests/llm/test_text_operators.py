@@ -126,6 +126,13 @@ def test_many_near_copies_cost_few_pairs(spark):
     assert got == brute_components(rows)
 
 
+def test_estimates_decide_nothing(docs, rows, monkeypatch):
+    """A pair whose sketches look unlike is still decided on full sets."""
+    monkeypatch.setattr(minhash_dedup, "estimate", lambda a, b, k: F.lit(0.0))
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs).collect() if x.doc_id is not None}
+    assert got == brute_components(rows)
+
+
 def test_decontamination(spark, docs, rows, empty):
     words = words_of(rows[14][1])
     items = [(0, " ".join(words_of(rows[16][1])[:60])), (1, " ".join(words[5:40]) + " and more that no text has at all"), (2, None), (3, ""), (4, "one"),
