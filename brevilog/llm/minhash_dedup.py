@@ -5,9 +5,9 @@ A document's set is its distinct five-word shingles (A-Z lower-cased). Its sketc
 
 1. Documents with equal sets (equal size and 128-bit digest) are one class; its smallest id represents it.
 2. Inverted lists: retained value -> classes. Values held by one class drop out. Of what is left a class
-   is listed only under its rarest values: two sets that are similar enough share at least half of
-   their retained values (at a similarity of 0.85 and k = 32 the chance of fewer is below one in a
-   million), so they must meet in the rarest half plus one. A passage common to many texts
+   is listed only under its rarest values: two sets that are similar enough share at least
+   ``list_share`` of their retained values (half at a similarity of 0.85 and k = 32; the chance of fewer is below one in a
+   million), so they must meet in the rarest of them, the rest plus one. A passage common to many texts
    is a frequent value and opens no list for texts that are mostly their own.
 3. Each list compares its members with one hub, the member whose values are most shared. Links found
    give components; a list whose members are all in one component is done; the others go on with other
@@ -24,6 +24,7 @@ with nothing and kept; other columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, shingle), _LINK))
 
 
+def list_share(k: int, percent: int) -> float:
+    """Share of ``k`` retained values that similar enough sets have in common, but for a chance of one in a million."""
+    p, chance, m = percent / 100, 0.0, 0
+    while m < k and (chance := chance + math.comb(k, m) * p**m * (1 - p) ** (k - m)) <= 1e-6:
+        m += 1
+    return max(m, 1) / k
+
+
 def listed(reps: DataFrame, share: float) -> DataFrame:
     """(v, place, id, n, weight): the lists under which a class stands.
 
@@ -195,7 +204,7 @@ def class_components(docs: DataFrame, reps: DataFrame, known: DataFrame, id_col:
                      shingle: int) -> DataFrame:
     """(id, comp) of the representatives that have a link; ``known``: pairs (a, b) that belong together anyway."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lists = stash(listed(reps, 0.5), "lists")
+    lists = stash(listed(reps, list_share(k, percent)), "lists")
     found, comp, tried = known, None, None
     for turn in range(HUB_ROUNDS + 1):
         rows = _with_components(lists, comp)

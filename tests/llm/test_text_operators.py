@@ -133,6 +133,18 @@ def test_estimates_decide_nothing(docs, rows, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_pipeline_drops_copies_from_80_percent(spark):
+    import corpus_pipeline
+    base = [f"w{i}" for i in range(204)]  # 200 shingles; each edit far from others changes five
+    far = lambda n: [f"e{i}" if i % 20 == 10 and i // 20 < n else w for i, w in enumerate(base)]
+    texts = [base, far(4), far(5)]  # similarity to the first: 180/220 = 0.818, 175/225 = 0.778
+    docs = spark.createDataFrame([(0, " ".join(texts[0])), (1, " ".join(texts[1]))], "doc_id long, text string")
+    other = spark.createDataFrame([(0, " ".join(texts[0])), (2, " ".join(texts[2]))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [0]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, other, "").collect()) == [0, 2]
+    assert minhash_dedup.list_share(32, 85) == 0.5 and minhash_dedup.list_share(32, 80) == 13 / 32
+
+
 def test_decontamination(spark, docs, rows, empty):
     words = words_of(rows[14][1])
     items = [(0, " ".join(words_of(rows[16][1])[:60])), (1, " ".join(words[5:40]) + " and more that no text has at all"), (2, None), (3, ""), (4, "one"),
