@@ -283,3 +283,19 @@ def test_every_context_is_counted_by_itself(docs, rows):
     found = {(x.ctx >> 56, x.ctx.to_bytes(8, "big")[8 - (2, 3, 4, 6)[x.ctx >> 56] :], v & 255): v >> 8 for x in got for v in x.held if x.ctx >> 56 < 4}
     assert found == want
     assert len(got) > len({k[:2] for k in want})
+
+
+def test_all_training_rows_are_counted(docs):
+    from brevilog.llm.common import keyed
+    rows = keyed(docs, "doc_id", "text")
+    model = mixing_lm.train(rows)
+    key = lambda x: (x.ctx, tuple(sorted(x.held)))
+    assert sorted(map(key, model.counts.collect())) == sorted(map(key, mixing_lm.context_counts(rows).collect()))
+
+
+def test_the_end_of_a_long_text_teaches_too():
+    sign = np.ones(120_000, np.float32)
+    sign[70_000:] = -1
+    x, last = np.ones((3, len(sign)), np.float32), lambda n: np.array([0, n])
+    cost = mixing_lm.mix_stream(x[:, :70_000], sign[:70_000], last(70_000), np.full(3, 0.3))[0] - mixing_lm.mix_stream(x, sign, last(len(sign)), np.full(3, 0.3))[0]
+    assert cost < 0.5 * 50_000 * math.log(2)
