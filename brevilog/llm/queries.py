@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, substring_dedup, warc
+from . import bpe, decontaminate, html_text, language_id, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, sharding, substring_dedup, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,31 @@ def op5(spark, sf):
 @register("op7_language_id")
 def op7(spark, sf):
     return language_id.identify(table(spark, sf, "pages"), table(spark, sf, "documents"))
+
+
+def _sharding_sql(rounds: int, seed: int) -> str:
+    """The permutation with a and b from the number of rows; rows whose number is n or more walk on."""
+    left, right = "(x // b)", "(x % b)"
+    for turn in range(rounds):
+        half, side = (left, "b") if turn % 2 else (right, "a")
+        digest = f"('0x' || substr(md5({half} || ':{turn}:{seed}'), 1, 15))::BIGINT % {side}"
+        left, right = (left, f"(({right} + {digest}) % b)") if turn % 2 else (f"(({left} + {digest}) % a)", right)
+    once = f"{left} * b + {right}"
+    return f"""WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+  rows AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  crc AS (SELECT doc_id, size, xor(4294967295, list_reduce(range(1, size), lambda c, k: xor(c >> 8,
+        t[1 + (xor(c, ('0x' || substr(h, 2 * k - 1, 2))::BIGINT) & 255)]), 4294967295)) AS text_crc32 FROM rows, bits),
+  num AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x0 FROM crc),
+  size_b AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS b FROM num),
+  k AS (SELECT n, b, (n + b - 1) // b AS a FROM size_b),
+  walk(x0, x, n, a, b) AS (SELECT x0, {once}, n, a, b FROM (SELECT x0, x0 AS x, n, a, b FROM num, k)
+    UNION ALL SELECT x0, {once}, n, a, b FROM walk WHERE x >= n)
+  SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 8)::INTEGER AS shard, x // 8 AS slot, NULL::INTEGER AS grown_shard
+  FROM num JOIN walk USING (x0) WHERE x < n"""
+
+
+@register("op13_sharding", _sharding_sql(sharding.ROUNDS, sharding.SEED))
+def op13(spark, sf):
+    placed = sharding.shard_documents(table(spark, sf, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
