@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, sharding, substring_dedup, warc
+from . import bpe, decontaminate, hard_negatives, html_text, language_id, minhash_dedup, mixing_lm, pairwise_quality, quality_rules, sharding, substring_dedup, token_alignment, warc
 from .common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,30 @@ def _sharding_sql(rounds: int, seed: int) -> str:
 def op13(spark, sf):
     placed = sharding.shard_documents(table(spark, sf, "documents"))
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@register("op11_hard_negatives", """WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+  p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS positive_rank FROM s WHERE same),
+  n AS (SELECT p.a, p.b AS positive_id, positive_rank, p.score AS positive_score, s.b AS negative_id, s.score AS negative_score,
+          row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+        WHERE positive_rank <= 5)
+  SELECT a AS anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score,
+    positive_rank::INTEGER AS positive_rank FROM n WHERE rank <= 5""")
+def op11(spark, sf):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    rows = hard_negatives.quantized(vectors)
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
+@register("op12_token_alignment")
+def op12(spark, sf):
+    path = public_tokenizers.path
+    return token_alignment.align(table(spark, sf, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
