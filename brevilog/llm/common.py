@@ -1,12 +1,13 @@
 """Shared helpers: row keys, written intermediate tables, Arrow text buffers, words and their hashes.
 
-Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit and seeded with
+Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit, not linear, and seeded with
 fixed numbers, so that every task, retry and cluster gets the same value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 # Bytes of text that are taken apart at once in a task; one longer text is taken alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-BASES = [int(x) | 5 for x in _rng.integers(2**62, 2**63, 4, dtype=np.uint64)]
+# Multipliers of the independent hashes, the step between places, and masks of the first bytes of a lane.
+ODD = [_U(int(x) & ~7 | 3) for x in _rng.integers(2**62, 2**63, 8, dtype=np.uint64)]
+_STEP = _U(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,6 +98,23 @@ def rows_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
         schema=schema)
 
 
+def tidy() -> None:
+    """Give memory back to the system; Python workers live on and serve tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the C library that has it
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` for mapInArrow, with ``tidy`` at the end of each task."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+    return wrapped
+
+
 # --- words -------------------------------------------------------------------------
 
 def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,22 +131,6 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of a base modulo 2^64 and their inverses."""
-    up, down = _powers.get(which, (None, None))
-    if up is None or len(up) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, BASES[which], _U), np.full(size, pow(BASES[which], -1, 2**64), _U)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 4 * SLICE_BYTES:
-            _powers[which] = up, down
-    return up[:n], down[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (in place)."""
     h ^= h >> _U(33)
@@ -137,25 +141,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span; ``which`` picks one of several independent hashes.
+
+    Every lane of eight bytes is mixed with its place in the span before lanes are summed, so that no regular
+    text (such as one of two letters) has the same sum as another.
+    """
+    sizes = ends - starts
+    n = np.maximum((sizes + 7) // 8, 1)
+    first = np.cumsum(n) - n
+    span = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(span)) - first[span]
+    at = starts[span] + 8 * place
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lane = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    lane &= _FIRST_BYTES[np.minimum(ends[span] - at, 8)]
+    return _summed(lane, place, first, sizes, which)
+
+
+def _summed(values: np.ndarray, place: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """Sum of the values of each span, each mixed with its place, mixed with the size of the span."""
+    values = mix(values * ODD[which] + (place + 1).astype(_U) * _STEP)
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[np.append(first[1:], len(values))] - sums[first] + sizes.astype(_U) * _STEP) if len(first) else np.zeros(0, _U)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Hash of values[start:end] for each span, from prefix sums of values times powers."""
-    n = len(values)
-    up, down = powers(which, n + 1)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    """Hash of values[start:end] for each span of 64-bit values; spans may overlap."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    out, lo = np.zeros(len(sizes), _U), 0
+    while lo < len(sizes):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + SLICE_BYTES, "right")))
+        at, span = ranges(starts[lo:hi], ends[lo:hi] - 1)
+        first = total[lo:hi] - sizes[lo:hi] - done
+        out[lo:hi] = _summed(values[at], at - starts[lo:hi][span], first, sizes[lo:hi], which)
+        lo = hi
+    return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(BYTE_CODES[data], starts, ends, 0)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    return byte_hashes(data, starts, ends, which)
 
 
 def gram_hashes(values: np.ndarray, k: int, which: int) -> np.ndarray:
-    """Hash of each run of k values."""
+    """Hash of each run of k values, by joining the hashes of shorter runs."""
     if len(values) < k:
         return np.zeros(0, _U)
-    at = np.arange(len(values) - k + 1)
-    return span_hashes(values, at, at + k, which)
+    joined = lambda a, b: mix(a * ODD[which] + b)
+    runs, size = values, 1
+    for bit in bin(k)[3:]:
+        runs, size = joined(runs[: len(runs) - size], runs[size:]), 2 * size
+        if bit == "1":
+            runs, size = joined(runs[:-1], values[size:]), size + 1
+    return runs if k > 1 else mix(values * ODD[which])
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import pack, press, release, unpack
-from .common import ranges, rows_of, stash
+from .common import ranges, rows_of, stash, tidied, tidy, utf8
 
-BLOCK_BYTES = 4 << 20
-# Segments that a task keeps with their tokens; what is kept changes no result. Longer ones are not kept.
-KNOWN_SEGMENTS, KNOWN_CHARS = 200_000, 64
+BLOCK_BYTES = 8 << 20
+# Segments that are encoded at once.
+BATCH = 20_000
 MAX_FILE_BYTES = 64 << 20
-_CUT = re.compile(r"(?<=\S) ")
+_CUT, _SPACE_BEFORE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
 # --- tokenizers --------------------------------------------------------------------
 
@@ -73,21 +75,43 @@ class Pair:
         # A piece with a blank after something else could lie over a cut.
         self.cuts = not any(re.search("[^▁]▁", x) for x in names)
 
+        self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])[:-1], np.array([len(x) for x in t], np.int64))
+                       for t in (self.a_bytes, self.b_bytes)]
+        # Ids in decimal with what parts them from the next one: inside a side, at its end.
+        self.written = [np.array([f"{i}{mark}" for i in range(len(t))], object) for t, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks]
+
     def segments(self, text: str) -> list[str]:
         """Parts of a text, each without the blank before it; none is empty."""
         if not self.cuts:
             return [text]
-        parts = _CUT.split(text)
+        parts = text.split(" ") if not _SPACE_BEFORE.search(text) and text[0] != " " else _CUT.split(text)
         if not parts[-1] and len(parts) > 1:
             parts[-2:] = [parts[-2] + " "]
         return parts
 
-    def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        first = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(first, self.b.encode(segments, num_threads=1), strict=True)]
-
-    def spelled(self, ids: tuple[list[int], list[int]]) -> tuple[bytes, bytes]:
-        return b"".join([self.a_bytes[i] for i in ids[0]]), b"".join([self.b_bytes[i] for i in ids[1]])
+    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens of all segments and their number in each, for both tokenizers."""
+        out = [([], []), ([], [])]
+        for lo in range(0, len(segments), BATCH):
+            part = segments[lo : lo + BATCH]
+            first = [x.ids for x in self.a.encode_batch_fast([" " + s for s in part], add_special_tokens=False)]
+            for (ids, n), lists in zip(out, (first, self.b.encode(part, num_threads=1)), strict=True):
+                n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
+        none = np.zeros(0, np.int64)
+        return [(np.concatenate([none, *ids]), np.concatenate([none, *n])) for ids, n in out]
+
+    def spells(self, side: int, ids: np.ndarray, n: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each segment have the bytes of that segment."""
+        table, start, size = self.tables[side]
+        total = np.diff(np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(n))])
+        fits = total == np.diff(offs)
+        ids = ids[np.repeat(fits, n)]
+        spelled, _ = ranges(start[ids], start[ids] + size[ids] - 1)
+        at, segment = ranges(offs[:-1][fits], offs[1:][fits] - 1)
+        wrong = segment[table[spelled] != data[at]]
+        fits[np.flatnonzero(fits)[wrong]] = False
+        return fits
 
 
 _pairs: dict[int, Pair] = {}
@@ -130,41 +154,28 @@ def _by_group(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Aligned:
     """Segments with their tokens, groups and linked id pairs; the pairs of segment s are those from first[s] to first[s + 1]."""
 
-    def __init__(self, pair: Pair, encoded: list[tuple[list[int], list[int]]]) -> None:
-        self.n_a = np.array([len(x) for x, _ in encoded], np.int64)
-        self.n_b = np.array([len(y) for _, y in encoded], np.int64)
-        a = np.array([i for x, _ in encoded for i in x], np.int64)
-        b = np.array([i for _, y in encoded for i in y], np.int64)
-        sizes_a, sizes_b = (np.array([len(x) for x in t], np.int64) for t in (pair.a_bytes, pair.b_bytes))
-        group_a, group_b, n = groups(np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b]))
-        of_a = np.repeat(np.arange(len(encoded)), self.n_a)
+    def __init__(self, pair: Pair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        self.n_a, self.n_b, segments = n_a, n_b, len(n_a)
+        group_a, group_b, n = groups(np.cumsum(pair.tables[0][2][a]), np.cumsum(pair.tables[1][2][b]))
         segment = np.zeros(n, np.int64)
-        segment[group_a] = of_a
-        self.n_groups = np.bincount(segment, minlength=len(encoded))
-        in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
-        self.n_links = np.zeros(len(encoded), np.int64)
-        np.add.at(self.n_links, segment, in_a * in_b)
+        segment[group_a] = np.repeat(np.arange(segments), n_a)
+        self.n_groups = np.bincount(segment, minlength=segments)
+        links = np.bincount(group_a, minlength=n) * np.bincount(group_b, minlength=n)
+        self.n_links = np.diff(np.append(0, np.cumsum(links))[np.append(0, np.cumsum(self.n_groups))])
         # distinct ids of each group, every one of a with every one of b
         ga, ia, ka = _by_group(group_a, a)
         gb, ib, kb = _by_group(group_b, b)
         lo, hi = np.searchsorted(gb, ga), np.searchsorted(gb, ga, "right") - 1
         right, left = ranges(lo, hi)
         self.pair_a, self.pair_b, self.times = ia[left], ib[right], ka[left] * kb[right]
-        self.first = np.searchsorted(segment[ga[left]], np.arange(len(encoded) + 1))
-        self.text = self._written(a, b, group_a, group_b, segment, len(encoded))
-
-    @staticmethod
-    def _written(a, b, group_a, group_b, segment, n) -> list[str]:
-        """Groups of each segment as `a1,a2|b1;a3|b2,b3`."""
-        def last(group):
-            return np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
-        marks = np.array([",", "|", ",", ";"], object)
+        self.first = np.searchsorted(segment[ga[left]], np.arange(segments + 1))
+        # groups of each segment as `a1,a2|b1;a3|b2,b3`
+        last = [np.append(g[1:] != g[:-1], np.ones(min(1, len(g)), bool)) for g in (group_a, group_b)]
+        words = np.concatenate([np.where(last[0], pair.written[1][a], pair.written[0][a]), np.where(last[1], pair.written[3][b], pair.written[2][b])])
         of = np.concatenate([group_a * 2, group_b * 2 + 1])
-        order = np.argsort(of, kind="stable")
-        words = np.concatenate([a, b]).astype(str).astype(object) + marks[np.concatenate([last(group_a) * 1, 2 + last(group_b)])]
-        cut = np.searchsorted(segment[of[order] // 2], np.arange(n + 1))
-        words = words[order].tolist()
-        return ["".join(words[x:y])[:-1] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        words = words[np.argsort(of, kind="stable")].tolist()
+        cut = np.append(0, np.cumsum(n_a + n_b)).tolist()
+        self.text = ["".join(words[x:y])[:-1] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 # --- blocks ------------------------------------------------------------------------
@@ -175,46 +186,34 @@ _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())),
                           ("sha", pa.list_(pa.string())), ("links", pa.binary()), *[(c, pa.list_(pa.int32())) for c in ("a", "b", "n")]])
 
 
-class _Known:
-    """Tokens of segments met before."""
-
-    def __init__(self, pair: Pair) -> None:
-        self.pair, self.held = pair, {}
-
-    def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        new = [s for s in segments if s not in self.held]
-        got = dict(zip(new, self.pair.encode(new), strict=True)) if new else {}
-        out = [got[s] if s in got else self.held[s] for s in segments]
-        if len(self.held) + len(got) > KNOWN_SEGMENTS:
-            self.held = {}
-        if len(got) <= KNOWN_SEGMENTS:
-            self.held |= {s: x for s, x in got.items() if len(s) <= KNOWN_CHARS}
-        return out
+def _of_segments(ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The tokens of some segments, one after the other."""
+    ends = np.cumsum(n)
+    return ids[ranges((ends - n)[at], ends[at] - 1)[0]]
 
 
-def _block(number: int, ids: list[int | None], texts: list[str], known: _Known) -> pa.RecordBatch:
-    pair, place = known.pair, {}
-    parts = []
-    for text in texts:
-        parts.append(np.array([place.setdefault(s, len(place)) for s in pair.segments(text)] if text else [], np.int64))
+def _block(number: int, ids: list[int | None], texts: list[str], pair: Pair) -> pa.RecordBatch:
+    place: dict[str, int] = defaultdict()
+    place.default_factory = place.__len__
+    parts = [np.fromiter(map(place.__getitem__, pair.segments(text)), np.int64) if text else np.zeros(0, np.int64) for text in texts]
     segments = list(place)
-    encoded = known.encode(segments)
-    true = np.array([pair.spelled(x) == ((" " + s).encode(),) * 2 for s, x in zip(segments, encoded, strict=True)], bool)
+    (a, n_a), (b, n_b) = pair.encode(segments)
+    data, offs = utf8(pa.array([" " + s for s in segments], pa.large_string()))
+    fine = pair.spells(0, a, n_a, data, offs) & pair.spells(1, b, n_b, data, offs)
     # Only tokens that spell their segment can be aligned; a text with another one is compared as a whole.
-    whole = {}
-    for d, at in enumerate(parts):
-        if len(at) and not true[at].all():
-            spelled = [pair.spelled(encoded[s]) for s in at.tolist()]
-            if all(b"".join(x) == (" " + texts[d]).encode() for x in zip(*spelled, strict=True)):
-                whole[d] = tuple([i for s in at.tolist() for i in encoded[s][k]] for k in (0, 1))
-            parts[d] = at[:0]
-    fine = np.flatnonzero(true)
-    to = np.zeros(len(segments) + 1, np.int64)
-    to[fine] = np.arange(len(fine))
-    for k, d in enumerate(whole):
-        parts[d] = np.array([-1 - k])
-    made = Aligned(pair, [encoded[s] for s in fine.tolist()] + list(whole.values()))
-    parts = [np.where(at < 0, len(fine) - 1 - at, to[at]) for at in parts]
+    more = []
+    for d in [d for d, at in enumerate(parts) if not fine[at].all()]:
+        whole = _of_segments(a, n_a, parts[d]), _of_segments(b, n_b, parts[d])
+        data, offs = utf8(pa.array([" " + texts[d]], pa.large_string()))
+        same = all(pair.spells(k, x, np.array([len(x)]), data, offs)[0] for k, x in enumerate(whole))
+        parts[d] = np.array([-1 - len(more)] if same else [], np.int64)
+        more += [whole] * same
+    to = np.cumsum(fine) - 1
+    kept_a, kept_b = (np.concatenate([ids[np.repeat(fine, n)], *[w[k] for w in more]]) for k, (ids, n) in enumerate(((a, n_a), (b, n_b))))
+    made = Aligned(pair, kept_a, np.append(n_a[fine], [len(w[0]) for w in more]).astype(np.int64),
+                   kept_b, np.append(n_b[fine], [len(w[1]) for w in more]).astype(np.int64))
+    if more or not fine.all():
+        parts = [np.where(at < 0, fine.sum() - 1 - at, to[at]) for at in parts]
     size = np.array([len(at) for at in parts], np.int64)
     flat = np.concatenate([np.zeros(0, np.int64), *parts])
     doc = np.repeat(np.arange(len(parts)), size)
@@ -243,7 +242,7 @@ def _block(number: int, ids: list[int | None], texts: list[str], known: _Known)
 
 def _blocks(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = _Known(_loaded(held)), TaskContext.get().partitionId() << 32
+        pair, number = _loaded(held), TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
@@ -251,10 +250,10 @@ def _blocks(held):
                 texts.append(text.as_py())
                 size += text.as_buffer().size if text.is_valid else 0
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_BYTES // 64:
-                    yield _block(number, ids, texts, known)
+                    yield _block(number, ids, texts, pair)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
-            yield _block(number, ids, texts, known)
+            yield _block(number, ids, texts, pair)
     return run
 
 
@@ -274,6 +273,7 @@ def _valued(block: pa.Table, values: pa.Table) -> pa.Table:
     linked, times = rest[: len(rest) // 2], rest[len(rest) // 2 :]
     ends = np.append(0, np.cumsum(size))
     summed = lambda x: np.diff(np.append(0, np.cumsum(x[linked] * times))[ends])
+    tidy()
     return pa.table([row["ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], pa.array(summed(best)), pa.array(summed(count)), row["sha"]], _COLUMNS)
 
 
@@ -293,7 +293,7 @@ def aligned_blocks(docs: DataFrame, byte_level_path: str, pieces_path: str, id_c
     files["key"] = hash((files["a"], files["b"]))
     held = docs.sparkSession.sparkContext.broadcast(files)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stash(rows.mapInArrow(_blocks(held), _BLOCK), "aligned")
+    return stash(rows.mapInArrow(tidied(_blocks(held)), _BLOCK), "aligned")
 
 
 def align(docs: DataFrame, byte_level_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

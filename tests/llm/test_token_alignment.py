@@ -77,18 +77,30 @@ def test_documents_as_in_plain_python(spark, pair, monkeypatch):
     assert any(r["n_links"] > r["n_a"] for r in got) and any(r["n_a"] == 0 and r["doc_id"] not in (0, 14) for r in got)
 
 
-def test_small_blocks_and_a_small_memo(pair, monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(T, "KNOWN_SEGMENTS", 10)
-    known = T._Known(pair)
+def test_blocks_of_any_size(pair, monkeypatch):
+    monkeypatch.setattr(T, "BATCH", 7)
     texts = [t for t in _texts() if t]
     for lo in range(0, len(texts), 50):
-        block = T._block(lo, list(range(50)), texts[lo : lo + 50], known)
+        block = T._block(lo, list(range(50)), texts[lo : lo + 50], pair)
         found = [_whole(pair, t) for t in texts[lo : lo + 50]]
         assert block.column("n_a")[0].as_py() == [sum(len(x) for x, _ in f) for f in found]
         assert block.column("n_links")[0].as_py() == [sum(len(x) * len(y) for x, y in f) for f in found]
-        assert isinstance(block, pa.RecordBatch)
+
+
+def test_text_whose_segments_make_up_for_each_other(pair, monkeypatch):
+    """Tokens that spell the text, but not segment by segment, are aligned over the whole text."""
+    text = "one two three"
+    real = pair.encode
+
+    def shifted(segments):
+        (a, n_a), (b, n_b) = real(segments)
+        n_a = n_a + np.array([1, -1, 0]) if segments == ["one", "two", "three"] else n_a
+        return [(a, n_a), (b, n_b)]
+    want = T._block(0, [1, 2], [text, "four"], pair)
+    monkeypatch.setattr(pair, "encode", lambda segments: shifted(segments[:3]) if len(segments) == 3 else real(segments))
+    block = T._block(0, [1], [text], pair)
+    for c in ("n_a", "n_b", "n_groups", "n_links", "sha"):
+        assert block.column(c)[0].as_py()[0] == want.column(c)[0].as_py()[0]
 
 
 def test_segments_are_cut_where_tokens_end(pair):
@@ -97,9 +109,9 @@ def test_segments_are_cut_where_tokens_end(pair):
         if text:
             parts = pair.segments(text)
             assert " ".join(parts) == text and all(parts)
-            got = pair.encode(parts)
-            assert [i for x, _ in got for i in x] == pair.a.encode(" " + text, add_special_tokens=False).ids
-            assert [i for _, y in got for i in y] == pair.b.encode(text)
+            (a, _), (b, _) = pair.encode(parts)
+            assert a.tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids
+            assert b.tolist() == pair.b.encode(text)
 
 
 def test_pointers_end_at_common_ends():
@@ -125,7 +137,7 @@ def test_long_chain_converges():
 def test_large_group_is_not_listed(pair):
     """One group of 3,001 and 3,000 tokens of which few differ: nine million links, two pairs."""
     one, two, other = (next(i for i, x in enumerate(t) if len(x) == n) for t, n in ((pair.a_bytes, 1), (pair.a_bytes, 2), (pair.b_bytes, 2)))
-    made = T.Aligned(pair, [([one] + [two] * 2999 + [one], [other] * 3000)])
+    made = T.Aligned(pair, np.array([one] + [two] * 2999 + [one]), np.array([3001]), np.array([other] * 3000), np.array([3000]))
     assert made.n_groups.tolist() == [1] and made.n_links.tolist() == [3001 * 3000]
     assert sorted(zip(made.pair_a.tolist(), made.pair_b.tolist(), made.times.tolist(), strict=True)) == sorted([(one, other, 6000), (two, other, 2999 * 3000)])
 
