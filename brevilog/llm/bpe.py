@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, ranges, rows_of, strings, word_hashes
+from .common import ODD, mix, pieces, ranges, rows_of, strings, tidied, word_hashes
 
 BLOCK_TOKENS = 1_000_000
 MIN_BUCKETS = 256
@@ -230,29 +230,53 @@ class _Block:
 
     def __init__(self, number: int, buckets: int) -> None:
         self.number, self.buckets, self.tokens, self.texts = number, buckets, 0, []
-        self.hashes: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.bytes: list[np.ndarray] = []
 
     def add(self, ids: pa.Array, data: np.ndarray, offs: np.ndarray) -> None:
         starts, first = pretokens(data, offs)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        self.hashes.append(word_hashes(data, starts, ends))
         self.sizes.append(ends - starts)
         self.bytes.append(data)
         self.tokens += len(starts)
         self.texts.append((ids, np.diff(first)))
 
     def sort(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places by hash, first of each group in that order, size and bucket of groups, and groups by bucket."""
-        hashes = np.concatenate(self.hashes)
-        order = np.argsort(hashes, kind="stable").astype(np.int32)
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        group = np.flatnonzero(new)
+        """Places by hash, first of each group in that order, size and bucket of groups, and groups by bucket.
+
+        Both passes come here, and both take the first hash that tells all words of the block apart.
+        """
+        sizes, data = np.concatenate(self.sizes), np.concatenate(self.bytes)
+        ends = np.cumsum(sizes)
+        for which in range(len(ODD)):
+            hashes = word_hashes(data, ends - sizes, ends, which)
+            order = np.argsort(hashes, kind="stable").astype(np.int32)
+            new = np.ones(len(order), bool)
+            new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            group = np.flatnonzero(new)
+            if self.told_apart(sizes, data, order, group):
+                break
+        else:
+            raise ValueError("two words with one hash, in each of the hashes")
         bucket = (mix(hashes[order[group]]) % np.uint64(self.buckets)).astype(np.int32)
         return order, group, np.diff(np.append(group, len(order))), bucket, np.argsort(bucket, kind="stable")
 
+    @staticmethod
+    def told_apart(sizes: np.ndarray, data: np.ndarray, order: np.ndarray, group: np.ndarray) -> bool:
+        """Whether every word has the bytes of the first of its group."""
+        where = np.empty(len(order), np.int32)
+        where[order] = np.repeat(order[group], np.diff(np.append(group, len(order))))
+        if not np.array_equal(sizes, sizes[where]):
+            return False
+        begin = np.cumsum(sizes) - sizes
+        for lo in range(0, len(order), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            shift = np.repeat(begin[where[part]] - begin[part], sizes[part])
+            here = np.arange(begin[lo], begin[lo] + len(shift))
+            if not np.array_equal(data[here], data[here + shift]):
+                return False
+        return True
+
     def order(self) -> pa.RecordBatch:
         ids = pa.concat_arrays([i for i, _ in self.texts])
         counts = np.concatenate([c for _, c in self.texts]).astype(np.int64)
@@ -270,17 +294,6 @@ class _Block:
         begin = np.cumsum(sizes) - sizes
         order, group, n, bucket, by = self.sort()
         one = order[group]  # first place of each word
-        # every word has the bytes of the first of its group
-        where = np.empty(len(order), np.int32)
-        where[order] = np.repeat(one, n)
-        if not np.array_equal(sizes, sizes[where]):
-            raise ValueError("two words with one hash")
-        for lo in range(0, len(order), 1 << 17):
-            part = slice(lo, lo + (1 << 17))
-            shift = np.repeat(begin[where[part]] - begin[part], sizes[part])
-            here = np.arange(begin[lo], begin[lo] + len(shift))
-            if not np.array_equal(data[here], data[here + shift]):
-                raise ValueError("two words with one hash")
         one = one[by]
         spot, _ = ranges(begin[one], begin[one] + sizes[one] - 1)
         packed, packed_sizes = pack(np.stack([sizes[one], n[by]], 1).ravel())
@@ -382,8 +395,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     table = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = max(MIN_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = rows.mapInArrow(_words(buckets), _WORDS).repartition("bucket").mapInArrow(_encode_words(table), _PARTS)
-    order = rows.mapInArrow(_order(buckets), _ORDER)
+    parts = rows.mapInArrow(tidied(_words(buckets)), _WORDS).repartition("bucket").mapInArrow(tidied(_encode_words(table)), _PARTS)
+    order = rows.mapInArrow(tidied(_order(buckets)), _ORDER)
     # Each side has a shuffle of its own, so the number of a part is that of the scan in both.
     return order.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_put_together, _TOKENS)
 
@@ -455,4 +468,4 @@ def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
 def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
     """``digests(decode(tokens))`` in one step, so that decoded texts stay in the task that makes them."""
     decoded, digest = _decode(tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))), _digest(keep_ids)
-    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: digest(decoded(batches)), _DIGESTS + (", ids array<int>" if keep_ids else ""))
+    return tokens.select("doc_id", "ids").mapInArrow(tidied(lambda batches: digest(decoded(batches))), _DIGESTS + (", ids array<int>" if keep_ids else ""))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, pieces, rows_of, same_row, signed, split_words, stash, word_hashes, gram_hashes, span_hashes, LOWER
+from .common import keyed, pieces, rows_of, same_row, signed, split_words, stash, tidied, word_hashes, gram_hashes, span_hashes, LOWER
 from .minhash_dedup import SHINGLE, shingle_sets
 
 PERCENT = 80
@@ -74,7 +74,7 @@ def _index(percent: int):
 
 def index(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(i1, i2, n, part, need, v): sketch values of keyed items."""
-    return items.mapInArrow(_index(percent), _INDEX).distinct()
+    return items.mapInArrow(tidied(_index(percent)), _INDEX).distinct()
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
@@ -150,14 +150,14 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     rows, wanted = keyed(docs, id_col, text_col), keyed(items, item_col, item_text_col).toDF("k1", "k2", "text")
     held = stash(index(wanted, percent), "index")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(held))
-    hits = rows.mapInArrow(_hits(bits), _HIT)
+    hits = rows.mapInArrow(tidied(_hits(bits)), _HIT)
     likely = (hits.join(held, "v").groupBy("k1", "k2", "i1", "i2", "need").agg(F.countDistinct("v").alias("c")).where("c >= need")
               .select("k1", "k2", "i1", "i2"))
     likely = stash(likely, "candidates")
     texts = rows.join(likely, same_row(rows, likely)).select(rows["k1"], rows["k2"], "text", "i1", "i2")
     named = wanted.toDF("j1", "j2", "item").distinct()
     return (texts.join(named, F.col("i1").eqNullSafe(F.col("j1")) & (F.col("i2") == F.col("j2")))
-            .select("k1", "k2", "i1", "text", "item").mapInArrow(_confirm(percent), _FOUND).distinct())
+            .select("k1", "k2", "i1", "text", "item").mapInArrow(tidied(_confirm(percent)), _FOUND).distinct())
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (LOWER, gram_hashes, keyed, mix, pieces, rows_of, signed, span_hashes, split_words, stash, word_hashes)
+from .common import (LOWER, gram_hashes, keyed, mix, pieces, rows_of, signed, span_hashes, split_words, stash, tidied, word_hashes)
 from .components import components
 
 SHINGLE, SKETCH, PERCENT = 5, 32, 85
@@ -84,7 +84,7 @@ def _sketches(k: int, shingle: int):
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH,
              shingle: int = SHINGLE) -> DataFrame:
     """(id, k2, n, d1, d2, sketch): set size, digest of the set, its ``k`` smallest hashes in rising order."""
-    return keyed(docs, id_col, text_col).mapInArrow(_sketches(k, shingle), _SKETCH)
+    return keyed(docs, id_col, text_col).mapInArrow(tidied(_sketches(k, shingle)), _SKETCH)
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -141,7 +141,7 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     return (pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-            .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, shingle), _LINK))
+            .select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(percent, shingle)), _LINK))
 
 
 def list_share(k: int, percent: int) -> float:
@@ -214,7 +214,7 @@ def class_components(docs: DataFrame, reps: DataFrame, known: DataFrame, id_col:
             # What is left: classes that share much with others and yet are in several components. Their full
             # sets have lists of their own, so short that all members may be compared, and nothing is left to chance.
             full = keyed(docs, id_col, text_col).join(rows.select(F.col("id").alias("k1")).distinct(), "k1", "left_semi")
-            full = (full.select("k1", "k2", "text").mapInArrow(_sketches(2**31 - 1, shingle), _SKETCH)
+            full = (full.select("k1", "k2", "text").mapInArrow(tidied(_sketches(2**31 - 1, shingle)), _SKETCH)
                     .select("id", "n", "sketch").distinct())
             pairs = _open_pairs(_with_components(stash(listed(full, percent / 100), "lists"), comp), percent)
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

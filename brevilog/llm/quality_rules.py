@@ -1,17 +1,22 @@
 """Quality rules by weak supervision.
 
 Each rule looks at one signal of a text and votes good (1) or bad (0), or abstains (null). Nobody
-labels anything: expectation-maximisation over the table of vote patterns estimates how often each
-rule is right on good and on bad texts and how common good texts are. A text is kept when its posterior
-probability of being good reaches ``threshold``.
+labels anything: expectation-maximisation over the table of vote patterns estimates how common good texts are and
+how often each rule that votes calls a good text bad and a bad text bad. A text is kept when its posterior
+probability of being good reaches ``threshold``, so a vote of bad may be outweighed by others.
+
+All of this is estimated freely. One thing is taken for granted: no rule calls good texts bad more often than bad ones;
+a rule for which that came out counts for nothing. EM starts from each pair of ``STARTS`` and ``PRIORS``; the fit with the highest
+likelihood is taken. An abstention says nothing.
 
 The patterns are counted by one grouped aggregate. There are at most 3 to the power of the number of
 rules of them, whatever the corpus holds, so the estimation itself runs on the driver over that small table;
 the verdict is a column expression with the estimated weights as constants.
 
-Cases: a null or empty text has no words, so every rule but the one on length abstains; ties in the posterior
-keep; a table without rows leaves the starting accuracies; repeated rows are judged alike; all other columns pass
-through ``filter_documents`` unchanged, whatever their names.
+Cases: a null or empty text has no words, so every rule abstains and the base rule drops it; ties in the posterior
+keep; a table without rows leaves the first start; repeated rows are judged alike; all other columns pass
+through ``filter_documents`` unchanged, whatever their names; a very long text is taken apart alone, with about
+100 bytes of arrays for each of its words.
 """
 
 from __future__ import annotations
@@ -26,15 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, pieces, rows_of, span_hashes, split_words, stash, word_hashes
+from .common import byte_hashes, gram_hashes, mix, pieces, rows_of, split_words, stash, tidied, word_hashes
 
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct",
+           "n_marked", "n_letters")
 REPEAT_WINDOW = 8
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 256)]] = True  # characters beyond ASCII count as letters
 _HEAD = np.ones(256, bool)
 _HEAD[0x80:0xC0] = False  # bytes that go on with a character
 
@@ -70,8 +78,7 @@ def signal_columns(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     some = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, line_doc = line_starts[some], line_ends[some], line_doc[some]
     n_lines = np.bincount(line_doc, minlength=texts)
-    bytes_ = data.astype(np.uint64) + np.uint64(1)
-    _, at = np.unique(_within(span_hashes(bytes_, line_starts, line_ends, 3), line_doc), return_index=True)
+    _, at = np.unique(_within(byte_hashes(data, line_starts, line_ends, 3), line_doc), return_index=True)
     n_dup = n_lines - np.bincount(line_doc[at], minlength=texts)
     # words in windows that occur again
     hashes = word_hashes(data, starts, ends)
@@ -87,8 +94,10 @@ def signal_columns(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         repeat = np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=texts)
     _, at = np.unique(_within(hashes, doc), return_index=True)
     distinct = np.bincount(doc[at], minlength=texts)
-    return [n_words, word_chars, _per_text(_SYMBOL[data], offs), n_dup, repeat, n_lines, _per_text(_UPPER[data], offs),
-            distinct]
+    symbols = np.append(0, np.cumsum(_SYMBOL[data]))
+    marked = np.bincount(doc[symbols[ends] > symbols[starts]], minlength=texts)
+    return [n_words, word_chars, np.diff(symbols[offs]), n_dup, repeat, n_lines, _per_text(_UPPER[data], offs),
+            distinct, marked, _per_text(_LETTER[data], offs)]
 
 
 def signals(docs: DataFrame, text_col: str = "text", name: str = "signals") -> DataFrame:
@@ -104,73 +113,80 @@ def signals(docs: DataFrame, text_col: str = "text", name: str = "signals") -> D
                                                   list(SIGNALS))
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidied(run), out)
 
 
 def rules(s: Column) -> dict[str, Column]:
-    """Votes: 1 good, 0 bad, null abstains."""
-    words, chars = s["n_words"], s["word_chars"]
+    """Votes: 1 good, 0 bad, null abstains: between the two, or no words to judge by."""
+    words, chars, letters = s["n_words"], s["word_chars"], s["n_letters"]
 
-    def bad(when: Column) -> Column:
-        return F.when((words > 0) & when, 0).cast("int")
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(words > 0, F.when(bad, 0).when(good, 1)).cast("int")
 
     return {
-        "length": F.when(words < 20, 0).when(words >= 40, 1).cast("int"),
-        "symbols": bad(20 * s["n_symbols"] > chars),
-        "lines": bad(10 * s["n_dup_lines"] > 3 * s["n_lines"]),
-        "repeats": bad(5 * s["n_repeat_words"] > words),
-        "word_length": bad((2 * chars < 5 * words) | (chars > 12 * words)),
-        "capitals": bad(4 * s["n_upper"] > chars),
-        "variety": F.when((words >= 40) & (words < 1000) & (10 * s["n_distinct"] < 4 * words), 0)
-                    .when((words >= 40) & (10 * s["n_distinct"] >= 6 * words), 1).cast("int"),
+        "symbols": vote(20 * s["n_symbols"] > chars, 200 * s["n_symbols"] <= chars),
+        "marked": vote(5 * s["n_marked"] > words, 50 * s["n_marked"] <= words),
+        "letters": vote(10 * letters < 9 * chars, 100 * letters >= 95 * chars),
+        "lines": vote(10 * s["n_dup_lines"] > 3 * s["n_lines"], 20 * s["n_dup_lines"] <= s["n_lines"]),
+        "repeats": vote(5 * s["n_repeat_words"] > words, 50 * s["n_repeat_words"] <= words),
+        "word_length": vote((2 * chars < 5 * words) | (chars > 12 * words), (chars >= 3 * words) & (chars <= 10 * words)),
+        "capitals": vote(4 * s["n_upper"] > chars, 10 * s["n_upper"] <= chars),
+        "variety": vote((words >= 40) & (words < 1000) & (10 * s["n_distinct"] < 4 * words),
+                        (words >= 40) & (10 * s["n_distinct"] >= 6 * words)),
     }
 
 
+# Where EM starts: how often a rule calls a bad text bad, and the share of good texts; a good text is called bad with FALSE_ALARM.
+STARTS, PRIORS, FALSE_ALARM = (0.2, 0.5, 0.8), (0.85, 0.6, 0.95), 0.05
+
+
 @dataclass(frozen=True)
 class Model:
-    prior: float                                  # share of good texts
-    weight: dict[str, tuple[float, float, float]]  # rule -> log-odds of good for a vote of bad, none, good
-    right: dict[str, tuple[float, float]]          # rule -> accuracy of its votes of bad, of good
+    prior: float                             # share of good texts
+    bad_rate: dict[str, tuple[float, float]]  # rule -> share of votes of bad among its votes on bad texts, on good texts
+
+    def weight(self, name: str) -> tuple[float, float]:
+        """Log-odds of good that a vote of bad adds, and a vote of good."""
+        on_bad, on_good = self.bad_rate[name]
+        return math.log(on_good / on_bad), math.log((1 - on_good) / (1 - on_bad))
 
     def log_odds(self, votes: dict[str, Column]) -> Column:
         """Of good against bad, given the votes."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, v in votes.items():
-            bad, none, good = self.weight[name]
-            total = total + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(none))
+            bad, good = self.weight(name)
+            total = total + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(0.0))
         return total
 
 
-# Belief about the accuracy of a vote of bad before any text is seen; it weighs as much as the rule's own votes.
-BELIEF = 0.95
-
-
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], steps: int = 100, prior: float = 0.85) -> Model:
-    """EM over (votes, count).
-
-    Estimated are the share of good texts and the accuracy of each rule's votes of bad and of good: how often a text that
-    gets the vote is bad, or good. That a rule abstains says nothing. No vote is taken to be worse than chance, so that
-    good and bad can't change places.
-    """
-    def logit(p):
-        return np.log(p / (1 - p))
-    right = np.full((len(names), 2), BELIEF)
-    right[:, 1] = prior
-    cast = np.array([[1 if v is None else 2 * v for v in p] for p, _ in patterns]).reshape(-1, len(names))  # 0 bad, 1 none, 2 good
-    count = np.array([n for _, n in patterns], float)
-    for step in range(steps + 1):
-        weight = np.stack([-np.maximum(logit(right[:, 0]) - logit(1 - prior), 0), np.zeros(len(names)),
-                           np.maximum(logit(right[:, 1]) - logit(prior), 0)], 1)
-        if step == steps or not patterns:
+def _climb(bad: np.ndarray, good: np.ndarray, count: np.ndarray, start: float, prior: float, steps: int):
+    """EM from one start: likelihood, share of good texts, and votes of bad on bad (row 0) and good texts (row 1) by rule."""
+    rate = np.array([[start], [FALSE_ALARM]]).repeat(bad.shape[1], 1)
+    last = -np.inf
+    for _ in range(steps):
+        each = np.log(rate) @ bad.T + np.log1p(-rate) @ good.T + np.log([[1 - prior], [prior]])
+        both = np.logaddexp(each[0], each[1])
+        likely = float(count @ both)
+        if likely - last <= 1e-10 * abs(likely):
             break
-        good = 1 / (1 + np.exp(-logit(prior) - weight[np.arange(len(names)), cast].sum(1)))
-        prior = float(np.clip((count * good).sum() / count.sum(), 0.5, 0.99))
-        for j in range(len(names)):
-            bad, fine = cast[:, j] == 0, cast[:, j] == 2
-            right[j, 0] = np.clip(((count * (1 - good))[bad].sum() / max(count[bad].sum(), 1) + BELIEF) / 2, 0.01, 0.995) if bad.any() else BELIEF
-            right[j, 1] = np.clip((count * good)[fine].sum() / count[fine].sum(), 0.01, 0.995) if fine.any() else prior
-    return Model(prior, {n: tuple(map(float, w)) for n, w in zip(names, weight, strict=True)},
-                 {n: tuple(map(float, r)) for n, r in zip(names, right, strict=True)})
+        last = likely
+        weight = count * np.exp(each - both)
+        prior = float((weight[1].sum() + 0.5) / (count.sum() + 1))
+        # half a vote of either kind for each class, so that no rate is 0 or 1
+        votes_bad, votes = weight @ bad + 0.5, weight @ (bad + good) + 1
+        rate = np.where(votes_bad[0] / votes[0] < votes_bad[1] / votes[1], votes_bad.sum(0) / votes.sum(0), votes_bad / votes)
+    return likely, prior, rate
+
+
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], steps: int = 500) -> Model:
+    """EM over (votes, count): the model of the most likely of all starts, the first of equals."""
+    if not patterns:
+        return Model(PRIORS[0], {n: (STARTS[0], FALSE_ALARM) for n in names})
+    cast = np.array([[-1 if v is None else v for v in p] for p, _ in patterns]).reshape(len(patterns), -1)
+    bad, good, count = (cast == 0).astype(float), (cast == 1).astype(float), np.array([n for _, n in patterns], float)
+    fits = [_climb(bad, good, count, start, prior, steps) for start in STARTS for prior in PRIORS]
+    _, prior, rate = max(fits, key=lambda f: round(f[0], 3))
+    return Model(prior, {n: (float(a), float(b)) for n, a, b in zip(names, *rate, strict=True)})
 
 
 def fit(with_signals: DataFrame, name: str = "signals") -> Model:
@@ -198,10 +214,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that are kept, all columns as they were. Runs a job while the plan is built."""
+    """The documents that are kept, all columns as they were.
+
+    Runs jobs while the plan is built: signals are taken once, and written beside the rows to the shared folder.
+    """
     name = "signals"
     while name in docs.columns:
         name += "_"
-    model = fit(signals(docs.select(text_col), text_col, name), name)
-    s = F.col(name)
-    return signals(docs, text_col, name).where(~base_failed(s) & (posterior(model, s) >= threshold)).drop(name)
+    seen = stash(signals(docs, text_col, name), "signals")
+    s, model = F.col(name), fit(seen, name)
+    return seen.where(~base_failed(s) & (posterior(model, s) >= threshold)).drop(name)

@@ -7,15 +7,19 @@ of 35 to 62 words. Equal windows have equal anchors wherever they stand, so two
 words share an anchor at the same place.
 
 1. All blocks of all documents are indexed by (anchor, hash of the block). Counting them is a
-   grouped aggregate with partial sums; anchors that occur once drop out.
-2. A document is parsed from left to right against that index: consecutive blocks that occur
-   again extend the current factor.
-3. At the ends of factors (anchors that stand in different blocks) the index can't tell how far
+   grouped aggregate with partial sums, which also keeps the first and the last place of each block; anchors that
+   occur once drop out.
+2. A document is factored greedily from left to right against that index: a block that occurs elsewhere opens a factor,
+   a copy from that place, and following blocks extend it as long as they stand next to each other and are copied
+   from the same document at the same distance. A factor has a source, a place in it and a length in words; those of
+   ``window`` words or more are duplicate spans.
+3. At the boundaries of factors (anchors that stand in different blocks) the index can't tell how far
    a copy reaches. There single windows are hashed and counted.
 
-Blocks and windows are told apart by 128 bits (two hashes). No pair of documents is ever formed, so
-a passage in a third of all documents costs one row for each of them.
+Blocks and windows are told apart by 128 bits (an anchor and a window, from two independent hashes of words). No pair of
+documents is ever formed, so a passage in a third of all documents costs one row for each of them.
 
+A very long text is taken alone in its task: its words and blocks are arrays there (about 60 bytes for each word).
 Cases: a null or empty text has no words and no factors; a text shorter than the window is kept;
 a passage repeated within one document counts, overlapping ones too; rows with equal id and text
 are two documents, so both lose their windows; null ids are kept; other columns are not read.
@@ -29,14 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (gram_hashes, keyed, pieces, ranges, rows_of, same_row, signed, span_hashes, split_words, stash,
-                     strings, text_hash, word_hashes)
+                     strings, text_hash, tidied, word_hashes)
 
 WINDOW, ANCHOR = 35, 8
 
+# Independent hashes of words: for anchors, and for blocks and windows.
+BY_ANCHOR, BY_BLOCK = 0, 4
+
 _BLOCK = "k1 long, k2 long, lo int, hi int, anchor long, block long"
 _BLOCK_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()),
                           ("anchor", pa.int64()), ("block", pa.int64())])
@@ -56,8 +63,11 @@ def last_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def blocks_of_words(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int):
-    """(text, lo, hi, anchor hash, block hash): blocks of windows lo..hi, in words from the start of all texts."""
+def blocks_of_words(hashes: np.ndarray, others: np.ndarray, first: np.ndarray, window: int, anchor: int):
+    """(text, lo, hi, anchor hash, block hash): blocks of windows lo..hi, in words from the start of all texts.
+
+    ``others`` are the words' hashes of the second kind.
+    """
     none = np.zeros(0, np.int64)
     if len(hashes) < window:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
@@ -75,7 +85,7 @@ def blocks_of_words(hashes: np.ndarray, first: np.ndarray, window: int, anchor:
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(at)) - 1
     lo, hi = at[begins], at[ends]
-    return text[which[begins]], lo, hi, runs[chosen[begins]], span_hashes(hashes, lo, hi + window, 2)
+    return text[which[begins]], lo, hi, runs[chosen[begins]], span_hashes(others, lo, hi + window, 2)
 
 
 def _index(window: int, anchor: int):
@@ -84,7 +94,8 @@ def _index(window: int, anchor: int):
             k1, k2 = b.column("k1"), b.column("k2")
             for lo, hi, data, offs in pieces(b.column("text")):
                 starts, ends, first = split_words(data, offs)
-                text, a, z, key, block = blocks_of_words(word_hashes(data, starts, ends), first, window, anchor)
+                text, a, z, key, block = blocks_of_words(word_hashes(data, starts, ends, BY_ANCHOR), word_hashes(data, starts, ends, BY_BLOCK),
+                                                            first, window, anchor)
                 rows = pa.array(text + lo)
                 yield rows_of(_BLOCK_ARROW, k1.take(rows), k2.take(rows), (a - first[text]).astype(np.int32),
                               (z - first[text]).astype(np.int32), signed(key), signed(block))
@@ -105,7 +116,7 @@ def _windows(window: int):
                 a, z = (cols[n].slice(p0, p1 - p0).to_numpy() for n in ("lo", "hi"))
                 at, which = ranges(a.astype(np.int64), z.astype(np.int64))
                 here = at + first[row[which]]
-                win = span_hashes(word_hashes(data, starts, ends), here, here + window, 3)
+                win = gram_hashes(word_hashes(data, starts, ends, BY_BLOCK), window, 3)[here]
                 pick, part = pa.array(row[which] + lo), pa.array(which + p0)
                 yield rows_of(_WINDOW_ARROW, k1.take(pick), k2.take(pick), at.astype(np.int32),
                               cols["anchor"].take(part), signed(win), cols["whole"].take(part), cols["src"].take(part))
@@ -114,7 +125,23 @@ def _windows(window: int):
 
 def blocks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Every reference block of keyed documents."""
-    return docs.mapInArrow(_index(window, anchor), _BLOCK)
+    return docs.mapInArrow(tidied(_index(window, anchor)), _BLOCK)
+
+
+def parse(again: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Greedy factors (k1, k2, lo, hi, src, src_lo, n_words) of blocks that are copies of a place (src, src2, src_lo).
+
+    A factor goes on while blocks follow each other both in the document and in its source.
+    """
+    order = Window.partitionBy("k1", "k2").orderBy("lo", "hi")
+    shift = F.col("src_lo") - F.col("lo")
+    goes_on = ((F.lag("hi").over(order) + 1 == F.col("lo")) & (F.lag(shift).over(order) == shift)
+               & F.lag("src").over(order).eqNullSafe(F.col("src")) & (F.lag("src2").over(order) == F.col("src2")))
+    placed = again.withColumn("opens", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    placed = placed.withColumn("factor", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    n_words = F.col("hi") - F.col("lo") + window
+    return (placed.groupBy("k1", "k2", "factor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("src").alias("src"), F.min("src_lo").alias("src_lo"))
+            .select("k1", "k2", "lo", "hi", "src", "src_lo", n_words.alias("n_words")).where(n_words >= window))
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -130,23 +157,27 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     # Counts are written before they are joined back, so that Spark may split the rows of an anchor that is everywhere.
     known = stash(known, "anchors")
     again = stash(every.join(known, "anchor"), "blocks")
-    copies = (again.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min("k1").alias("src")).where("n > 1")
-              .select("anchor", "block", "src", F.lit(True).alias("whole")))
+    place = F.struct("k1", "k2", "lo")
+    copies = (again.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1")
+              .select("anchor", "block", "first", "last", F.lit(True).alias("whole")))
     copies = stash(copies, "copies")
+    # A document copies from the first place of a block; the first place itself from the last one.
+    src = F.when(F.col("first") == place, F.col("last")).otherwise(F.col("first"))
     found = stash(again.join(copies, ["anchor", "block"], "left").where("mixed or whole")
-                  .select("k1", "k2", "lo", "hi", "anchor", F.coalesce("whole", F.lit(False)).alias("whole"), "mixed", "src"),
-                  "factors")
+                  .select("k1", "k2", "lo", "hi", "anchor", F.coalesce("whole", F.lit(False)).alias("whole"), "mixed", (F.col("first") == place).alias("is_first"),
+                          src["k1"].alias("src"), src["k2"].alias("src2"), src["lo"].alias("src_lo")), "factors")
     # Ends of factors. One copy of a repeated block stands for all of them.
-    open_ = (found.where("mixed and (not whole or k1 <=> src)").groupBy("k1", "k2")
+    open_ = (found.where("mixed and (not whole or is_first)").groupBy("k1", "k2")
              .agg(F.collect_list(F.struct("lo", "hi", "anchor", "whole", "src")).alias("parts")))
     single = stash(rows.join(open_, same_row(rows, open_)).select(rows["k1"], rows["k2"], "text", "parts")
-                   .mapInArrow(_windows(window), _WINDOW), "windows")
+                   .mapInArrow(tidied(_windows(window)), _WINDOW), "windows")
     hits = (single.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.max("whole").alias("sure"), F.min("k1").alias("src"))
             .where("n > 1 or sure").select("anchor", "win", "src"))
     hits = stash(hits, "hits")
     ends = (single.where("not whole").drop("src").join(hits, ["anchor", "win"])
             .select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"), "src"))
-    return found.where("whole").select("k1", "k2", "lo", "hi", "src").unionByName(ends)
+    whole = found.where("whole").select("k1", "k2", "lo", "hi", "src", "src2", "src_lo")
+    return parse(whole, window).select("k1", "k2", "lo", "hi", "src").unionByName(ends)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>"
@@ -231,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = b.columns[:width]
             cols[place] = texts
             yield pa.RecordBatch.from_arrays(cols, names=docs_names)
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidied(run), docs.schema)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -241,4 +272,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     parts = (factors(docs, id_col, text_col, window, anchor).groupBy("k1", "k2")
              .agg(F.collect_list(F.struct("lo", "hi")).alias("parts")))
     return (rows.join(parts, same_row(rows, parts), "left").select(rows["k1"], "text", "parts")
-            .mapInArrow(_cut(window), _KEPT))
+            .mapInArrow(tidied(_cut(window)), _KEPT))

@@ -201,24 +201,85 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def plain_signals(text):
+    """The signals by their definitions."""
+    words = words_of(text)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    runs = collections.Counter(tuple(words[p : p + 8]) for p in range(len(words) - 7))
+    again = {q for p in range(len(words) - 7) if runs[tuple(words[p : p + 8])] > 1 for q in range(p, p + 8)}
+    return [len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again), len(lines),
+            len(re.findall("[A-Z]", text or "")), len(set(words)), sum(1 for w in words if re.search("[#*$%&|<>]", w)),
+            sum(1 for c in text or "" if re.match("[A-Za-z]", c) or ord(c) > 127)]
+
+
 def test_signals():
-    texts = ["a\n\na\n \nb\n", "x " * 30, "é\ná é\né", "A*b |c| #", ""]
     import pyarrow as pa
     from brevilog.llm.common import pieces
-    (_, _, data, offs), = pieces(pa.array(texts))
-    cols = quality_rules.signal_columns(data, offs)
-    assert [int(c[0]) for c in cols[:5]] == [3, 3, 0, 1, 0]
-    assert [int(c[1]) for c in cols[:5]] == [30, 30, 0, 0, 30]
-    assert [int(c[2]) for c in cols[:5]] == [4, 4, 0, 1, 0]
-    assert int(cols[2][3]) == 4 and int(cols[0][4]) == 0
-
-
-def test_rule_accuracies_are_learned():
-    """A rule that contradicts two others that agree loses weight."""
-    names = ["a", "b", "c"]
-    patterns = [((0, 0, None), 100), ((1, 1, 0), 60), ((1, 1, None), 800), ((None, None, None), 40)]
+    r = random.Random(9)
+    texts = ["a\n\na\n \nb\n", "x " * 30, "é\ná é\né", "A*b |c| #", "", "\n", " \t"]
+    texts += ["".join(r.choice(["a", "b", "é", " ", " ", "\n", "#", "B", "中", "\x0b"]) for _ in range(r.randint(0, 200))) for _ in range(400)]
+    texts += [" ".join(r.choice("ab") for _ in range(40)) + "\n" + " ".join(r.choice("ab") for _ in range(40)) for _ in range(50)]
+    for limit in (1 << 20, 300):
+        for lo, hi, data, offs in pieces(pa.array(texts), limit):
+            got = np.stack(quality_rules.signal_columns(data, offs), 1).tolist()
+            assert got == [plain_signals(t) for t in texts[lo:hi]]
+
+
+def made_votes(n, prior, rates, seed=1, silent=0.2):
+    """Votes of n texts of which a share is good; a rule is silent at times; rates: votes of bad on bad, on good texts."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < prior
+    votes = np.stack([np.where(rng.random(n) < np.where(good, g, b), 0, 1) for b, g in rates], 1)
+    votes = np.where(rng.random(votes.shape) < silent, -1, votes)
+    count = collections.Counter(tuple(None if v < 0 else int(v) for v in row) for row in votes.tolist())
+    return good, votes, sorted(count.items(), key=repr)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.7, 0.9])
+def test_share_and_accuracies_are_found(prior):
+    rates = [(0.8, 0.05), (0.6, 0.1), (0.9, 0.2), (0.4, 0.02), (0.7, 0.3)]
+    _, _, patterns = made_votes(200_000, prior, rates)
+    model = quality_rules.estimate(patterns, list("abcde"))
+    assert abs(model.prior - prior) < 0.02
+    for name, (b, g) in zip("abcde", rates, strict=True):
+        assert abs(model.bad_rate[name][0] - b) < 0.04 and abs(model.bad_rate[name][1] - g) < 0.04
+
+
+def test_votes_of_bad_can_be_outweighed(spark):
+    """Texts that two weak rules call bad and four strong ones good are kept; a text that one strong rule calls bad may be too."""
+    rates = [(0.9, 0.02)] * 4 + [(0.5, 0.3)] * 2
+    _, _, patterns = made_votes(100_000, 0.8, rates)
+    names = [f"r{i}" for i in range(6)]
     model = quality_rules.estimate(patterns, names)
-    assert model.right["c"][0] < model.right["a"][0] and 0.5 < model.prior < 0.99
+
+    def odds(votes):
+        frame = spark.createDataFrame([votes], ", ".join(f"{n} int" for n in names))
+        return frame.select(model.log_odds({n: F.col(n) for n in names}).alias("x")).first().x
+    assert odds((1, 1, 1, 1, 0, 0)) > 0 and odds((0, 1, 1, 1, 1, 1)) > 0
+    assert odds((0, 0, 1, 1, 0, 0)) < 0 and odds((0, 0, 0, 1, 1, 1)) < 0
+    assert odds((None,) * 6) == pytest.approx(math.log(model.prior / (1 - model.prior)))
+
+
+def test_rule_that_is_no_better_than_chance_counts_for_nothing():
+    _, _, patterns = made_votes(100_000, 0.8, [(0.9, 0.05), (0.8, 0.05), (0.7, 0.1), (0.1, 0.5)])
+    model = quality_rules.estimate(patterns, list("abcd"))
+    assert model.bad_rate["d"][0] == model.bad_rate["d"][1] and model.weight("d") == (0.0, 0.0)
+    assert quality_rules.estimate([], ["a"]).prior == quality_rules.PRIORS[0]
+
+
+def test_posterior_as_by_hand(docs):
+    """The verdict of each document from its signals, by the fitted model in plain Python."""
+    seen = quality_rules.signals(docs.select("doc_id", "text"), name="s_")
+    model = quality_rules.fit(seen, "s_")
+    votes = quality_rules.rules(F.col("s_"))
+    rows = seen.select(quality_rules.posterior(model, F.col("s_")).alias("p"), *[v.alias(n) for n, v in votes.items()]).collect()
+    for r in rows:
+        good, bad = model.prior, 1 - model.prior
+        for n in votes:
+            on_bad, on_good = model.bad_rate[n]
+            if r[n] is not None:
+                good, bad = good * (on_good if r[n] == 0 else 1 - on_good), bad * (on_bad if r[n] == 0 else 1 - on_bad)
+        assert r.p == pytest.approx(good / (good + bad), rel=1e-6, abs=1e-12)
 
 
 def test_pairwise_quality(spark, docs, rows, empty):
@@ -299,3 +360,99 @@ def test_the_end_of_a_long_text_teaches_too():
     x, last = np.ones((3, len(sign)), np.float32), lambda n: np.array([0, n])
     cost = mixing_lm.mix_stream(x[:, :70_000], sign[:70_000], last(70_000), np.full(3, 0.3))[0] - mixing_lm.mix_stream(x, sign, last(len(sign)), np.full(3, 0.3))[0]
     assert cost < 0.5 * 50_000 * math.log(2)
+
+
+# --- texts that collide in linear hashes ---------------------------------------------
+
+def two_letters(n, flip=False):
+    """The Thue-Morse string of a and b and its mirror image have equal polynomial hashes modulo 2^64, whatever the base."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 2048, 8192])
+def test_regular_words_differ(n):
+    import pyarrow as pa
+    from brevilog.llm import common
+    words = [two_letters(n), two_letters(n, True)]
+    for which in range(8):
+        (_, _, data, offs), = common.pieces(pa.array(words))
+        h = common.byte_hashes(data, offs[:-1], offs[1:], which)
+        assert h[0] != h[1]
+        seq = [np.array([{"a": 7, "b": 9}[c] for c in w], np.uint64) for w in words]
+        flat, at = np.concatenate(seq), np.array([0, n])
+        one, two = common.span_hashes(flat, at, at + n, which)
+        assert one != two
+        assert common.gram_hashes(seq[0], n, which)[0] != common.gram_hashes(seq[1], n, which)[0]
+
+
+def test_hashes_depend_on_content_only():
+    import pyarrow as pa
+    from brevilog.llm import common
+    r = random.Random(2)
+    texts = ["".join(r.choices("abé ", k=r.randint(0, 40))) for _ in range(500)]
+    (_, _, data, offs), = common.pieces(pa.array(texts))
+    h = common.byte_hashes(data, offs[:-1], offs[1:], 2)
+    assert len(set(zip(texts, h.tolist(), strict=True))) == len(set(texts)) == len(set(h.tolist()))
+    values = np.random.default_rng(1).integers(0, 3, 4000).astype(np.uint64)
+    for k in (1, 2, 5, 8, 35):
+        grams = common.gram_hashes(values, k, 1).tolist()
+        assert len({(tuple(values[i : i + k].tolist()), g) for i, g in enumerate(grams)}) == len(set(grams)) == len({tuple(values[i : i + k].tolist()) for i in range(len(grams))})
+    starts = np.sort(np.random.default_rng(2).integers(0, 3900, 300))
+    ends = starts + np.random.default_rng(3).integers(0, 90, 300)
+    spans = common.span_hashes(values, starts, ends, 1).tolist()
+    assert len({(tuple(values[a:b].tolist()), g) for a, b, g in zip(starts, ends, spans, strict=True)}) == len(set(spans))
+    assert common.span_hashes(values[7:], starts[starts >= 7] - 7, ends[starts >= 7] - 7, 1).tolist() == [g for a, g in zip(starts, spans, strict=True) if a >= 7]
+
+
+@pytest.mark.parametrize("n", [256, 4096])
+def test_operators_tell_regular_texts_apart(spark, ranks, n):
+    one, other = two_letters(n), two_letters(n, True)
+    tail = " ".join(f"t{i}" for i in range(40))
+    head = " ".join(f"h{i}" for i in range(40))
+    spread = lambda w: " ".join(w)
+    texts = [f"{tail[:60]} {one} {head[:60]}", f"{tail[:60]} {other} {head[:60]}", spread(one), spread(other), f"{one}\n{other}\n{one}"]
+    rows = [(i, t, "en", "k", 1, "s") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    test_substring_dedup(frame, rows, frame.limit(0))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert got == brute_components(rows)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id: r.ids for r in bpe.encode(frame, ranks).collect()} == {i: encoding.encode_ordinary(t) for i, t, *_ in rows}
+    assert decontaminate.contained(frame.where("doc_id = 2"), spark.createDataFrame([(0, other)], "item_id long, text string")).count() == 0
+    for r in quality_rules.signals(frame.select("doc_id", "text")).collect():
+        assert list(r.signals) == plain_signals(r.text)
+
+
+def test_words_with_one_hash_take_another(spark, ranks, monkeypatch):
+    """Two words that the first two hashes don't tell apart are encoded by the third."""
+    real = bpe.word_hashes
+    monkeypatch.setattr(bpe, "word_hashes", lambda d, s, e, which=0: np.zeros(len(s), np.uint64) if which < 2 else real(d, s, e, which))
+    block = bpe._Block(0, 8)
+    import pyarrow as pa
+    from brevilog.llm import common
+    for lo, hi, data, offs in common.pieces(pa.array(["a b c a", "b d"])):
+        block.add(pa.array([1, 2], pa.int64()), data, offs)
+    _, group, n, _, _ = block.sort()
+    assert len(group) == 6 and n.sum() == 6
+
+
+# --- greedy factors ------------------------------------------------------------------
+
+def test_factors_are_copies(spark):
+    """Each factor is a copy of its source, as long as it says; factors of one copied stretch are joined."""
+    r = random.Random(11)
+    say = lambda k: [f"v{r.randrange(10**6)}" for _ in range(k)]
+    shared = say(400)
+    texts = [say(30) + shared + say(50), say(80) + shared[:300] + say(20) + shared[250:], say(300)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = substring_dedup.keyed(docs, "doc_id", "text")
+    every = substring_dedup.blocks(rows)
+    first = every.groupBy("anchor", "block").agg(F.min(F.struct("k1", "k2", "lo")).alias("f"), F.max(F.struct("k1", "k2", "lo")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    me = F.struct("k1", "k2", "lo")
+    src = F.when(F.col("f") == me, F.col("l")).otherwise(F.col("f"))
+    again = every.join(first, ["anchor", "block"]).select("k1", "k2", "lo", "hi", src["k1"].alias("src"), src["k2"].alias("src2"), src["lo"].alias("src_lo"))
+    found = substring_dedup.parse(again).collect()
+    for f in found:
+        assert texts[f.k1][f.lo : f.lo + f.n_words] == texts[f.src][f.src_lo : f.src_lo + f.n_words] and f.n_words >= 35
+    assert max(f.n_words for f in found if f.k1 == 1) > 200  # many blocks, one factor
+    assert sum(1 for f in found if f.k1 == 1) < again.where("k1 = 1").count() / 3
