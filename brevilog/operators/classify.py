@@ -100,13 +100,38 @@ def archetype_of(p: Params = DEFAULTS) -> Column:
     return pick(F.col("tabular_score"), F.col("tree_score"), F.col("linear_score"), p)
 
 
+def _hashed(no: Column) -> Column:
+    return F.xxhash64(no)
+
+
+def _halves(h: Column) -> tuple[Column, Column]:
+    """Two numbers of 31 bits."""
+    return h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
+
+
 def run_totals(lines: DataFrame, ends_newline: bool = True) -> DataFrame:
-    """Lines and text bytes of each run (line ends included)."""
-    return lines.groupBy("run_id").agg(
-        F.count("*").alias("n_lines"),
-        (F.sum(octets(F.col("line"))) + F.count("*") - (0 if ends_newline else 1)).alias("n_bytes"),
-        F.max("line_no").alias("last_no"),
-    )
+    """Lines and text bytes of each run (line ends included), and whether lines are numbered 1, 2, 3 ... without gap or repeat.
+
+    ``lines`` may tell for each line whether a CR was dropped from it (``cr``) and whether it has a line end
+    (``lf``); then bytes are exact. Without these, lines end with LF, but for the last one if not ``ends_newline``.
+
+    Numbers are dense if the least is 1, the greatest the count, and the steps of a hash from each number to the
+    next add up to the step from the first to one after the last (two sums of 31 bits each).
+    """
+    given, at = lines.columns, F.col("line_no")
+    count, zero = F.count("*"), F.lit(0)
+    n_cr = F.sum(F.col("cr").cast("bigint")) if "cr" in given else zero
+    n_lf = F.sum(F.col("lf").cast("bigint")) if "lf" in given else count - (0 if ends_newline else 1)
+    ends = F.min("lf") if "lf" in given else F.lit(ends_newline)
+    steps = [b - a for a, b in zip(_halves(_hashed(at)), _halves(_hashed(at + 1)), strict=True)]
+    totals = lines.groupBy("run_id").agg(
+        count.alias("n_lines"), (F.sum(octets(F.col("line"))) + n_cr + n_lf).alias("n_bytes"), ends.alias("text_ends"),
+        F.min("line_no").alias("_first"), F.max("line_no").alias("_last"), *[F.sum(s).alias(f"_s{k}") for k, s in enumerate(steps)])
+    one, after = _halves(_hashed(F.lit(1).cast("bigint"))), _halves(_hashed(F.col("n_lines") + 1))
+    dense = (F.col("_first") == 1) & (F.col("_last") == F.col("n_lines"))
+    for k in range(2):
+        dense = dense & (F.col(f"_s{k}") == after[k] - one[k])
+    return totals.withColumn("dense", dense).drop("_first", "_last", "_s0", "_s1")
 
 
 def run_samples(lines: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -65,7 +65,7 @@ class Compacted(NamedTuple):
     any_long: bool
 
 
-def _routes(runs: DataFrame, p: Params, ends_newline: bool) -> DataFrame:
+def _routes(runs: DataFrame, p: Params) -> DataFrame:
     """Branch of each run; needs ``is_short``."""
     whole = (
         F.col("is_short")
@@ -73,7 +73,7 @@ def _routes(runs: DataFrame, p: Params, ends_newline: bool) -> DataFrame:
         | ((F.col("archetype") == LINEAR) & (F.col("n_lines") <= p.log_tail))
     )
     # Untouched tables and logs are joined without a final line end.
-    ends = F.when(F.col("is_short"), F.lit(ends_newline)).when(whole, F.lit(False)).otherwise(True)
+    ends = F.when(F.col("is_short"), F.col("text_ends")).when(whole, F.lit(False)).otherwise(True)
     return (
         runs.withColumn("route", F.when(whole, RAW).otherwise(F.col("archetype")))
         .withColumn("ends_newline", ends)
@@ -240,13 +240,14 @@ def compact_lines(
     """Classify every run and compact it; each run takes exactly one branch.
 
     ``intent(run_id, intent)`` biases the output of the runs it names. ``force`` treats
-    every run, short ones included, as the given archetype.
+    every run, short ones included, as the given archetype. Lines whose numbers have gaps, repeats or a late start
+    are counted in the order of their numbers, so that none is lost. ``cr`` and ``lf`` of lines, see ``run_totals``.
     """
     runs = classify_runs(lines, p, ends_newline)
     is_short = F.col("n_bytes") < p.short_bytes
     if force:
         runs, is_short = runs.withColumn("archetype", F.lit(force)), F.lit(False)
-    runs = _routes(runs.withColumn("is_short", is_short), p, ends_newline)
+    runs = _routes(runs.withColumn("is_short", is_short), p)
     if intent is None:
         runs = runs.withColumn("kind", F.lit("none"))
     else:
@@ -260,13 +261,13 @@ def compact_lines(
     n_blocks = block_of_line(F.col("n_lines"), p.block_lines) + 1
     census = runs.groupBy("route", "kind").agg(
         F.max("is_long").alias("is_long"), F.sum(n_blocks).alias("blocks"),
-        F.max(F.col("last_no") != F.col("n_lines")).alias("sparse")).collect()
-    if any(r.sparse for r in census):
-        # Line numbers with gaps or a late start: count the lines instead, so that none is lost.
+        F.min("dense").alias("dense")).collect()
+    if not all(r.dense for r in census):
         counted = number_within(
             lines.withColumn("_bucket", block_of_line(F.col("line_no"), p.block_lines)),
             ["run_id"], ["_bucket"], [F.col("line_no"), F.col("line")], "_counted")
-        lines = counted.select("run_id", F.col("_counted").cast("bigint").alias("line_no"), "line")
+        flags = [c for c in ("cr", "lf") if c in lines.columns]
+        lines = counted.select("run_id", F.col("_counted").cast("bigint").alias("line_no"), "line", *flags)
         return compact_lines(lines, p, intent=intent, force=force, ends_newline=ends_newline)
     routes = {r.route: any(x.is_long for x in census if x.route == r.route) for r in census}
     any_long = any(routes.values())
@@ -331,7 +332,7 @@ def report(done: Compacted) -> DataFrame:
     joined = done.runs.join(sizes, "run_id", "left")
     # Line ends: one per line, but for the last line of a text that has none there.
     ends = F.when(out_lines == 0, 0).otherwise(out_lines - F.when(F.col("ends_newline"), 0).otherwise(1))
-    out_bytes = F.coalesce("out_octets", F.lit(0)) + ends
+    out_bytes = F.when(F.col("is_short"), F.col("n_bytes")).otherwise(F.coalesce("out_octets", F.lit(0)) + ends)
     base = joined.select(
         "run_id", "archetype", "n_lines", "n_bytes", out_lines.alias("out_lines"),
         out_bytes.cast("bigint").alias("out_bytes"))

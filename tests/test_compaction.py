@@ -114,3 +114,44 @@ def test_focus_does_not_depend_on_blocks(spark):
     lines = spark.createDataFrame(rows, "run_id long, line_no long, line string").withColumn("out_no", F.col("line_no"))
     counts = {focus_failures(lines, Params(block_lines=b)).count() for b in (5, 7, 12, 1000)}
     assert len(counts) == 1
+
+
+def test_every_line_number_counts(spark):
+    """Numbers from 0, with a gap, or with repeats that make up for gaps: no line is lost."""
+    text = [f"no answer from 172.20.3.{i}:6100" for i in range(100)]
+    for numbers in ([0, *range(2, 101)], [1, 5, 6, *[n for n in range(1, 101) if n not in (2, 3, 7)]], [0] * 100, [*range(1, 100), 99]):
+        rows = spark.createDataFrame([(1, n, x) for n, x in zip(numbers, text, strict=True)], "run_id long, line_no long, line string")
+        for block in (50, 65_536):
+            done = K.compact_lines(rows, Params(block_lines=block))
+            assert [r.n_lines for r in done.runs.collect()] == [100]
+            out = [r.line for r in K.number_lines(done).orderBy("out_no").collect()]
+            assert "  × 95" in out[0] and len(out) == 7
+
+
+def test_dense_numbers_are_told(spark):
+    from brevilog.operators.classify import run_totals
+    cases = {"dense": range(1, 51), "late": range(2, 52), "gap": [*range(1, 50), 51], "zero": range(50), "one": [1],
+             "sums": [1, 5, 6, 1, 4, 5, 6, 8], "twice": [1, 1, 3, 4]}
+    rows = [(name, n, "x") for name, numbers in cases.items() for n in numbers]
+    got = {r.run_id: r.dense for r in run_totals(spark.createDataFrame(rows, "run_id string, line_no long, line string")).collect()}
+    assert got == {name: sorted(n) == list(range(1, len(n) + 1)) for name, n in cases.items()}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("last", [True, False])
+def test_bytes_are_exact(spark, end, last):
+    """Texts around the limit of 256 bytes, with CRLF and without a last line end, count as their bytes."""
+    texts = []
+    for size in (200, 254, 255, 256, 257, 300, 600):
+        body = end.join(f"row {i:03} waits for 10.0.0.{i}" for i in range(60))
+        body = body[: size - len(end)].rstrip("\r\n") if last else body[:size].rstrip("\r\n")
+        body += end if last else ""
+        body = body.replace("w", "w" * (1 + max(0, size - len(body))), 1)
+        texts.append((len(texts), body))
+    texts += [(len(texts), end.join(["a"] * 120)), (len(texts) + 1, ""), (len(texts) + 2, end)]
+    frame = spark.createDataFrame(texts, "run_id long, text string")
+    want = {r.run_id: (r.archetype, r.tokens_in, r.tokens_out) for r in compact_texts(frame).collect() if r.text}
+    for block in (3, 65_536):
+        done = K.report(K.compact_lines(lines_of_texts(frame, "run_id", exact=True), Params(block_lines=block))).collect()
+        assert {r.run_id: (r.archetype, r.tokens_in, r.tokens_out) for r in done} == want
+        assert {r.run_id: r.n_bytes for r in done} == {i: len(t) for i, t in texts if t}
