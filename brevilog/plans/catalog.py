@@ -16,8 +16,9 @@ from ..operators import lines as N
 from ..operators import mining as M
 from ..operators import texts as W
 from ..session import scratch_path
+from ..sources import logs as log_files
 from ..sources import reports
-from ..sources.journal import new_runs
+from ..sources.journal import append_new_runs, append_runs, new_runs, read_journal
 from ..streaming import chunks as live_chunks
 from ..streaming import live
 from ..streaming import windows as S
@@ -315,6 +316,46 @@ def s07(spark, sf):
     return pick(stored, "stored").unionByName(pick(added, "added"))
 
 
+WRITTEN = ["id", "tokens_in", "tokens_out", "raw_bytes", "exit_code", "is_tty"]
+WRITTEN_SQL = "id, tokens_in, tokens_out, raw_bytes, exit_code, is_tty"
+
+
+def _linear(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("archetype", F.lit(C.LINEAR))
+
+
+@register("s06_written", f"WITH {O.RUNS} SELECT {WRITTEN_SQL}, {ISO} AS started_at, CAST(CAST(started_at AS DATE) AS VARCHAR) AS day FROM runs")
+def s06(spark, sf):
+    path = scratch_path(spark, "journal")
+    append_runs(_linear(V.runs(spark, sf)), path)
+    return read_journal(spark, path).select(*WRITTEN, _iso("started_at"), F.col("day").cast("string").alias("day"))
+
+
+@register("s07_written", f"WITH {O.RUNS} SELECT {WRITTEN_SQL} FROM runs")
+def s07_written(spark, sf):
+    """Two batches that overlap, the second one twice: each run is there once."""
+    path, runs = scratch_path(spark, "journal"), _linear(V.runs(spark, sf))
+    append_new_runs(runs.filter("started_at < timestamp_ntz'2024-01-20'"), path)
+    batch = runs.filter("started_at >= timestamp_ntz'2024-01-10'")
+    append_new_runs(batch.unionAll(batch), path)
+    append_new_runs(batch, path)
+    return read_journal(spark, path).select(*WRITTEN)
+
+
+@register("s09_two_roots", f"""WITH {O.RUNS} SELECT CASE WHEN user_half = 0 THEN 'even' ELSE 'odd' END AS root, count(*) AS runs,
+  CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out
+  FROM (SELECT *, CAST(right(cwd, 1) AS INT) % 2 AS user_half FROM runs) GROUP BY 1""")
+def s09(spark, sf):
+    """Two journals read as one, told apart by their root."""
+    odd = F.right("cwd", F.lit(1)).cast("int") % 2
+    runs, paths = _linear(V.runs(spark, sf)), [scratch_path(spark, "root") for _ in range(2)]
+    for k, path in enumerate(paths):
+        append_runs(runs.filter(odd == k), path)
+    root = F.when(F.col("root") == paths[0], "even").otherwise("odd")
+    return read_journal(spark, *paths).groupBy(root.alias("root")).agg(
+        F.count("*").alias("runs"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
 @register("s08_scope", f"""WITH {O.RUNS}, r AS (SELECT * FROM runs WHERE cwd = 'proj3')
   SELECT 'proj3' AS scope, count(*) AS runs, CAST(sum(tokens_in) AS BIGINT) AS tokens_in FROM r
   UNION ALL SELECT 'all', count(*), CAST(sum(tokens_in) AS BIGINT) FROM runs""")
@@ -331,6 +372,25 @@ def s10(spark, sf):
     return reports.daily_json(_daily(spark, sf))
 
 
+@register("s10b_summary_json", f"""WITH {O.RUNS}, {SUMMARY} SELECT total_commands, tokens_in AS input_tokens, tokens_out AS output_tokens,
+  {SAVED} AS tokens_saved, {PCT} AS savings_pct, wall AS total_exec_ms, wall // total_commands AS avg_exec_ms FROM summary""")
+def s10b(spark, sf):
+    """The summary as one JSON object, read back."""
+    kinds = ", ".join(f"{c} {'double' if c == 'savings_pct' else 'bigint'}" for c in reports.SUMMARY_FIELDS)
+    back = reports.summary_json(J.summary(V.runs(spark, sf))).select(F.from_json("json", kinds).alias("j")).select("j.*")
+    return back.withColumn("savings_pct", _r6("savings_pct"))
+
+
+@register("s10c_history_json", f"""WITH {O.RUNS} SELECT id, {ISO} || 'Z' AS started_at, argv, round({RAW_PCT}, 6) AS savings_pct, {SAVED} AS tokens_saved,
+  tokens_in, tokens_out, wall_ms, exit_code, log_path FROM runs ORDER BY runs.started_at DESC, id LIMIT 20""")
+def s10c(spark, sf):
+    """The history as JSON objects, read back."""
+    kinds = ("id string, started_at string, argv array<string>, savings_pct double, tokens_saved bigint, tokens_in bigint, "
+             "tokens_out bigint, wall_ms bigint, exit_code int, log_path string")
+    back = reports.history_json(J.history(V.runs(spark, sf))).select(F.from_json("json", kinds).alias("j")).select("j.*")
+    return back.withColumn("savings_pct", _r6("savings_pct"))
+
+
 UP1 = f"""CASE WHEN ({RAW_PCT}) * 4 % 2 = 1 THEN printf('%.1f', (floor(({RAW_PCT}) * 10) + 1) / 10e0) ELSE printf('%.1f', {RAW_PCT}) END"""
 
 
@@ -693,13 +753,38 @@ def k13b(spark, sf):
   {O.texts_compacted(f"texts AS (SELECT run_id AS doc_id, regexp_replace(raw, '{REPLAY_SQL}', '', 'g') AS text FROM raw)")}
   SELECT run_id, archetype, compacted, {O.TOKEN_COLUMNS}, CASE WHEN count(*) OVER () = 1 THEN 'one' ELSE 'many' END AS outcome FROM done""")
 def k14(spark, sf):
-    from ..sources.logs import replay
+    return log_files.replay_each(_conversation_logs(spark, sf), "1").select(
+        "run_id", "archetype", "compacted", "tokens_in", "tokens_out", "outcome")
+
+
+def _conversation_logs(spark, sf) -> DataFrame:
     turns = V.table(spark, sf, "conversations").withColumn("text", F.concat(
         F.lit("\x1b[1m"), "role", F.lit("\x1b[0m "), "text"))
     logs = turns.groupBy(F.col("conv_id").cast("string").alias("run_id")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select(
         "run_id", F.concat(F.array_join(F.transform("t", lambda t: t["text"]), "\n"), F.lit("\n")).cast("binary").alias("data"))
-    return replay(logs, "1").select("run_id", "archetype", "compacted", "tokens_in", "tokens_out", "outcome")
+    return logs
+
+
+RAW_LOGS = """raw AS (SELECT CAST(conv_id AS VARCHAR) AS run_id,
+    string_agg(chr(27) || '[1m' || role || chr(27) || '[0m ' || text, chr(10) ORDER BY turn) || chr(10) AS raw FROM conversations GROUP BY conv_id)"""
+
+
+@register("k14b_replay_one", f"""WITH {RAW_LOGS}, last_run AS (SELECT * FROM raw WHERE starts_with(run_id, (SELECT max(run_id) FROM raw))),
+  {O.texts_compacted(f"texts AS (SELECT run_id AS doc_id, regexp_replace(raw, '{REPLAY_SQL}', '', 'g') AS text FROM last_run)")}
+  SELECT run_id, archetype, compacted, {O.TOKEN_COLUMNS}, 'one' AS outcome FROM done""")
+def k14b(spark, sf):
+    """The log with the greatest id: no other id starts with it."""
+    logs = _conversation_logs(spark, sf)
+    prefix = V.table(spark, sf, "conversations").agg(F.max(F.col("conv_id").cast("string"))).scalar()
+    return log_files.replay(logs, logs.sparkSession.range(1).select(prefix).first()[0]).select(
+        "run_id", "archetype", "compacted", "tokens_in", "tokens_out", "outcome")
+
+
+@register("k14c_replay_listing", f"""WITH {RAW_LOGS} SELECT run_id, CAST(strlen(raw) AS BIGINT) AS length, 'many' AS outcome
+  FROM raw WHERE starts_with(run_id, '1')""")
+def k14c(spark, sf):
+    return log_files.replay(_conversation_logs(spark, sf), "1").select("run_id", "length", "outcome")
 
 
 def _report_query(view: str):
@@ -748,6 +833,54 @@ _template_query("k17b_templates_doc", "doc", None)
 _template_query("k17c_top_templates", "diff", 20)
 
 
+# --- log files ---------------------------------------------------------------------
+
+def _region_logs(spark, sf) -> str:
+    """A log file for each region, from the listing of its suppliers."""
+    folder = scratch_path(spark, "log-files")
+    lines = V.lines_tree(spark, sf).repartition("run_id").sortWithinPartitions("run_id", "line_no")
+    lines.select("run_id", "line").write.partitionBy("run_id").text(folder)
+    return folder
+
+
+def _region() -> Column:
+    return F.regexp_extract("path", "run_id=([^/]+)", 1)
+
+
+TEXT_RUN = "SELECT CAST(run_id AS VARCHAR) AS run_id"
+
+
+@register("s01_log_lines", f"WITH {O.LINES_TREE} {TEXT_RUN}, line_no, line FROM lines")
+def s01(spark, sf):
+    return log_files.scan_lines(spark, _region_logs(spark, sf), "*.txt", _region()).lines.select("run_id", "line_no", "line")
+
+
+@register("s01b_log_sizes", f"WITH {O.LINES_TREE} {TEXT_RUN}, count(*) AS n_lines, CAST(sum(strlen(line)) + count(*) AS BIGINT) AS n_bytes, true AS ends_newline FROM lines GROUP BY 1")
+def s01b(spark, sf):
+    return log_files.scan_lines(spark, _region_logs(spark, sf), "*.txt", _region()).runs.drop("path")
+
+
+@register("s01c_log_savings", f"SELECT * REPLACE (CAST(run_id AS VARCHAR) AS run_id) FROM ({O.report(O.LINES_TREE)})")
+def s01c(spark, sf):
+    lines = log_files.scan_lines(spark, _region_logs(spark, sf), "*.txt", _region()).lines
+    return K.report(K.compact_lines(lines)).withColumn("savings_pct", F.round("savings_pct", 6))
+
+
+@register("s02_file_heads", f"""WITH {O.LINES_TREE} {TEXT_RUN}, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM lines WHERE line_no <= 50 GROUP BY 1""")
+def s02(spark, sf):
+    texts = log_files.read_texts(spark, f"{_region_logs(spark, sf)}/*/*.txt", head=50)
+    return texts.select(_region().alias("run_id"), "text")
+
+
+@register("s03_file_distill", f"""WITH {O.LINES_TREE}, joined AS (SELECT CAST(run_id AS VARCHAR) AS run_id, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS text
+    FROM lines GROUP BY 1), {O.texts_compacted("texts AS (SELECT run_id AS doc_id, text FROM joined)").replace("lines AS (", "lines2 AS (", 1).replace("FROM lines ", "FROM lines2 ").replace("FROM lines)", "FROM lines2)")}
+  SELECT run_id, archetype, compacted, {O.TOKEN_COLUMNS} FROM done""")
+def s03(spark, sf):
+    done = log_files.compact_files(spark, f"{_region_logs(spark, sf)}/*/*.txt")
+    return done.select(_region().alias("run_id"), "archetype", "compacted", "tokens_in", "tokens_out")
+
+
 # --- streams ----------------------------------------------------------------------
 
 def _numbered_with_end(spark, sf) -> DataFrame:
@@ -795,8 +928,35 @@ def st01_stream(spark, sf):
     out = scratch_path(spark, "windows")
     stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
     live.start_window_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
+    return _windows_of(spark, out)
+
+
+def _windows_of(spark, out: str) -> DataFrame:
     return _window_columns(spark.read.schema(
-        "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(out))
+        "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(f"{out}/windows"))
+
+
+def _locked_sql(size: int) -> str:
+    """Windows after the first one get its archetype, unless they are short."""
+    lock = """shape AS (SELECT f.* REPLACE (CASE WHEN f.is_short THEN f.archetype ELSE coalesce(a.archetype, f.archetype) END AS archetype)
+      FROM facts f LEFT JOIN (SELECT split_part(run_id, '/', 1) AS run, archetype FROM facts WHERE split_part(run_id, '/', 2) = '0' AND n_lines >= 20) a
+        ON a.run = split_part(f.run_id, '/', 1))"""
+    free = "shape AS (SELECT * FROM facts)"
+    sql = _windows_sql(size)
+    assert free in sql
+    own = "CASE WHEN k[2] = '0' AND n_lines < 20 THEN NULL ELSE archetype END AS archetype"
+    assert own in sql
+    first = "first_value(CASE WHEN n_lines < 20 THEN NULL ELSE archetype END) OVER (PARTITION BY k[1] ORDER BY CAST(k[2] AS BIGINT)) AS archetype"
+    return sql.replace(free, lock).replace(own, first)
+
+
+@register("st04_locked_stream", _locked_sql(WINDOW))
+def st04(spark, sf):
+    path, stored = _stored(_numbered_with_end(spark, sf), "lines", 3)
+    out = scratch_path(spark, "locked")
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    live.start_window_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True, lock=True).awaitTermination()
+    return _windows_of(spark, out)
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -834,6 +994,53 @@ def st08_stream(spark, sf):
         "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(f"{out}/windows"))
 
 
+@register("st08c_shuffled_stream", _windows_sql(WINDOW))
+def st08_shuffled(spark, sf):
+    """Chunks dealt over three micro-batches by a hash, in any order."""
+    path = scratch_path(spark, "chunks")
+    _chunks(spark, sf).repartition(3, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    out = scratch_path(spark, "chunk-windows")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
+    return _windows_of(spark, out)
+
+
+@register("st08d_waiting_chunks", f"""WITH {O.LINES_LOG}, n AS (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id)
+  SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(7 AS BIGINT) AS next_chunk, n - 7 AS n_waiting, CAST(8 AS BIGINT) AS first_waiting FROM n WHERE n >= 8""")
+def st08_waiting(spark, sf):
+    """A run of n lines has chunks 0 to n here; without chunk 7, those from 8 on wait."""
+    path = scratch_path(spark, "chunks")
+    _chunks(spark, sf).filter("chunk_no <> 7").repartition(2, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    out = scratch_path(spark, "chunk-windows")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
+    return live_chunks.ChunkCompactor(out, window=WINDOW).waiting(spark)
+
+
+TTY_RUN = "CAST(run_id AS BIGINT) % 10 = 0"
+
+
+@register("st06_journal_rows", f"""WITH r AS ({O.report(O.LINES_LOG)})
+  SELECT CAST(run_id AS VARCHAR) AS id, n_bytes AS raw_bytes, tokens_in, CASE WHEN {TTY_RUN} THEN tokens_in ELSE tokens_out END AS tokens_out,
+    CASE WHEN {TTY_RUN} THEN 0e0 ELSE savings_pct END AS savings_pct, CASE WHEN {TTY_RUN} THEN 'passthrough' ELSE archetype END AS archetype,
+    {TTY_RUN} AS is_tty, CAST(60000 AS BIGINT) AS wall_ms FROM r""")
+def st06_journal(spark, sf):
+    """Runs that end in a stream of chunks become journal rows, once each, though their chunks come twice."""
+    path, journal, out = (scratch_path(spark, n) for n in ("chunks", "journal", "recorded"))
+    chunks = _chunks(spark, sf)
+    chunks.repartition(2, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    chunks.filter("chunk_no % 3 = 0").write.mode("append").parquet(path)
+    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct()
+    begun = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    runs = ids.select(
+        F.col("u").cast("string").alias("id"), F.array(F.lit("job"), F.col("u").cast("string")).alias("argv"), F.lit("/srv").alias("cwd"),
+        begun.alias("started_at"), (begun + F.make_dt_interval(mins=F.lit(1))).alias("finished_at"), F.lit(0).alias("exit_code"),
+        F.lit("logs/x.log").alias("log_path"), F.lit(None).cast("string").alias("intent"), (F.col("u") % 10 == 0).alias("is_tty"))
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=8)
+    live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True, runs=runs, journal=journal).awaitTermination()
+    return read_journal(spark, journal).select("id", "raw_bytes", "tokens_in", "tokens_out", _r6("savings_pct"), "archetype", "is_tty", "wall_ms")
+
+
 @register("st06_raw_totals", f"WITH {O.LINES_LOG} SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(sum(strlen(line)) + count(*) AS BIGINT) AS raw_bytes FROM lines GROUP BY run_id")
 def st06(spark, sf):
     path, stored = _stored(_chunks(spark, sf), "raw-chunks", 2)

@@ -1,14 +1,19 @@
-"""The journal of runs: Parquet, partitioned by UTC day."""
+"""The journal of runs: Parquet, partitioned by UTC day and, within a day, by a hash of the run id."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import argv_from_json
 from ..schema import RUNS
 
-DAY = "day"
+DAY, PART = "day", "part"
+# Folders of a day. An append of few runs reads the ids of few of them.
+PARTS = 16
+STORED = T.StructType([*RUNS.fields, T.StructField(DAY, T.DateType()), T.StructField(PART, T.IntegerType())])
 
 
 def utc_instant(text: Column) -> Column:
@@ -31,10 +36,15 @@ def from_text_rows(rows: DataFrame) -> DataFrame:
         "archetype", F.lit(None).cast("string"))
 
 
+def part_of(id_: Column) -> Column:
+    """Folder of a run id."""
+    return F.pmod(F.xxhash64(id_), F.lit(PARTS)).cast("int")
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append rows as they are; days become folders, so date ranges prune."""
-    rows = runs.select(*RUNS.fieldNames()).withColumn(DAY, F.col("started_at").cast("date"))
-    rows.write.mode("append").partitionBy(DAY).parquet(path)
+    """Append rows as they are; days and parts become folders, so date ranges and ids prune."""
+    rows = runs.select(*RUNS.fieldNames()).withColumns({DAY: F.col("started_at").cast("date"), PART: part_of(F.col("id"))})
+    rows.write.mode("append").partitionBy(DAY, PART).parquet(path)
 
 
 def new_runs(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -42,24 +52,34 @@ def new_runs(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
 
 
-def append_new_runs(batch: DataFrame, path: str) -> None:
-    """Insert or ignore, by id alone: of the journal only the ids are read, of all days."""
-    spark = batch.sparkSession
+def _is_there(spark: SparkSession, path: str) -> bool:
     try:
-        stored = read_journal(spark, path)
-    except Exception as missing:  # first write: there is no journal yet
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+        spark.read.schema(STORED).parquet(path)
+        return True
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
+        return False
+
+
+def ids_like(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
+    """Ids of a stored journal, of all days, from the folders that ids of the batch would be in."""
+    parts = [r[0] for r in batch.select(part_of(F.col("id"))).distinct().collect()]  # PARTS numbers at most
+    return read_journal(spark, path).filter(F.col(PART).isin(parts)).select("id")
+
+
+def append_new_runs(batch: DataFrame, path: str) -> None:
+    """Insert or ignore, by id alone. A batch that is written again adds nothing."""
+    spark = batch.sparkSession
+    if not _is_there(spark, path):  # first write
         append_runs(batch.dropDuplicates(["id"]), path)
         return
-    append_runs(new_runs(batch, stored), path)
+    append_runs(new_runs(batch, ids_like(spark, batch, path)), path)
 
 
 def read_journal(spark: SparkSession, *paths: str) -> DataFrame:
     """One or more journals as one table, with the ``root`` each row came from."""
-    tables = []
-    for path in paths:
-        tables.append(spark.read.parquet(path).withColumn("root", F.lit(path)))
+    tables = [spark.read.schema(STORED).parquet(path).withColumn("root", F.lit(path)) for path in paths]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

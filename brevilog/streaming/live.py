@@ -8,10 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.tokens import savings_pct, tokens_saved
-from ..operators.compact import compact_lines, report
+from ..operators.classify import PASSTHROUGH
+from ..operators.compact import compact_lines, report, tty_bypass
 from ..params import DEFAULTS, Params
+from ..schema import RUNS
+from ..sources.journal import append_new_runs
 from .chunks import ChunkCompactor, lines_of_chunks
-from .windows import compact_windows, stream_windows
+from .windows import WindowCompactor
 
 
 def read_stream(
@@ -44,25 +47,52 @@ def raw_totals(chunks: DataFrame) -> DataFrame:
 
 
 def start_window_compaction(
-    lines: DataFrame, out: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None,
-    once: bool = False, expiry_ms: int = 3_600_000,
+    lines: DataFrame, out_dir: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None,
+    once: bool = False, expiry_ms: int | None = 3_600_000, lock: bool = False,
 ) -> StreamingQuery:
-    """Compacted windows of a stream of numbered lines, as Parquet."""
-    done = compact_windows(stream_windows(lines, p, window, None if once else expiry_ms), p)
-    return _start(done.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
+    """Compacted windows of a stream of numbered lines, under ``out_dir/windows``; see ``WindowCompactor``."""
+    target = WindowCompactor(out_dir, p, window, None if once else expiry_ms, lock)
+    return _start(lines.writeStream.foreachBatch(target), checkpoint, once)
 
 
 def start_chunk_compaction(
-    chunks: DataFrame, out_dir: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None, once: bool = False
+    chunks: DataFrame, out_dir: str, checkpoint: str, p: Params = DEFAULTS, window: int | None = None, once: bool = False,
+    lock: bool = False, runs: DataFrame | None = None, journal: str | None = None,
 ) -> StreamingQuery:
-    """Compacted windows of a stream of raw chunks, under ``out_dir/windows``."""
-    return _start(chunks.writeStream.foreachBatch(ChunkCompactor(out_dir, p, window)), checkpoint, once)
+    """Compacted windows of a stream of raw chunks, under ``out_dir/windows``.
+
+    With ``runs`` (see ``finished_runs``) and the path of a ``journal`` every run that ends is written there once.
+    """
+    def record(_: int, ended: DataFrame) -> None:
+        append_new_runs(finished_runs(ended, runs, p), journal)
+
+    target = ChunkCompactor(out_dir, p, window, lock, record if journal else None)
+    return _start(chunks.writeStream.foreachBatch(target), checkpoint, once)
 
 
 def finished_totals(chunks: DataFrame, intent: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """Journal totals of finished runs: one batch pass over each whole text."""
+    """Journal totals of finished runs: one batch pass over each whole text, line ends as they came."""
     raw = raw_totals(chunks).select("run_id", "raw_bytes")
-    return report(compact_lines(lines_of_chunks(chunks), p, intent=intent)).join(raw, "run_id")
+    lines = lines_of_chunks(chunks, exact=True)
+    totals = report(compact_lines(lines, p, intent=intent))
+    # A run whose output holds no line has no row there.
+    zero = F.lit(0).cast("bigint")
+    counts = {c: F.coalesce(c, zero) for c in ("n_lines", "n_bytes", "out_lines", "out_bytes", "tokens_in", "tokens_out", "tokens_saved")}
+    return raw.join(totals, "run_id", "left").withColumns({
+        **counts, "savings_pct": F.coalesce("savings_pct", F.lit(0.0)), "archetype": F.coalesce("archetype", F.lit(PASSTHROUGH))})
+
+
+def finished_runs(chunks: DataFrame, runs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Journal rows of runs from all of their chunks and from what is known of them without their output.
+
+    ``runs`` has id, argv, cwd, started_at, finished_at, exit_code, log_path, intent and is_tty. Runs at a terminal
+    are never compacted: their tokens are those of the raw bytes. Chunks of runs that ``runs`` does not know give no row.
+    """
+    asked = runs.filter(F.col("intent").isNotNull()).select(F.col("id").alias("run_id"), "intent")
+    totals = finished_totals(chunks, asked.join(chunks.select("run_id").distinct(), "run_id", "left_semi"), p)
+    rows = runs.join(totals.withColumnRenamed("run_id", "id"), "id")
+    wall = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("finished_at"))
+    return tty_bypass(rows.withColumn("wall_ms", F.greatest(wall, F.lit(0)).cast("bigint"))).select(*RUNS.fieldNames())
 
 
 def live_daily(runs: DataFrame) -> DataFrame:

@@ -148,7 +148,10 @@ def test_log_files(spark, tmp_path):
     r = logs.replay(scan, "ab1").first()
     assert r.outcome == "one" and r.archetype == "linear-log"
     assert r.compacted == "ERROR x\ntick 12  × 56\n--- last 5 lines ---\n" + "tick 12\n" * 4 + "bad \ufffd byte\n"
-    assert {r.outcome for r in logs.replay(scan, "ab").collect()} == {"many"}
+    assert [(r.run_id, r.length, r.outcome, r.compacted) for r in logs.replay(scan, "ab").collect()] == [
+        (f, (folder / f"{f}.log").stat().st_size, "many", None) for f in ("ab1", "ab2")]
+    assert {r.outcome for r in logs.replay_each(scan, "ab").collect()} == {"many"}
+    assert logs.replay(scan, "zz").count() == 0
     texts = logs.read_texts(spark, f"{folder}/*.txt")
     assert [r.text for r in texts.collect()] == ["not a log\n"]
     assert [r.compacted for r in logs.compact_files(spark, f"{folder}/ab1.log", head=2).collect()] == ["\x1b[31mERROR\x1b[0m x\ntick 12"]
@@ -158,3 +161,49 @@ def test_accuracy(spark):
     df = spark.createDataFrame([("tree", "tree", 10, 5), ("tabular", "tree", 20, 5)], "expected string, archetype string, n_bytes bigint, out_bytes bigint")
     r = J.accuracy(df).first()
     assert (r.total, r.correct, r.accuracy_pct, r.size_ratio) == (2, 1, 50.0, 3.0)
+
+
+@pytest.mark.parametrize("split", [None, 64, 1000])
+def test_lines_of_large_files(spark, tmp_path, split):
+    """Lines, numbers and sizes don't depend on how files are split; CRLF, a missing last line end and bad bytes are kept apart."""
+    folder = tmp_path / "logs"
+    (folder / "deep").mkdir(parents=True)
+    files = {
+        "a": b"".join(b"line %d of the log\n" % i for i in range(300)),
+        "b": b"one\r\ntwo\n\n\r\nno end",
+        "c": b"",
+        "d": b"\n",
+        "deep/e": "é x\x0by\rz\n".encode() * 40 + b"bad \xff byte\n" + b"w" * 5000 + b"\nend\r",
+    }
+    for name, data in files.items():
+        (folder / f"{name}.log").write_bytes(data)
+    (folder / "note.txt").write_text("not a log\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        scan = logs.scan_lines(spark, str(folder))
+        got = {}
+        for r in scan.lines.orderBy("run_id", "line_no").collect():
+            got.setdefault(r.run_id, []).append((r.line_no, r.line, r.cr, r.lf))
+        runs = {r.run_id: (r.n_lines, r.n_bytes, r.ends_newline) for r in scan.runs.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, data in files.items():
+        parts = data.split(b"\n")
+        ends = parts[-1] == b""
+        parts = parts[:-1] if ends else parts
+        want = [(k + 1, (p[:-1] if p.endswith(b"\r") else p).decode(errors="replace"), p.endswith(b"\r"), ends or k < len(parts) - 1)
+                for k, p in enumerate(parts)]
+        run = name.split("/")[-1]
+        assert got.get(run, []) == want
+        assert runs.get(run) == ((len(parts), len(data), ends) if data else None)
+
+
+def test_append_reads_the_folders_of_its_ids_only(spark, runs, tmp_path):
+    path = str(tmp_path / "journal")
+    S.append_new_runs(runs.withColumn("savings_pct", F.lit(0.0)), path)
+    plan = S.ids_like(spark, runs.filter("id = 'a'"), path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "ReadSchema: struct<id:string>" in plan
+    ids = {r.id for r in S.ids_like(spark, runs.filter("id = 'a'"), path).collect()}
+    assert "a" in ids and ids < set("abcde")

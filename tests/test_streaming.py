@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevilog.operators.lines import lines_of_texts
+from brevilog.functions.ansi import strip_ansi
+from brevilog.functions.text import split_lines
+from brevilog.sources.journal import read_journal
 from brevilog.streaming import live
-from brevilog.streaming.chunks import lines_of_chunks, newline_windows
-from brevilog.streaming.windows import batch_windows, compact_windows, lock_archetypes
+from brevilog.streaming.chunks import ChunkCompactor, lines_of_chunks, newline_windows
+from brevilog.streaming.windows import WindowCompactor, batch_windows, compact_windows, lock_archetypes
 from . import brute
 
 LOG = [f"2024-01-01T00:00:{i % 60:02}Z INFO item {i} é from 10.0.0.{i % 200}" for i in range(70)]
@@ -57,7 +60,7 @@ def test_stream_equals_batch(spark, lines, tmp_path, files):
     stream = live.read_stream(spark, source, lines.schema, files_per_batch=1)
     out = str(tmp_path / "out")
     live.start_window_compaction(stream, out, str(tmp_path / "cp"), window=WINDOW, once=True).awaitTermination()
-    assert as_dict(spark.read.schema(SCHEMA).parquet(out)) == expected()
+    assert as_dict(spark.read.schema(SCHEMA).parquet(f"{out}/windows")) == expected()
 
 
 def chunks_of(spark, size):
@@ -146,3 +149,185 @@ def test_windows_that_end_with_a_chunk(spark):
     got = newline_windows(df, window=WINDOW).orderBy("window_no").collect()
     assert [(r.archetype, r.compacted) for r in got] == expected
     assert [r.window_no for r in got] == list(range(len(got)))
+
+
+CHUNKS = "run_id string, chunk_no bigint, data binary, is_last boolean"
+
+
+def feed(spark, target, batches, schema=CHUNKS):
+    for k, rows in enumerate(batches):
+        target(spark.createDataFrame(rows, schema), k)
+
+
+def lines_out(spark, out, run="r"):
+    rows = spark.read.schema(SCHEMA).parquet(f"{out}/windows").filter(F.col("run_id") == run).orderBy("window_no").collect()
+    return [x for r in rows for x in r.compacted.split("\n")]
+
+
+def test_late_chunk_is_not_lost(spark, tmp_path):
+    """Batches {0,2}, {1}, {3, last}, and one that comes again."""
+    target = ChunkCompactor(str(tmp_path), window=20)
+    one = lambda k: ("r", k, f"line {k}\n".encode(), k == 3)
+    feed(spark, target, [[one(0), one(2)]])
+    assert [tuple(r) for r in target.waiting(spark).collect()] == [("r", 1, 1, 2)]
+    target(spark.createDataFrame([one(1), one(0)], CHUNKS), 1)
+    assert target.waiting(spark).count() == 0
+    target(spark.createDataFrame([one(3), one(2)], CHUNKS), 2)
+    target(spark.createDataFrame([one(3), one(1)], CHUNKS), 3)
+    assert lines_out(spark, tmp_path) == [f"line {k}" for k in range(4)]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 10])
+def test_shuffled_chunks(spark, tmp_path, batches):
+    import random
+    rows = [tuple(r) for r in chunks_of(spark, 97).collect()]
+    random.Random(batches).shuffle(rows)
+    rows += rows[::7]
+    target = ChunkCompactor(str(tmp_path), window=WINDOW, buckets=3)
+    feed(spark, target, [rows[k::batches] for k in range(batches)])
+    assert as_dict(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/windows")) == expected()
+    assert target.waiting(spark).count() == 0
+
+
+def test_lasting_gap_is_listed_and_a_batch_may_run_again(spark, tmp_path):
+    target = ChunkCompactor(str(tmp_path), window=20, buckets=2)
+    rows = [("r", k, f"line {k}\n".encode(), k == 59) for k in range(60) if k != 41] + [("s", 0, b"x\n", True)]
+    parts = [rows[:20], rows[20:50], rows[50:]]
+    feed(spark, target, parts)
+    target(spark.createDataFrame(parts[2], CHUNKS), 2)  # as after a lost driver
+    assert [tuple(r) for r in target.waiting(spark).collect()] == [("r", 41, 18, 42)]
+    assert lines_out(spark, tmp_path)[:2] == ["line 0", "line 1"] and lines_out(spark, tmp_path, "s") == ["x"]
+    target(spark.createDataFrame([("r", 41, b"line 41\n", False)], CHUNKS), 3)
+    rows = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/windows").filter("run_id = 'r'").orderBy("window_no").collect()
+    assert [(r.window_no, r.n_lines) for r in rows] == [(0, 20), (1, 20), (2, 20)]
+
+
+def test_state_is_written_for_touched_runs_only(spark, tmp_path):
+    import os
+    target = ChunkCompactor(str(tmp_path), window=20, buckets=8)
+    feed(spark, target, [[(f"run{i}", 0, b"a\n", False) for i in range(40)]])
+    before = target.state.versions(spark)
+    assert len(before) > 4
+    target(spark.createDataFrame([("run3", 1, b"b\n", False)], CHUNKS), 1)
+    after = target.state.versions(spark)
+    assert sum(after[b] != before[b] for b in after) == 1
+    slots = [len(os.listdir(f"{tmp_path}/state/runs/{d}")) for d in os.listdir(f"{tmp_path}/state/runs") if d.startswith("bucket")]
+    assert sorted(slots)[-2:] == [1, 2]
+
+
+ESCAPED = [
+    "plain \x1b[1;31mred\x1b[0m end\n", "a\x1b]0;title\x07b\n", "a\x1b]8;;http://x\x1b\\link\n", "a\x1bPq some\ndevice\nstring\x1b\\b\n", "x\x1b(By\x1b=z\n",
+    "\x1b]0;never closed\nand on", "é\x1b[3é8mü\n", "\x1b\x1b[2Kq\x1b", "a\x1b_ap\x18c\x1b^p\x1ad", "\x1b[\x1b]\x1bP\x1b\x1b(\n", "\x1b \x1b F\x1b(0l\r\n", "t\x08\x07\x0b\tu\r\n",
+    "\x1b[38;5;\n12mx", "a\x1b[?25l\x1b[12;4Hb\x1b]2;t\x1b[0mc\n",
+]
+
+
+def test_escapes_cut_at_every_byte(spark):
+    """Whatever the cuts, the lines are those of the text stripped as a whole."""
+    raw = "".join(ESCAPED)
+    texts = [*ESCAPED, raw, raw[::-1]]
+    rows = []
+    for t, text in enumerate(texts):
+        data = text.encode()
+        for size in (1, 2, 3, 5):
+            pieces = [data[i:i + size] for i in range(0, len(data), size)]
+            pieces[1:1] = [b"", b""]
+            rows += [(f"{t}/{size}", k, p) for k, p in enumerate(pieces)]
+        if t < len(ESCAPED):
+            for cut in range(1, len(data)):
+                rows += [(f"{t}/at{cut}", 0, data[:cut]), (f"{t}/at{cut}", 1, data[cut:])]
+    chunks = spark.createDataFrame(rows, "run_id string, chunk_no bigint, data binary")
+    whole = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    # Valid UTF-8 again where a control split a character, as on the way of chunks.
+    want = {r.t: r.lines for r in whole.select("t", split_lines(strip_ansi(F.col("text"))).alias("lines")).collect()}
+    for span in (4096, 4):
+        import brevilog.streaming.chunks as C
+        old, C.CHUNK_SPAN = C.CHUNK_SPAN, span
+        try:
+            got = {}
+            for r in lines_of_chunks(chunks).orderBy("run_id", "line_no").collect():
+                got.setdefault(r.run_id, []).append(r.line)
+        finally:
+            C.CHUNK_SPAN = old
+        for run in {r[0] for r in rows}:
+            assert got.get(run, []) == want[int(run.split("/")[0])], run
+
+
+def test_escape_state_lasts_over_batches(spark, tmp_path):
+    text = "".join(ESCAPED[:5]) * 3
+    data = text.encode()
+    pieces = [data[i:i + 3] for i in range(0, len(data), 3)]
+    rows = [("r", k, p, k == len(pieces) - 1) for k, p in enumerate(pieces)]
+    target = ChunkCompactor(str(tmp_path), window=20)
+    feed(spark, target, [rows[a:a + 9] for a in range(0, len(rows), 9)])
+    want = spark.createDataFrame([(text,)], "t string").select(split_lines(strip_ansi(F.col("t"))).alias("x")).first().x
+    got = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/windows").orderBy("window_no").collect()
+    assert sum(r.n_lines for r in got) == len(want)
+    assert got[0].n_lines < 20 and got[0].compacted.split("\n") == want
+
+
+def test_lock_in_streams(spark, lines, tmp_path):
+    """The first choice of a run holds for its later windows, in whatever order they come."""
+    want = as_dict(lock_archetypes(batch_windows(lines, window=WINDOW)))
+    rows = [tuple(r) for r in lines.collect()]
+    target = WindowCompactor(f"{tmp_path}/lines", window=WINDOW, lock=True)
+    feed(spark, target, [rows[::-1][k::3] for k in range(3)], lines.schema)
+    assert as_dict(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/lines/windows")) == want
+    chunks = [tuple(r) for r in chunks_of(spark, 200).collect()]
+    feed(spark, ChunkCompactor(f"{tmp_path}/chunks", window=WINDOW, lock=True), [chunks[k::4] for k in range(4)])
+    assert as_dict(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/chunks/windows")) == want
+
+
+def test_expired_window_is_not_written_again(spark, tmp_path):
+    schema = "run_id string, line_no bigint, line string, is_last boolean"
+    target = WindowCompactor(str(tmp_path), window=20, expiry_ms=0)
+    row = lambda k: ("r", k, f"line {k}", False)
+    feed(spark, target, [[row(k) for k in range(1, 26) if k != 7]], schema)
+    target(spark.createDataFrame([("other", 1, "x", False)], schema), 1)   # what is held is due by now
+    target(spark.createDataFrame([row(7), row(3), row(22)], schema), 2)    # one too late, two again
+    target(spark.createDataFrame([row(7), row(30)], schema), 3)
+    rows = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/windows").filter("run_id = 'r'").orderBy("window_no").collect()
+    assert [(r.window_no, r.n_lines) for r in rows] == [(0, 19), (1, 5)]
+    assert {r.run_id: r.n_late for r in target.late(spark).collect()} == {"r": 2}
+
+
+def test_window_streams_run_without_python(spark, lines):
+    import inspect
+    import brevilog.streaming.windows as W
+    source = inspect.getsource(W)
+    assert "Pandas" not in source and "udf" not in source.lower()
+
+
+def run_info(spark):
+    rows = [("busy", ["make", "all"], "/w", "2024-01-01 10:00:00", "2024-01-01 10:00:02", 0, "logs/busy.log", "debug:test-failure", False),
+            ("mixed", ["ls"], "/w", "2024-01-01 11:00:00", "2024-01-01 11:00:01", 1, "logs/mixed.log", None, True),
+            ("brief", ["true"], "/w", "2024-01-02 11:00:00", "2024-01-02 11:00:01", 0, "logs/brief.log", None, False),
+            ("silent", ["true"], "/w", "2024-01-02 11:00:00", "2024-01-02 11:00:00", 0, "logs/silent.log", None, False)]
+    return spark.createDataFrame(rows, "id string, argv array<string>, cwd string, s string, f string, exit_code int, log_path string, intent string, is_tty boolean").select(
+        "id", "argv", "cwd", F.col("s").cast("timestamp_ntz").alias("started_at"), F.col("f").cast("timestamp_ntz").alias("finished_at"),
+        "exit_code", "log_path", "intent", "is_tty")
+
+
+def test_finished_runs_reach_the_journal_once(spark, tmp_path):
+    chunks = [tuple(r) for r in chunks_of(spark, 300).collect()] + [("silent", 0, b"", True)]
+    parts = [chunks[k::3] for k in range(3)]
+    path = str(tmp_path / "journal")
+    info = run_info(spark)
+    from brevilog.sources.journal import append_new_runs
+    target = ChunkCompactor(str(tmp_path / "out"), window=WINDOW,
+                            on_finished=lambda _, ended: append_new_runs(live.finished_runs(ended, info), path))
+    feed(spark, target, parts)
+    got = {r.id: r for r in read_journal(spark, path).collect()}
+    assert set(got) == {"busy", "mixed", "brief", "silent"}
+    raw = {run: len(text.replace("INFO", "\x1b[32mINFO\x1b[0m").encode()) for run, text in TEXTS.items()}
+    for run in ("busy", "brief"):
+        kind, text = brute.compact(TEXTS[run], "debug:test-failure" if run == "busy" else None)
+        r = got[run]
+        assert (r.raw_bytes, r.archetype) == (raw[run], kind)
+        assert (r.tokens_in, r.tokens_out) == ((len(TEXTS[run].encode()) + 3) // 4, (len(text.encode()) + 3) // 4)
+    tty = got["mixed"]
+    assert tty.tokens_in == tty.tokens_out == (raw["mixed"] + 3) // 4 and (tty.savings_pct, tty.archetype) == (0.0, "passthrough")
+    assert (got["silent"].raw_bytes, got["silent"].tokens_in, got["busy"].wall_ms) == (0, 0, 2000)
+    target(spark.createDataFrame(parts[2], CHUNKS), 2)  # the same batch again
+    target(spark.createDataFrame(parts[0], CHUNKS), 3)  # the same chunks again
+    assert read_journal(spark, path).count() == 4
