@@ -7,8 +7,8 @@ into windows. No step gathers a run in one task, so one very busy run is process
 
 Chunks may come in any order. Of each run the chunks up to the first gap are processed; those above it wait
 in the state until the gap is filled. What is unfinished at the end of a batch (waiting chunks, the escape
-state, the open line and the lines of the open window of each run) is kept in ``state.BucketedState``. All
-writes replace the folder of their batch, so a batch that is run again changes nothing.
+state, the open line and the lines of the open window of each run) is kept in ``state.BucketedState``; so are
+the tables between the steps of a batch. All writes replace the folder of their batch, so a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
@@ -217,35 +217,34 @@ class ChunkCompactor:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, zero = batch.sparkSession, F.lit(0).cast("bigint")
-        batch = batch.select("run_id", "chunk_no", "data", F.coalesce("is_last", F.lit(False)).alias("is_last")).persist()
+        step = lambda rows, name: self.state.step(rows, name, batch_id)
+        batch = step(batch.select("run_id", "chunk_no", "data", F.coalesce("is_last", F.lit(False)).alias("is_last")), "batch")
         versions, touched = self.state.versions(spark, batch_id), self.state.touched(batch)
         runs_before = self.state.read(spark, "runs", versions, touched)
         known = runs_before.select("run_id", "next_chunk", "n_done", "escape", "raw_bytes", "ended", "locked")
 
-        placed = self._ready(batch, self.state.read(spark, "waiting", versions, touched), known.select(
-            "run_id", "next_chunk", "ended", "escape")).persist()
+        placed = step(self._ready(batch, self.state.read(spark, "waiting", versions, touched), known.select(
+            "run_id", "next_chunk", "ended", "escape")), "placed")
         ready = placed.filter("ready")
-        clean = clean_chunks(ready, F.col("escape")).persist()
+        clean = step(clean_chunks(ready, F.col("escape")), "clean")
         # The open line of the last batch goes in front, as if it were a chunk.
         tails = runs_before.filter(~F.col("ended")).select(
             "run_id", (F.col("next_chunk") - 1).alias("chunk_no"), F.col("tail").alias("data"))
-        lines = assemble_lines(clean.select("run_id", "chunk_no", "data").unionByName(tails), known).persist()
+        lines = step(assemble_lines(clean.select("run_id", "chunk_no", "data").unionByName(tails), known), "lines")
 
         arrived = ready.groupBy("run_id").agg(
             F.max("is_last").alias("now_ended"), (F.max("chunk_no") + 1).alias("after"),
             F.sum(F.octet_length("data").cast("bigint")).alias("more_bytes"))
         left = clean.groupBy("run_id").agg(F.max_by("escape", "chunk_no").alias("now_escape"))
         closed = lines.filter(~F.col("is_open")).groupBy("run_id").agg((F.max("idx") + 1).alias("closed"))
-        runs = (
+        runs = step(
             known.join(arrived, "run_id", "full_outer").join(left, "run_id", "left").join(closed, "run_id", "left")
             .select("run_id", F.coalesce("closed", "n_done", zero).alias("n_done"),
                     F.coalesce("after", "next_chunk", zero).alias("next_chunk"),
                     F.coalesce("now_escape", "escape", F.lit(GROUND)).alias("escape"),
                     (F.coalesce("raw_bytes", zero) + F.coalesce("more_bytes", zero)).alias("raw_bytes"),
                     (F.coalesce("ended", F.lit(False)) | F.coalesce("now_ended", F.lit(False))).alias("ended"),
-                    F.coalesce("now_ended", F.lit(False)).alias("now_ended"), "locked")
-            .persist()
-        )
+                    F.coalesce("now_ended", F.lit(False)).alias("now_ended"), "locked"), "runs")
         # One open line and at most one open window per run: these joins have no skew.
         open_lines = lines.filter("is_open").join(runs, "run_id")
         last_lines = open_lines.filter(F.col("ended") & (F.octet_length("data") > 0))
@@ -255,13 +254,11 @@ class ChunkCompactor:
             lines.filter(~F.col("is_open")).unionByName(last_lines.select(*lines.columns))
             .select("run_id", "idx", line_text(F.col("data")).alias("line")).unionByName(held)
         )
-        windows = (
+        windows = step(
             done_lines.groupBy("run_id", div(F.col("idx"), self.size).alias("window_no"))
             .agg(F.sort_array(F.collect_list(F.struct("idx", "line"))).alias("rows"))
             .select("run_id", "window_no", F.size("rows").alias("n_lines"),
-                    F.transform("rows", lambda r: r["line"]).alias("lines"))
-            .persist()
-        )
+                    F.transform("rows", lambda r: r["line"]).alias("lines")), "windows")
         full = windows.filter(F.col("n_lines") == self.size)
         part = windows.filter(F.col("n_lines") < self.size).join(runs.select("run_id", "ended"), "run_id")
         done = full.unionByName(part.filter("ended").drop("ended"))
@@ -289,5 +286,3 @@ class ChunkCompactor:
                              F.coalesce("tail", F.lit(b"")).alias("tail"))
         rest = placed.filter(~F.col("ready")).select("run_id", "chunk_no", "data", "is_last")
         self.state.write(batch_id, versions, touched, {"runs": after, "waiting": rest})
-        for cached in (batch, placed, clean, lines, runs, windows):
-            cached.unpersist()

@@ -19,6 +19,12 @@ class BucketedState:
         """``tables``: name -> schema, each with a ``run_id``."""
         self.path, self.tables, self.buckets = path, tables, buckets
 
+    def step(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """An intermediate table of a batch, written and read again: later steps start from it, with short plans."""
+        path = f"{self.path}/steps/{name}/slot={batch_id % SLOTS}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def bucket(self, run_id: Column) -> Column:
         return F.pmod(F.xxhash64(run_id), F.lit(self.buckets)).cast("int")
 

@@ -121,11 +121,12 @@ class WindowCompactor:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, int(time.time() * 1000)
-        batch = batch.select("run_id", "line_no", "line", F.coalesce("is_last", F.lit(False)).alias("is_last")).persist()
+        step = lambda rows, name: self.state.step(rows, name, batch_id)
+        batch = step(batch.select("run_id", "line_no", "line", F.coalesce("is_last", F.lit(False)).alias("is_last")), "batch")
         versions = self.state.versions(spark, batch_id)
         # With an expiry every bucket may hold windows that are due.
-        touched = sorted({*self.state.touched(batch), *(versions if self.expiry_ms else ())})
-        finished = self.state.read(spark, "finished", versions, touched).persist()
+        touched = sorted({*self.state.touched(batch), *(versions if self.expiry_ms is not None else ())})
+        finished = self.state.read(spark, "finished", versions, touched)
         held = self.state.read(spark, "held", versions, touched)
         expired = self.state.read(spark, "expired", versions, touched)
 
@@ -135,29 +136,29 @@ class WindowCompactor:
         # Per-run rows are spread over windows before lines meet them.
         keys = fresh.select("run_id", "window_no").distinct().join(upto, "run_id", "left").join(beyond, ["run_id", "window_no"], "left")
         done = F.coalesce("is_done", F.lit(False)) | F.coalesce(F.col("window_no") <= F.col("done_upto"), F.lit(False))
-        fresh = fresh.join(keys.select("run_id", "window_no", done.alias("done")), ["run_id", "window_no"]).persist()
+        fresh = step(fresh.join(keys.select("run_id", "window_no", done.alias("done")), ["run_id", "window_no"]), "fresh")
         # Of lines for finished windows, those that expired windows went without are late.
-        late = fresh.filter("done").select("run_id", "line_no").distinct().join(expired, ["run_id", "line_no"], "left_semi").persist()
+        late = fresh.filter("done").select("run_id", "line_no").distinct().join(expired, ["run_id", "line_no"], "left_semi")
         late.groupBy("run_id").agg(F.count("*").alias("n_late")).write.mode("overwrite").parquet(f"{self.out_dir}/late/batch={batch_id}")
 
         lines = fresh.filter("NOT done").drop("done", "window_no").unionByName(held)
         lines = lines.groupBy("run_id", "line_no").agg(
             F.min("line").alias("line"), F.max("is_last").alias("is_last"), F.max("seen_ms").alias("seen_ms"))
-        lines = window_of(lines, self.size).persist()
+        lines = step(window_of(lines, self.size), "lines")
         windows = lines.groupBy("run_id", "window_no").agg(
             F.count("*").cast("int").alias("n_lines"), F.max("seen_ms").alias("seen_ms"),
             F.max(F.when(F.col("is_last"), F.col("line_no"))).alias("last_no"),
-            F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows")).persist()
+            F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
         expected = F.coalesce(F.col("last_no") - F.col("window_no") * self.size, F.lit(self.size))
         whole = F.col("n_lines") >= expected
-        due = (F.col("seen_ms") < now - self.expiry_ms) if self.expiry_ms else F.lit(False)
+        due = (F.col("seen_ms") < now - self.expiry_ms) if self.expiry_ms is not None else F.lit(False)
         ready = windows.withColumn("whole", whole).filter(whole | due)
         known = self.state.read(spark, "locks", versions, touched)
         if self.lock:
             # Later windows wait for the first one.
             begun = known.select("run_id").unionByName(ready.filter("window_no = 0").select("run_id")).distinct()
             ready = ready.join(begun, "run_id", "left_semi")
-        ready = ready.persist()
+        ready = step(ready, "ready")
         texts = ready.select("run_id", "window_no", "n_lines", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
         out, locks = lock_windows(texts, known, self.p) if self.lock else (compact_windows(texts, self.p), known)
         out.write.mode("overwrite").parquet(f"{self.windows_dir()}/batch={batch_id}")
@@ -172,5 +173,3 @@ class WindowCompactor:
             "finished": self._compacted_finished(finished.unionByName(gone.withColumn("upto", F.lit(False)))),
             "locks": locks,
             "expired": expired.join(late, ["run_id", "line_no"], "left_anti").unionByName(missing)})
-        for cached in (batch, finished, fresh, late, lines, windows, ready):
-            cached.unpersist()

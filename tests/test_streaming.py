@@ -259,7 +259,7 @@ def test_escape_state_lasts_over_batches(spark, tmp_path):
     pieces = [data[i:i + 3] for i in range(0, len(data), 3)]
     rows = [("r", k, p, k == len(pieces) - 1) for k, p in enumerate(pieces)]
     target = ChunkCompactor(str(tmp_path), window=20)
-    feed(spark, target, [rows[a:a + 9] for a in range(0, len(rows), 9)])
+    feed(spark, target, [rows[:7], rows[7:40], rows[40:]])
     want = spark.createDataFrame([(text,)], "t string").select(split_lines(strip_ansi(F.col("t"))).alias("x")).first().x
     got = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/windows").orderBy("window_no").collect()
     assert sum(r.n_lines for r in got) == len(want)
@@ -271,10 +271,10 @@ def test_lock_in_streams(spark, lines, tmp_path):
     want = as_dict(lock_archetypes(batch_windows(lines, window=WINDOW)))
     rows = [tuple(r) for r in lines.collect()]
     target = WindowCompactor(f"{tmp_path}/lines", window=WINDOW, lock=True)
-    feed(spark, target, [rows[::-1][k::3] for k in range(3)], lines.schema)
+    feed(spark, target, [rows[::-1][k::2] for k in range(2)], lines.schema)
     assert as_dict(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/lines/windows")) == want
     chunks = [tuple(r) for r in chunks_of(spark, 200).collect()]
-    feed(spark, ChunkCompactor(f"{tmp_path}/chunks", window=WINDOW, lock=True), [chunks[k::4] for k in range(4)])
+    feed(spark, ChunkCompactor(f"{tmp_path}/chunks", window=WINDOW, lock=True), [chunks[k::2] for k in range(2)])
     assert as_dict(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/chunks/windows")) == want
 
 
