@@ -94,13 +94,21 @@ def frames(content: bytes) -> Iterator[bytes]:
         if len(held) != size:
             raise ValueError("dictionary frame is cut off")
         if len(held) >= 4 and struct.unpack_from("<I", held)[0] == FRAME_MAGIC:
-            held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
+            frame = zstandard.ZstdDecompressor().decompressobj()
+            try:
+                held = frame.decompress(held)
+            except zstandard.ZstdError as why:
+                raise ValueError(f"damaged dictionary frame: {why}") from why
+            if not frame.eof:
+                raise ValueError("dictionary frame is cut off")
         dictionary, at = zstandard.ZstdCompressionDict(held), 8 + size
     unpress = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(view):
         magic = struct.unpack_from("<I", view, at)[0] if at + 8 <= len(view) else 0
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # another skippable frame
             at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if at > len(view):
+                raise ValueError("frame is cut off")
             continue
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")

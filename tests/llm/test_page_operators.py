@@ -126,3 +126,21 @@ def test_no_suffix_is_left_out(spark):
     pages.append((-1, "http://b.t1499/", "", "", ""))
     got = language_id.identify(spark.createDataFrame(pages, SCHEMA), docs).where("page_id = -1").first()
     assert got.lang == "de" and got.text_lang is None
+
+
+def test_damaged_archives_are_value_errors():
+    """A damaged or cut dictionary, and a skippable frame that runs past the end, are errors as damaged frames are."""
+    import struct
+
+    import zstandard
+
+    from brevilog.llm import warc
+    press = zstandard.ZstdCompressor()
+    record, held = press.compress(b"one record"), press.compress(bytes(range(256)) * 40)
+    skip = lambda body, size=None: struct.pack("<II", warc.DICT_MAGIC, len(body) if size is None else size) + body
+    other = struct.pack("<II", 0x184D2A51, 50) + b"too short"
+    broken = held[:12] + bytes([held[12] ^ 0xFF]) + held[13:-3] + b"\0\0\0"
+    for archive in (skip(held[:-5]) + record, skip(broken[:9] + b"\xff" * 20) + record, skip(held, len(held) + 999), record + other):
+        with pytest.raises(ValueError):
+            list(warc.frames(archive))
+    assert list(warc.frames(record + struct.pack("<II", 0x184D2A51, 3) + b"abc" + record)) == [b"one record"] * 2
