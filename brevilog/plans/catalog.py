@@ -200,6 +200,33 @@ def a16(spark, sf):
     return J.accuracy(K.report(done).withColumn("expected", F.lit(C.TABULAR)))
 
 
+# The archetype that each view is made to have.
+KINDS = {"log": C.LINEAR, "table": C.TABULAR, "tree": C.TREE, "doc": C.PASSTHROUGH}
+
+
+def _kinds_sql() -> str:
+    views = {"log": O.LINES_LOG, "table": O.LINES_TABLE, "tree": O.LINES_TREE, "doc": O.LINES_DOC}
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS expected, archetype, n_bytes, out_bytes FROM ({O.report(views[v])})" for v, kind in KINDS.items())
+
+
+@register("a16b_accuracy_of_kinds", f"""SELECT expected, count(*) AS total, count(*) FILTER (archetype = expected) AS correct,
+  CAST(sum(n_bytes) AS BIGINT) AS bytes_in, CAST(sum(out_bytes) AS BIGINT) AS bytes_out,
+  round(CAST(count(*) FILTER (archetype = expected) AS DOUBLE) / count(*) * 100e0, 6) AS accuracy_pct,
+  round(CAST(sum(n_bytes) AS DOUBLE) / sum(out_bytes), 6) AS size_ratio FROM ({_kinds_sql()}) GROUP BY expected""")
+def a16b(spark, sf):
+    """Accuracy over runs of all four kinds, by the kind that is expected."""
+    build = {"log": V.lines_log, "table": V.lines_table, "tree": V.lines_tree, "doc": V.lines_doc}
+    done = [K.report(K.compact_lines(build[v](spark, sf))).select(F.lit(kind).alias("expected"), "archetype", "n_bytes", "out_bytes")
+            for v, kind in KINDS.items()]
+    rows = done[0].unionByName(done[1]).unionByName(done[2]).unionByName(done[3])
+    right = F.count(F.when(F.col("archetype") == F.col("expected"), 1))
+    total = rows.groupBy("expected").agg(
+        F.count("*").alias("total"), right.alias("correct"), F.sum("n_bytes").alias("bytes_in"), F.sum("out_bytes").alias("bytes_out"))
+    return total.withColumns({"accuracy_pct": F.round(F.col("correct") / F.col("total") * 100, 6),
+                              "size_ratio": F.round(F.col("bytes_in").cast("double") / F.col("bytes_out"), 6)})
+
+
 @register("a17_snapshot", f"""WITH {O.RUNS}, {SUMMARY}, {PER_DAY}, {_top_sql('ORDER BY n DESC, argv LIMIT 10')},
   h AS (SELECT id FROM runs ORDER BY started_at DESC, id LIMIT 30)
   SELECT 'summary' AS part, 'total' AS name, total_commands AS runs, {SAVED} AS tokens_saved FROM summary
