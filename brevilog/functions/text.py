@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Java's \s is ASCII-only without (?U). \z, not $: $ also matches before a final CR.
 TRAILING_SPACE = r"(?U)(?<!\s)\s++\z"
+LEADING_SPACE = r"(?U)\A\s++"
 EDGE_SPACE = r"(?U)\A\s++|(?<!\s)\s++\z"
 VISIBLE = r"(?U)\S"
 SPACE = r"(?U)\s"
@@ -32,6 +33,10 @@ def trim_end(line: Column) -> Column:
     return F.when(spaced, F.regexp_replace(line, TRAILING_SPACE, "")).otherwise(line)
 
 
+def trim_start(line: Column) -> Column:
+    return F.regexp_replace(line, LEADING_SPACE, "")
+
+
 def trim_both(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 

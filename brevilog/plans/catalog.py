@@ -14,6 +14,7 @@ from ..operators import compact as K
 from ..operators import intents as I
 from ..operators import lines as N
 from ..operators import mining as M
+from ..operators import sections as D
 from ..operators import texts as W
 from ..session import scratch_path
 from ..sources import logs as log_files
@@ -774,6 +775,54 @@ def k13b(spark, sf):
     return _distill_totals(W.distill(V.documents(spark, sf), "doc_id", window_lines=5))
 
 
+# The lines form of the same: sections found line by line, no text built.
+PARAGRAPH_LINES = f"""{O.lines_of(O.conversation_texts('chr(10) || chr(10)')).replace('lines AS (', 'whole AS (')},
+flagged AS (SELECT *, NOT regexp_matches(line, '\\S') AS blank, lag(NOT regexp_matches(line, '\\S')) OVER (PARTITION BY run_id ORDER BY line_no) AS after
+            FROM whole),
+placed AS (SELECT *, count(*) FILTER (NOT blank AND after AND line_no >= 3) OVER (PARTITION BY run_id ORDER BY line_no) AS sec FROM flagged)"""
+WINDOW_LINES = f"""{O.LINES_DOC.replace('lines AS (', 'whole AS (')},
+placed AS (SELECT *, (line_no - 1) // 5 AS sec, NOT regexp_matches(line, '\\S') AS blank FROM whole)"""
+SECTION_LINES = """spans AS (SELECT run_id, sec, min(line_no) AS a, max(line_no) AS z FROM placed WHERE NOT blank GROUP BY run_id, sec),
+cut AS (SELECT run_id || '/' || sec AS run_id, line_no - a + 1 AS line_no,
+               CASE WHEN line_no = a THEN regexp_replace(line, '^\\s+', '') ELSE line END AS line, line_no = z AS final
+        FROM placed JOIN spans USING (run_id, sec) WHERE line_no BETWEEN a AND z),
+lines AS (SELECT run_id, line_no, CASE WHEN final THEN regexp_replace(line, '\\s+$', '') ELSE line END AS line FROM cut)"""
+SECTION_BYTES = """SELECT run_id, CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS n_bytes, false AS ends_newline FROM lines GROUP BY run_id"""
+
+
+def _section_lines_sql(placed: str) -> str:
+    return f"""WITH {placed}, {SECTION_LINES}, {O.classified(SECTION_BYTES)}, {O.compacted()}, {O.NUMBERED}
+SELECT regexp_extract(run_id, '^[^/]+') AS doc_id, CAST(regexp_extract(run_id, '[^/]+$') AS BIGINT) AS section_no, out_no, line FROM numbered_out"""
+
+
+def _section_lines(done: K.Compacted) -> DataFrame:
+    return K.number_lines(done).select(F.col("run_id.doc").cast("string").alias("doc_id"), F.col("run_id.section_no").alias("section_no"), "out_no", "line")
+
+
+def _line_totals(done: K.Compacted) -> DataFrame:
+    return D.distill_lines_report(done).withColumns({"doc_id": F.col("doc_id").cast("string"), "savings_pct": F.round("savings_pct", 6)})
+
+
+@register("k12c_paragraph_lines", _section_lines_sql(PARAGRAPH_LINES))
+def k12c(spark, sf):
+    return _section_lines(D.distill_lines(V.lines_turns(spark, sf)))
+
+
+@register("k12d_paragraph_line_totals", f"{_section_sql(PARAGRAPHS)} {DISTILL_TOTALS}")
+def k12d(spark, sf):
+    return _line_totals(D.distill_lines(V.lines_turns(spark, sf)))
+
+
+@register("k13c_window_lines", _section_lines_sql(WINDOW_LINES))
+def k13c(spark, sf):
+    return _section_lines(D.distill_lines(V.lines_doc(spark, sf), 5))
+
+
+@register("k13d_window_line_totals", f"{_section_sql(WINDOWS5)} {DISTILL_TOTALS}")
+def k13d(spark, sf):
+    return _line_totals(D.distill_lines(V.lines_doc(spark, sf), 5))
+
+
 @register("k14_replay", f"""WITH raw AS (SELECT CAST(conv_id AS VARCHAR) AS run_id,
     string_agg(chr(27) || '[1m' || role || chr(27) || '[0m ' || text, chr(10) ORDER BY turn) || chr(10) AS raw
     FROM conversations GROUP BY conv_id HAVING starts_with(CAST(conv_id AS VARCHAR), '1')),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import iso_text
+from ..functions.text import drop_cr
 from ..functions.tokens import savings_pct
 from ..operators.blocks import div, number_within
 from ..operators.lines import lines_of_texts
@@ -180,3 +181,11 @@ def conversation_texts(spark: SparkSession, sf_dir: str, gap: str = "\n\n") -> D
 def lines_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with trailing blanks and double empty lines between turns."""
     return lines_of_texts(conversation_texts(spark, sf_dir, " \n\n\n"), "doc_id")
+
+
+def lines_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations, a blank line after each turn; no conversation is joined into one row."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("run_id"), "turn", F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n", -1)).alias("pos", "line"))
+    rows = number_within(turns.withColumn("line", drop_cr(F.col("line"))), ["run_id"], ["turn"], ["pos"], "line_no")
+    return rows.select("run_id", "line_no", "line")
