@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import drop_cr, is_blank, trim_end, trim_start
 from ..functions.tokens import savings_pct, tokens_saved
 from ..params import DEFAULTS, Params
+from ..session import cut_lineage
 from .blocks import block_of_line, div
 from .compact import Compacted, compact_lines, report
 
@@ -64,8 +65,11 @@ def section_lines(lines: DataFrame, window_lines: int = 0, p: Params = DEFAULTS)
 
 
 def distill_lines(lines: DataFrame, window_lines: int = 0, p: Params = DEFAULTS, intent: Column | None = None) -> Compacted:
-    """Each section of a lines table compacted on its own; ``intent`` is the same for all of them."""
-    found = section_lines(lines, window_lines, p)
+    """Each section of a lines table compacted on its own; ``intent`` is the same for all of them.
+
+    Sections are written once, since every branch of the compaction reads them.
+    """
+    found = cut_lineage(section_lines(lines, window_lines, p))
     asked = None if intent is None else found.select("run_id").distinct().withColumn("intent", intent)
     return compact_lines(found, p, intent=asked)
 

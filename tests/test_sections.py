@@ -19,8 +19,8 @@ EDGES = ["", "\n", "\n\n", "a", "\na", "\n\na", "\n \n\ta \n", "a\n\n\n \nb\n",
 def texts(spark):
     r = random.Random(3)
     rows = [(1000 + i, t) for i, t in enumerate(EDGES)]
-    rows += [(i, t) for i, t, _ in corpus.texts(60)]
-    rows += [(2000 + i, "".join(r.choice(["\n", "\n", " ", "word", "ERROR x\n", "a  b  c\n", "\t"]) for _ in range(r.randint(0, 200)))) for i in range(60)]
+    rows += [(i, t) for i, t, _ in corpus.texts(40)]
+    rows += [(2000 + i, "".join(r.choice(["\n", "\n", " ", "word", "ERROR x\n", "a  b  c\n", "\t"]) for _ in range(r.randint(0, 200)))) for i in range(30)]
     return spark.createDataFrame(rows, "doc bigint, text string").repartition(3).cache()
 
 
@@ -32,11 +32,9 @@ def joined(found):
     return {k: "".join(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("window", [0, 3, 12])
-@pytest.mark.parametrize("block", [5, 65_536])
+@pytest.mark.parametrize("window,block", [(0, 5), (0, 65_536), (3, 5), (12, 5)])
 def test_sections_of_lines_and_texts(texts, window, block):
-    lines = lines_of_texts(texts, "doc")
-    found = section_lines(lines, window, Params(block_lines=block))
+    found = section_lines(lines_of_texts(texts, "doc"), window, Params(block_lines=block)).cache()
     want = {(r.doc, r.section_no): r.text for r in sections(texts, "doc", window_lines=window).collect()}
     assert joined(found) == want
     numbers = {}
@@ -45,7 +43,7 @@ def test_sections_of_lines_and_texts(texts, window, block):
     assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
 
 
-@pytest.mark.parametrize("window,intent", [(0, None), (40, "debug:test-failure"), (0, "commit:generate")])
+@pytest.mark.parametrize("window,intent", [(0, None), (40, "debug:test-failure")])
 def test_distill_of_lines_and_texts(texts, window, intent):
     asked = None if intent is None else F.lit(intent)
     done = distill_lines(lines_of_texts(texts, "doc"), window, Params(block_lines=5), asked)
@@ -53,13 +51,14 @@ def test_distill_of_lines_and_texts(texts, window, intent):
     out = {}
     for r in K.number_lines(done).orderBy("run_id", "out_no").collect():
         out.setdefault(r.run_id, []).append(r.line)
-    rows = distill(texts, "doc", window_lines=window, intent=asked).collect()
+    whole = distill(texts, "doc", window_lines=window, intent=asked).cache()
+    rows = whole.collect()
     assert len(rows) == len(out)
     plain = [r for r in rows if "\r" not in r.text]
     assert {(r.doc, r.section_no): r.compacted for r in plain} == {
         (k.doc, k.section_no): "\n".join(v) + "\n" * ends[k] for k, v in out.items() if (k.doc, k.section_no) in {(r.doc, r.section_no) for r in plain}}
     totals = {r.doc_id: r[1:] for r in distill_lines_report(done).collect()}
-    want = {r.doc: r[1:] for r in distill_report(distill(texts, "doc", window_lines=window, intent=asked), "doc").collect()}
+    want = {r.doc: r[1:] for r in distill_report(whole, "doc").collect()}
     with_cr = {r.doc for r in rows if "\r" in r.text}
     assert {k: v for k, v in totals.items() if k not in with_cr} == {k: v for k, v in want.items() if k not in with_cr}
 
