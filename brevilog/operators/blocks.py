@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 COMBINE = {
     "sum": F.sum,
     "max": F.max,
@@ -86,3 +88,15 @@ def number_within(
         .withColumn(name, F.col("_offset") + F.row_number().over(within))
         .drop("_offset")
     )
+
+
+def number_by_range(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """As ``number_within`` where no bucket column bounds the rows: tasks get ranges of rows cut at sampled places.
+
+    No task holds more than its range, whatever part of the table has one key or even one place in the order; equal
+    rows are told apart by where they were read. Ranges are written once, so that sizes and numbers see the same ones.
+    """
+    read = rows.withColumn("_read", F.monotonically_increasing_id())
+    order = [*order, F.col("_read")]
+    cut = cut_lineage(read.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    return number_within(cut, keys, ["_range"], order, name).drop("_range", "_read")

@@ -15,7 +15,7 @@ from ..functions.tokens import savings_pct, tokens_from_bytes, tokens_saved
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
 from . import intents
-from .blocks import block_of_line, block_of_ord, carries, div, number_within, per_block  # noqa: F401
+from .blocks import block_of_line, block_of_ord, carries, div, number_by_range, per_block  # noqa: F401
 from .classify import LINEAR, PASSTHROUGH, TABULAR, TREE, classify_runs
 
 # Marks written into the output.
@@ -263,10 +263,9 @@ def compact_lines(
         F.max("is_long").alias("is_long"), F.sum(n_blocks).alias("blocks"),
         F.min("dense").alias("dense")).collect()
     if not all(r.dense for r in census):
-        counted = number_within(
-            lines.withColumn("_bucket", block_of_line(F.col("line_no"), p.block_lines)),
-            ["run_id"], ["_bucket"], [F.col("line_no"), F.col("line")], "_counted")
         flags = [c for c in ("cr", "lf") if c in lines.columns]
+        # Any number of lines may share a number, so numbers don't bound the rows of a task.
+        counted = number_by_range(lines, ["run_id"], [F.col(c) for c in ("line_no", "line", *flags)], "_counted")
         lines = counted.select("run_id", F.col("_counted").cast("bigint").alias("line_no"), "line", *flags)
         return compact_lines(lines, p, intent=intent, force=force, ends_newline=ends_newline)
     routes = {r.route: any(x.is_long for x in census if x.route == r.route) for r in census}
