@@ -90,6 +90,26 @@ def number_within(
     )
 
 
+# Keys of up to so many rows are numbered by one sort each; no task holds more of one key.
+WHOLE_KEY_ROWS = 262_144
+
+
+def number_by_size(
+    rows: DataFrame, keys: list[str], bucket: list[str], order: list[Column], name: str, most: int = WHOLE_KEY_ROWS
+) -> DataFrame:
+    """As ``number_within``, which costs a join on pieces that may be as many as the rows; only keys of more than ``most``
+    rows are cut into pieces. ``order`` is the whole order, ``bucket`` included. Runs a job that counts the rows of keys."""
+    large = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > most).drop("_size"))
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    number = lambda part: part.withColumn(name, F.row_number().over(whole).cast("bigint"))
+    if large.isEmpty():
+        return number(rows)
+    # At most one row for each ``most`` rows of the table.
+    large = F.broadcast(large)
+    return number(rows.join(large, keys, "left_anti")).unionByName(
+        number_within(rows.join(large, keys, "left_semi"), keys, bucket, order, name))
+
+
 def number_by_range(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """As ``number_within`` where no bucket column bounds the rows: tasks get ranges of rows cut at sampled places.
 

@@ -1,7 +1,8 @@
 """Journal, log and text inputs derived from the given tables.
 
-Every view reads whole tables; line numbers come from ``number_within``, so a user or an
-order that holds a third of the rows is still numbered in many tasks.
+Every view reads whole tables; line numbers come from ``number_by_size``, so a user or an
+order that holds a third of the rows is still numbered in many tasks. Numbered lines are written
+once, since compaction and streams read them several times.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.labels import iso_text
 from ..functions.text import drop_cr
 from ..functions.tokens import savings_pct
-from ..operators.blocks import div, number_within
+from ..operators.blocks import div, number_by_size, number_within
 from ..operators.lines import lines_of_texts
+from ..session import stash
 
 ESC, BEL = "\x1b", "\x07"
 
@@ -61,8 +63,8 @@ def _event_lines(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
         F.col("user_id").alias("run_id"), "ts", "event_id",
         # Hour of the event: rises with the order and splits a busy user.
         F.left(F.col("ts").cast("string"), F.lit(13)).alias("hour"), line.alias("line"))
-    numbered = number_within(e, ["run_id"], ["hour"], ["ts", "event_id"], "line_no")
-    return numbered.select("run_id", "line_no", "line")
+    numbered = number_by_size(e, ["run_id"], ["hour"], ["ts", "event_id"], "line_no")
+    return stash(numbered.select("run_id", "line_no", "line"), "event-lines")
 
 
 def log_line() -> Column:
@@ -100,11 +102,11 @@ def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderkey", div(F.col("o_orderkey"), 100_000).alias("span"),
         F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "),
                  F.rpad("o_orderpriority", 20, " "), F.col("o_orderstatus")).alias("line"))
-    rows = number_within(body, ["run_id"], ["span"], ["o_orderkey"], "nr")
+    rows = number_by_size(body, ["run_id"], ["span"], ["o_orderkey"], "nr")
     header = o.select(F.col("o_custkey").alias("run_id")).distinct().select(
         "run_id", F.lit(1).cast("bigint").alias("line_no"),
         F.lit("ORDER".ljust(12) + "PRIORITY".ljust(20) + "STATUS").alias("line"))
-    return header.unionByName(rows.select("run_id", (F.col("nr") + 1).alias("line_no"), "line"))
+    return stash(header.unionByName(rows.select("run_id", (F.col("nr") + 1).alias("line_no"), "line")), "table-lines")
 
 
 def lines_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +141,7 @@ def lines_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "name", "supp", "k", div(F.col("supp") + 1, 10_000).alias("span"),
         F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("label")).alias("line"))
     numbered = number_within(rows, ["run_id"], ["name", "span"], ["supp", "k"], "line_no")
-    return numbered.select("run_id", "line_no", "line")
+    return stash(numbered.select("run_id", "line_no", "line"), "tree-lines")
 
 
 def lines_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +149,8 @@ def lines_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         div(F.col("l_orderkey"), 50).alias("run_id"), "l_orderkey", "l_linenumber", "l_partkey",
         "l_suppkey", "l_returnflag", "l_linestatus")
-    rows = number_within(
-        li, ["run_id"], ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"], "line_no")
+    rows = number_by_size(
+        li, ["run_id"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "line_no")
     p, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
     kind = (F.col("line_no") - 1) % 8
     line = (
@@ -160,7 +162,7 @@ def lines_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.concat(F.lit("+new "), s))
         .otherwise(F.concat(F.lit("context "), F.col("l_returnflag"), F.col("l_linestatus")))
     )
-    return rows.select("run_id", "line_no", line.alias("line"))
+    return stash(rows.select("run_id", "line_no", line.alias("line")), "diff-lines")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
