@@ -95,19 +95,25 @@ WHOLE_KEY_ROWS = 262_144
 
 
 def number_by_size(
-    rows: DataFrame, keys: list[str], bucket: list[str], order: list[Column], name: str, most: int = WHOLE_KEY_ROWS
+    rows: DataFrame, keys: list[str], bucket: list[str], order: list[Column], name: str, most: int = WHOLE_KEY_ROWS,
+    last: str | None = None,
 ) -> DataFrame:
     """As ``number_within``, which costs a join on pieces that may be as many as the rows; only keys of more than ``most``
-    rows are cut into pieces. ``order`` is the whole order, ``bucket`` included. Runs a job that counts the rows of keys."""
-    large = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > most).drop("_size"))
+    rows are cut into pieces. ``order`` is the whole order, ``bucket`` included. ``last`` names a column that tells the last
+    row of each key. Runs a job that counts the rows of keys."""
+    large = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most))
     whole = Window.partitionBy(*keys).orderBy(*order)
-    number = lambda part: part.withColumn(name, F.row_number().over(whole).cast("bigint"))
+
+    def number(part: DataFrame) -> DataFrame:
+        part = part.withColumn(name, F.row_number().over(whole).cast("bigint"))
+        return part.withColumn(last, F.lead(F.lit(True)).over(whole).isNull()) if last else part
     if large.isEmpty():
         return number(rows)
     # At most one row for each ``most`` rows of the table.
     large = F.broadcast(large)
-    return number(rows.join(large, keys, "left_anti")).unionByName(
-        number_within(rows.join(large, keys, "left_semi"), keys, bucket, order, name))
+    cut = number_within(rows.join(large, keys), keys, bucket, order, name)
+    cut = cut.withColumn(last, F.col(name) == F.col("_rows")) if last else cut
+    return number(rows.join(large, keys, "left_anti")).unionByName(cut.drop("_rows"))
 
 
 def number_by_range(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -67,10 +67,10 @@ def tree_score(sample: Column) -> Column:
         F.size(F.filter(sample, marked)).cast("double") / F.size(sample).cast("double"))
 
 
-def linear_score(sample: Column, p: Params = DEFAULTS) -> Column:
-    """Grows with the share of lines whose fingerprint repeats and with sample size."""
+def linear_score(sample: Column, p: Params = DEFAULTS, prints: Column | None = None) -> Column:
+    """Grows with the share of lines whose fingerprint repeats and with sample size; ``prints``: the fingerprints, if known."""
     n = F.size(sample).cast("double")
-    distinct = F.size(F.array_distinct(F.transform(sample, fingerprint))).cast("double")
+    distinct = F.size(F.array_distinct(F.transform(sample, fingerprint) if prints is None else prints)).cast("double")
     density = F.least(n, F.lit(float(p.sample_lines))) / float(p.sample_lines)
     score = (F.lit(p.linear_base) + F.lit(p.linear_dup_weight) * (F.lit(1.0) - distinct / n)) * density
     return F.when(F.size(sample) < p.linear_min_lines, F.lit(0.0)).otherwise(score)
@@ -85,13 +85,13 @@ def pick(tabular: Column, tree: Column, linear: Column, p: Params = DEFAULTS) ->
     )
 
 
-def with_scores(df: DataFrame, sample: str = "sample", p: Params = DEFAULTS) -> DataFrame:
-    """Add the three scores of the sampled lines."""
+def with_scores(df: DataFrame, sample: str = "sample", p: Params = DEFAULTS, prints: Column | None = None) -> DataFrame:
+    """Add the three scores of the sampled lines; ``prints``: their fingerprints, if known."""
     s = F.col(sample)
     return (
         df.withColumn("tabular_score", tabular_score(s, p))
         .withColumn("tree_score", tree_score(s))
-        .withColumn("linear_score", linear_score(s, p))
+        .withColumn("linear_score", linear_score(s, p, prints))
     )
 
 

@@ -46,7 +46,8 @@ def _on(route: str, value: Column) -> Column:
 def _log_lines(df: DataFrame, p: Params) -> DataFrame:
     lines, n = F.col("_lines"), F.size("_lines")
     head = F.slice(lines, F.lit(1), n - p.log_tail)
-    keyed = F.transform(head, lambda l, i: F.struct(fingerprint(l).alias("fp"), i.alias("i")))
+    # The classifier has made the first ones.
+    keyed = F.transform(head, lambda l, i: F.struct(F.coalesce(F.get("_prints", i), fingerprint(l)).alias("fp"), i.alias("i")))
     df = df.withColumn("_fp", _on(LINEAR, F.sort_array(keyed)))
     df = df.withColumn("_fp_at", _group_starts("_fp", lambda x: x["fp"]))
     templates = F.sort_array(F.transform(
@@ -174,8 +175,11 @@ def compact_texts(
     given = df.columns
     short = octets(F.col(text)) < p.short_bytes
     df = df.withColumn("_lines", F.when(~short, split_lines(F.col(text))))
-    df = df.withColumn("_sample", F.slice("_lines", 1, p.sample_lines))
-    df = with_scores(df, "_sample", p)
+    # Lines are scored only where the scores decide.
+    scored = F.col("_lines") if archetype is None else F.when(archetype.isNull(), F.col("_lines"))
+    df = df.withColumn("_sample", F.slice(scored, 1, p.sample_lines))
+    df = df.withColumn("_prints", F.transform("_sample", fingerprint))
+    df = with_scores(df, "_sample", p, F.col("_prints"))
     chosen = archetype_of(p) if archetype is None else F.coalesce(archetype, archetype_of(p))
     df = df.withColumn("_archetype", F.when(short, PASSTHROUGH).otherwise(chosen))
     kind, n = F.col("_archetype"), F.size("_lines")

@@ -63,8 +63,8 @@ def _event_lines(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
         F.col("user_id").alias("run_id"), "ts", "event_id",
         # Hour of the event: rises with the order and splits a busy user.
         F.left(F.col("ts").cast("string"), F.lit(13)).alias("hour"), line.alias("line"))
-    numbered = number_by_size(e, ["run_id"], ["hour"], ["ts", "event_id"], "line_no")
-    return stash(numbered.select("run_id", "line_no", "line"), "event-lines")
+    numbered = number_by_size(e, ["run_id"], ["hour"], ["ts", "event_id"], "line_no", last="is_last")
+    return stash(numbered.select("run_id", "line_no", "line", "is_last"), "event-lines")
 
 
 def log_line() -> Column:
@@ -82,6 +82,11 @@ def log_line() -> Column:
 
 
 def lines_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_log_ends(spark, sf_dir).drop("is_last")
+
+
+def lines_log_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines with the last line of each run marked."""
     return _event_lines(spark, sf_dir, log_line())
 
 
@@ -92,7 +97,7 @@ def lines_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(ESC + "[0m user "), F.col("user_id").cast("string"),
         F.when(eid % 50 == 0, ESC + "[2K").otherwise(""),
         F.when(eid % 97 == 0, F.concat(F.lit(ESC + "]0;t"), eid.cast("string"), F.lit(BEL))).otherwise(""))
-    return _event_lines(spark, sf_dir, line)
+    return _event_lines(spark, sf_dir, line).drop("is_last")
 
 
 def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,9 @@ class BucketedState:
     def read(self, spark: SparkSession, table: str, versions: dict[int, int], touched: list[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/{table}/bucket={b}/slot={v % SLOTS}" for b, v in versions.items() if touched is None or b in touched]
         if not paths:
-            return spark.createDataFrame([], self.tables[table])
+            # Known to be empty while a plan is made, so that joins with it are left out.
+            row = F.from_json(F.lit(None).cast("string"), self.tables[table])
+            return spark.range(1).limit(0).select(row.alias("r")).select("r.*")
         return spark.read.schema(self.tables[table]).parquet(*paths).filter("run_id IS NOT NULL")
 
     def write(self, batch_id: int, versions: dict[int, int], touched: list[int], tables: dict[str, DataFrame]) -> None:
@@ -62,10 +64,13 @@ class BucketedState:
         slot_of = F.element_at(F.create_map(*[F.lit(x) for b, v in after.items() for x in (b, int(v % SLOTS))]), F.col("bucket"))
         for name, rows in tables.items():
             # A row without a run in each bucket, so that an empty state also replaces what its folder held.
-            marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+            marks = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in touched])).alias("bucket"))
             rows = rows.withColumn("bucket", self.bucket(F.col("run_id"))).unionByName(marks, allowMissingColumns=True)
-            (rows.withColumn("slot", slot_of).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            # Few tasks write to one bucket, as many as its size asks for: otherwise each task has a file in every bucket.
+            (rows.hint("rebalance", "bucket").withColumn("slot", slot_of).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("bucket", "slot").parquet(f"{self.path}/{name}"))
         versions = {**versions, **after}
-        spark.createDataFrame([(batch_id, b, v) for b, v in versions.items()], _VERSIONS).coalesce(1).write.mode(
+        rows = [F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.lit(b).cast("int").alias("bucket"), F.lit(v).cast("bigint").alias("version"))
+                for b, v in versions.items()]
+        spark.range(1).select(F.inline(F.array(*rows))).coalesce(1).write.mode(
             "overwrite").parquet(f"{self.path}/versions/slot={batch_id % SLOTS}")

@@ -8,6 +8,7 @@ row form, so it adds nothing to the state.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +44,17 @@ def compact_windows(windows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def lock_windows(windows: DataFrame, known: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def lock_windows(
+    windows: DataFrame, known: DataFrame, p: Params = DEFAULTS, step: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> tuple[DataFrame, DataFrame]:
     """Windows compacted with the archetype of their run's first window, and the choice of each run.
 
     ``known(run_id, locked)`` holds what was chosen before; a run whose first window is among ``windows`` gets its choice from
-    it. A run without a choice (its first window was too short) is passed on unchanged.
+    it. A run without a choice (its first window was too short) is passed on unchanged. ``step`` may write the choices, which
+    both results start from.
     """
     first = compact_windows(windows.filter(F.col("window_no") == 0), p).select("run_id", F.col("archetype").alias("chosen"))
-    choices = known.join(first, "run_id", "full_outer").select("run_id", F.coalesce("locked", "chosen").alias("locked"))
+    choices = step(known.join(first, "run_id", "full_outer").select("run_id", F.coalesce("locked", "chosen").alias("locked")))
     joined = windows.join(choices, "run_id", "left")
     done = compact_texts(joined, "text", p=p, archetype=F.col("locked"))
     out = done.select(
@@ -160,7 +164,7 @@ class WindowCompactor:
             ready = ready.join(begun, "run_id", "left_semi")
         ready = step(ready, "ready")
         texts = ready.select("run_id", "window_no", "n_lines", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
-        out, locks = lock_windows(texts, known, self.p) if self.lock else (compact_windows(texts, self.p), known)
+        out, locks = lock_windows(texts, known, self.p, lambda rows: step(rows, "locks")) if self.lock else (compact_windows(texts, self.p), known)
         out.write.mode("overwrite").parquet(f"{self.windows_dir()}/batch={batch_id}")
 
         # What an expired window went without: its other numbers.
