@@ -16,7 +16,7 @@ from ..operators import lines as N
 from ..operators import mining as M
 from ..operators import sections as D
 from ..operators import texts as W
-from ..session import scratch_path
+from ..session import scratch_path, stash
 from ..sources import logs as log_files
 from ..sources import reports
 from ..sources.journal import append_new_runs, append_runs, new_runs, read_journal
@@ -961,17 +961,14 @@ def s03(spark, sf):
 
 def _numbered_with_end(spark, sf) -> DataFrame:
     """Log lines with run ids as text and the last line of each run marked."""
-    lines = V.lines_log(spark, sf)
-    lasts = lines.groupBy("run_id").agg(F.max("line_no").alias("line_no")).withColumn("is_last", F.lit(True))
-    return lines.join(lasts, ["run_id", "line_no"], "left").select(
-        F.col("run_id").cast("string").alias("run_id"), "line_no", "line",
-        F.coalesce("is_last", F.lit(False)).alias("is_last"))
+    return V.lines_log_ends(spark, sf).select(F.col("run_id").cast("string").alias("run_id"), "line_no", "line", "is_last")
 
 
-def _stored(df: DataFrame, name: str, files: int) -> tuple[str, DataFrame]:
-    path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return path, df.sparkSession.read.parquet(path)
+def _stored(df: DataFrame, name: str, batches: int, *keys: Column | str) -> tuple[str, DataFrame, int]:
+    """Path and rows of a table in files for so many micro-batches, and the files of one; every core writes one of them."""
+    path, files = scratch_path(df.sparkSession, name), max(1, df.sparkSession.sparkContext.defaultParallelism)
+    df.repartition(batches * files, *keys).write.parquet(path)
+    return path, df.sparkSession.read.parquet(path), files
 
 
 def _windows_sql(size: int) -> str:
@@ -1000,9 +997,9 @@ def st01_batch(spark, sf):
 
 @register("st01_stream_windows", _windows_sql(WINDOW))
 def st01_stream(spark, sf):
-    path, stored = _stored(_numbered_with_end(spark, sf), "lines", 3)
+    path, stored, files = _stored(_numbered_with_end(spark, sf), "lines", 3)
     out = scratch_path(spark, "windows")
-    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_window_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
     return _windows_of(spark, out)
 
@@ -1028,9 +1025,9 @@ def _locked_sql(size: int) -> str:
 
 @register("st04_locked_stream", _locked_sql(WINDOW))
 def st04(spark, sf):
-    path, stored = _stored(_numbered_with_end(spark, sf), "lines", 3)
+    path, stored, files = _stored(_numbered_with_end(spark, sf), "lines", 3)
     out = scratch_path(spark, "locked")
-    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_window_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True, lock=True).awaitTermination()
     return _windows_of(spark, out)
 
@@ -1038,14 +1035,14 @@ def st04(spark, sf):
 def _chunks(spark, sf) -> DataFrame:
     """Log text in chunks that begin ten bytes into one line and end ten bytes into the next."""
     lines = _numbered_with_end(spark, sf)
-    head = lines.select("run_id", (F.col("line_no") - 1).alias("chunk_no"), F.lit(1).alias("part"),
-                        F.left("line", F.lit(10)).alias("s"), F.lit(False).alias("is_last"))
-    rest = lines.select("run_id", F.col("line_no").alias("chunk_no"), F.lit(0).alias("part"),
-                        F.concat(F.expr("substring(line, 11)"), F.lit("\n")).alias("s"), "is_last")
-    return head.unionByName(rest).groupBy("run_id", "chunk_no").agg(
-        F.sort_array(F.collect_list(F.struct("part", "s"))).alias("ps"), F.max("is_last").alias("is_last"),
-    ).select("run_id", "chunk_no",
-             F.array_join(F.transform("ps", lambda x: x["s"]), "").cast("binary").alias("data"), "is_last")
+    head = lines.select(F.col("run_id").alias("h_run"), (F.col("line_no") - 1).alias("h_no"), F.left("line", F.lit(10)).alias("head"))
+    rest = lines.select("run_id", F.col("line_no").alias("chunk_no"), F.concat(F.expr("substring(line, 11)"), F.lit("\n")).alias("rest"), "is_last")
+    same = F.col("run_id").eqNullSafe(F.col("h_run")) & (F.col("chunk_no") == F.col("h_no"))
+    nothing = F.lit("")
+    return rest.join(head, same, "full_outer").select(
+        F.coalesce("run_id", "h_run").alias("run_id"), F.coalesce("chunk_no", "h_no").alias("chunk_no"),
+        F.concat(F.coalesce("rest", nothing), F.coalesce("head", nothing)).cast("binary").alias("data"),
+        F.coalesce("is_last", F.lit(False)).alias("is_last"))
 
 
 @register("st08_chunk_lines", f"WITH {O.LINES_LOG} SELECT CAST(run_id AS VARCHAR) AS run_id, line_no, line FROM lines")
@@ -1055,16 +1052,15 @@ def st08_lines(spark, sf):
 
 @register("st08b_chunk_stream", _windows_sql(WINDOW))
 def st08_stream(spark, sf):
-    path = scratch_path(spark, "chunks")
-    # Three files in chunk order, as a live source would deliver them.
+    path, files = scratch_path(spark, "chunks"), max(1, spark.sparkContext.defaultParallelism)
+    # Three parts in chunk order, as a live source would deliver them, each written by all cores.
     bounds = F.when(F.col("chunk_no") < 11, 0).when(F.col("chunk_no") < 47, 1).otherwise(2)
-    source = _chunks(spark, sf).withColumn("part", bounds).persist()
+    source = stash(_chunks(spark, sf), "chunk-source").withColumn("part", bounds)
     for part in range(3):
-        source.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
-    source.unpersist()
+        source.filter(F.col("part") == part).drop("part").repartition(files).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     out = scratch_path(spark, "chunk-windows")
-    stream = live.read_stream(spark, path, schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, schema, files_per_batch=files)
     live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
     return _window_columns(spark.read.schema(
         "run_id string, window_no bigint, n_lines int, archetype string, compacted string").parquet(f"{out}/windows"))
@@ -1073,10 +1069,9 @@ def st08_stream(spark, sf):
 @register("st08c_shuffled_stream", _windows_sql(WINDOW))
 def st08_shuffled(spark, sf):
     """Chunks dealt over three micro-batches by a hash, in any order."""
-    path = scratch_path(spark, "chunks")
-    _chunks(spark, sf).repartition(3, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    path, stored, files = _stored(_chunks(spark, sf), "chunks", 3, F.xxhash64("run_id", "chunk_no"))
     out = scratch_path(spark, "chunk-windows")
-    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
     return _windows_of(spark, out)
 
@@ -1085,10 +1080,9 @@ def st08_shuffled(spark, sf):
   SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(7 AS BIGINT) AS next_chunk, n - 7 AS n_waiting, CAST(8 AS BIGINT) AS first_waiting FROM n WHERE n >= 8""")
 def st08_waiting(spark, sf):
     """A run of n lines has chunks 0 to n here; without chunk 7, those from 8 on wait."""
-    path = scratch_path(spark, "chunks")
-    _chunks(spark, sf).filter("chunk_no <> 7").repartition(2, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    path, stored, files = _stored(_chunks(spark, sf).filter("chunk_no <> 7"), "chunks", 2, F.xxhash64("run_id", "chunk_no"))
     out = scratch_path(spark, "chunk-windows")
-    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True).awaitTermination()
     return live_chunks.ChunkCompactor(out, window=WINDOW).waiting(spark)
 
@@ -1102,9 +1096,9 @@ TTY_RUN = "CAST(run_id AS BIGINT) % 10 = 0"
     {TTY_RUN} AS is_tty, CAST(60000 AS BIGINT) AS wall_ms FROM r""")
 def st06_journal(spark, sf):
     """Runs that end in a stream of chunks become journal rows, once each, though their chunks come twice."""
-    path, journal, out = (scratch_path(spark, n) for n in ("chunks", "journal", "recorded"))
-    chunks = _chunks(spark, sf)
-    chunks.repartition(2, F.xxhash64("run_id", "chunk_no")).write.parquet(path)
+    journal, out = (scratch_path(spark, n) for n in ("journal", "recorded"))
+    chunks = stash(_chunks(spark, sf), "chunk-source")
+    path, stored, _ = _stored(chunks, "chunks", 2, F.xxhash64("run_id", "chunk_no"))
     chunks.filter("chunk_no % 3 = 0").write.mode("append").parquet(path)
     ids = V.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct()
     begun = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -1112,16 +1106,16 @@ def st06_journal(spark, sf):
         F.col("u").cast("string").alias("id"), F.array(F.lit("job"), F.col("u").cast("string")).alias("argv"), F.lit("/srv").alias("cwd"),
         begun.alias("started_at"), (begun + F.make_dt_interval(mins=F.lit(1))).alias("finished_at"), F.lit(0).alias("exit_code"),
         F.lit("logs/x.log").alias("log_path"), F.lit(None).cast("string").alias("intent"), (F.col("u") % 10 == 0).alias("is_tty"))
-    stream = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=8)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=8)
     live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True, runs=runs, journal=journal).awaitTermination()
     return read_journal(spark, journal).select("id", "raw_bytes", "tokens_in", "tokens_out", _r6("savings_pct"), "archetype", "is_tty", "wall_ms")
 
 
 @register("st06_raw_totals", f"WITH {O.LINES_LOG} SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(sum(strlen(line)) + count(*) AS BIGINT) AS raw_bytes FROM lines GROUP BY run_id")
 def st06(spark, sf):
-    path, stored = _stored(_chunks(spark, sf), "raw-chunks", 2)
+    path, stored, files = _stored(_chunks(spark, sf), "raw-chunks", 2)
     out = scratch_path(spark, "raw")
-    stream = live.read_stream(spark, path, stored.schema, files_per_batch=1)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_raw_sink(stream, out, f"{out}-checkpoint", once=True).awaitTermination()
     return live.raw_totals(spark.read.schema(stored.schema).parquet(out)).select("run_id", "raw_bytes")
 

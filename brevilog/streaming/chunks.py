@@ -200,16 +200,17 @@ class ChunkCompactor:
         return held.join(known, "run_id", "left").select(
             "run_id", F.coalesce("next_chunk", F.lit(0).cast("bigint")).alias("next_chunk"), "n_waiting", "first_waiting")
 
-    def _ready(self, batch: DataFrame, waiting: DataFrame, known: DataFrame) -> DataFrame:
+    def _ready(self, batch: DataFrame, waiting: DataFrame, known: DataFrame, step: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
         """Chunks that have not been processed, each once, with ``ready`` for those before the first gap of their run.
 
         The per-run row is spread over the spans of the run, so a busy run does not end up in one join task.
         """
         zero = F.lit(0).cast("bigint")
-        chunks = batch.unionByName(waiting).dropDuplicates(["run_id", "chunk_no"]).withColumn("span", _span(F.col("chunk_no")))
-        seen = chunks.select("run_id", "span").distinct().join(known, "run_id", "left")
-        fresh = chunks.join(seen, ["run_id", "span"]).filter(
-            (F.col("chunk_no") >= F.coalesce("next_chunk", zero)) & ~F.coalesce("ended", F.lit(False)))
+        both = batch.unionByName(waiting).withColumn("span", _span(F.col("chunk_no")))
+        seen = both.select("run_id", "span").distinct().join(known, "run_id", "left")
+        chunks = both.dropDuplicates(["run_id", "chunk_no"])
+        fresh = step(chunks.join(seen, ["run_id", "span"]).filter(
+            (F.col("chunk_no") >= F.coalesce("next_chunk", zero)) & ~F.coalesce("ended", F.lit(False))), "fresh")
         ranked = number_within(fresh, ["run_id"], ["span"], [F.col("chunk_no")], "rank")
         # Numbers are distinct, so from the first gap on each is above its rank.
         ready = F.col("chunk_no") == F.coalesce("next_chunk", zero) + F.col("rank") - 1
@@ -224,7 +225,7 @@ class ChunkCompactor:
         known = runs_before.select("run_id", "next_chunk", "n_done", "escape", "raw_bytes", "ended", "locked")
 
         placed = step(self._ready(batch, self.state.read(spark, "waiting", versions, touched), known.select(
-            "run_id", "next_chunk", "ended", "escape")), "placed")
+            "run_id", "next_chunk", "ended", "escape"), step), "placed")
         ready = placed.filter("ready")
         clean = step(clean_chunks(ready, F.col("escape")), "clean")
         # The open line of the last batch goes in front, as if it were a chunk.
@@ -263,7 +264,7 @@ class ChunkCompactor:
         part = windows.filter(F.col("n_lines") < self.size).join(runs.select("run_id", "ended"), "run_id")
         done = full.unionByName(part.filter("ended").drop("ended"))
         texts = done.withColumn("text", F.array_join("lines", "\n")).drop("lines")
-        out, locks = lock_windows(texts, runs.select("run_id", "locked"), self.p) if self.lock else (compact_windows(texts, self.p), None)
+        out, locks = lock_windows(texts, runs.select("run_id", "locked"), self.p, lambda rows: step(rows, "locks")) if self.lock else (compact_windows(texts, self.p), None)
         out.write.mode("overwrite").parquet(f"{self.windows_dir()}/batch={batch_id}")
 
         if self.on_finished:

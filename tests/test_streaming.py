@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 from brevilog.operators.lines import lines_of_texts
 from brevilog.functions.ansi import strip_ansi
 from brevilog.functions.text import split_lines
+from brevilog.plans import catalog
 from brevilog.sources.journal import read_journal
 from brevilog.streaming import live
 from brevilog.streaming.chunks import ChunkCompactor, lines_of_chunks, newline_windows
+from brevilog.streaming.state import BucketedState
 from brevilog.streaming.windows import WindowCompactor, batch_windows, compact_windows, lock_archetypes
 from . import brute
 
@@ -331,3 +333,21 @@ def test_finished_runs_reach_the_journal_once(spark, tmp_path):
     target(spark.createDataFrame(parts[2], CHUNKS), 2)  # the same batch again
     target(spark.createDataFrame(parts[0], CHUNKS), 3)  # the same chunks again
     assert read_journal(spark, path).count() == 4
+
+
+def test_state_has_few_files(spark, tmp_path):
+    """Tasks don't each write a file to every bucket, and a state not yet written is known to be empty."""
+    state = BucketedState(str(tmp_path), {"t": "run_id string, n bigint"}, buckets=8)
+    assert state.read(spark, "t", {}).columns == ["run_id", "n"]
+    assert "LocalRelation <empty>" in state.read(spark, "t", {})._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(2000).repartition(16).select(F.col("id").cast("string").alias("run_id"), F.col("id").alias("n"))
+    state.write(0, {}, list(range(8)), {"t": rows})
+    assert len(list(tmp_path.glob("t/**/*.parquet"))) <= 16
+    assert state.versions(spark) == {b: 1 for b in range(8)}
+    assert sorted(r.n for r in state.read(spark, "t", state.versions(spark)).collect()) == list(range(2000))
+
+
+def test_chunk_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: str(tmp_path / name))
+    assert catalog.CATALOG["st08b_chunk_stream"][0](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list(tmp_path.glob("chunks/*.parquet"))) > 3
