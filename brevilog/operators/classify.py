@@ -39,10 +39,8 @@ def column_signature(line: Column, p: Params = DEFAULTS) -> Column:
     return F.when(line.contains("  "), F.aggregate(steps, start, step)["sig"]).otherwise("")
 
 
-def tabular_score(sample: Column, p: Params = DEFAULTS) -> Column:
-    """Share of the longer lines that have the most common non-empty signature."""
-    usable = F.filter(sample, lambda l: F.octet_length(l) >= p.table_min_bytes)
-    sigs = F.filter(F.transform(usable, lambda l: column_signature(l, p)), lambda s: s != "")
+def _table_share(sigs: Column, usable: Column, p: Params) -> Column:
+    """Share of the most common of the signatures among the ``usable`` lines."""
     # At most sample_lines signatures, so counting each against all stays tiny.
     counts = F.aggregate(
         sigs, F.create_map().cast("map<string,int>"),
@@ -51,29 +49,43 @@ def tabular_score(sample: Column, p: Params = DEFAULTS) -> Column:
             F.create_map(s, F.coalesce(F.try_element_at(acc, s), F.lit(0)) + 1)),
     )
     top = F.coalesce(F.array_max(F.map_values(counts)), F.lit(0))
-    return F.when(F.size(usable) < p.table_min_rows, F.lit(0.0)).otherwise(
-        top.cast("double") / F.size(usable).cast("double"))
+    return F.when(usable < p.table_min_rows, F.lit(0.0)).otherwise(top.cast("double") / usable.cast("double"))
+
+
+def tabular_score(sample: Column, p: Params = DEFAULTS) -> Column:
+    """Share of the longer lines that have the most common non-empty signature."""
+    usable = F.filter(sample, lambda l: F.octet_length(l) >= p.table_min_bytes)
+    sigs = F.filter(F.transform(usable, lambda l: column_signature(l, p)), lambda s: s != "")
+    return _table_share(sigs, F.size(usable), p)
+
+
+def _tree_marked(line: Column) -> Column:
+    hit = line.startswith(TREE_MARKS[0])
+    for mark in TREE_MARKS[1:]:
+        hit = hit | line.startswith(mark)
+    return hit
+
+
+def _tree_share(marked: Column, n: Column) -> Column:
+    return F.when(n == 0, F.lit(0.0)).otherwise(marked.cast("double") / n.cast("double"))
 
 
 def tree_score(sample: Column) -> Column:
     """Share of lines that begin with an indent or a branch mark."""
-    def marked(line: Column) -> Column:
-        hit = line.startswith(TREE_MARKS[0])
-        for mark in TREE_MARKS[1:]:
-            hit = hit | line.startswith(mark)
-        return hit
+    return _tree_share(F.size(F.filter(sample, _tree_marked)), F.size(sample))
 
-    return F.when(F.size(sample) == 0, F.lit(0.0)).otherwise(
-        F.size(F.filter(sample, marked)).cast("double") / F.size(sample).cast("double"))
+
+def _linear_share(distinct: Column, size: Column, p: Params) -> Column:
+    n = size.cast("double")
+    density = F.least(n, F.lit(float(p.sample_lines))) / float(p.sample_lines)
+    score = (F.lit(p.linear_base) + F.lit(p.linear_dup_weight) * (F.lit(1.0) - distinct.cast("double") / n)) * density
+    return F.when(size < p.linear_min_lines, F.lit(0.0)).otherwise(score)
 
 
 def linear_score(sample: Column, p: Params = DEFAULTS, prints: Column | None = None) -> Column:
     """Grows with the share of lines whose fingerprint repeats and with sample size; ``prints``: the fingerprints, if known."""
-    n = F.size(sample).cast("double")
-    distinct = F.size(F.array_distinct(F.transform(sample, fingerprint) if prints is None else prints)).cast("double")
-    density = F.least(n, F.lit(float(p.sample_lines))) / float(p.sample_lines)
-    score = (F.lit(p.linear_base) + F.lit(p.linear_dup_weight) * (F.lit(1.0) - distinct / n)) * density
-    return F.when(F.size(sample) < p.linear_min_lines, F.lit(0.0)).otherwise(score)
+    distinct = F.size(F.array_distinct(F.transform(sample, fingerprint) if prints is None else prints))
+    return _linear_share(distinct, F.size(sample), p)
 
 
 def pick(tabular: Column, tree: Column, linear: Column, p: Params = DEFAULTS) -> Column:
@@ -142,16 +154,36 @@ def run_samples(lines: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return grouped.select("run_id", F.transform("_rows", lambda r: r["line"]).alias("sample"))
 
 
+def sample_facts(lines: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """What the scores need of the first lines of each run; the lines themselves are not moved.
+
+    ``_n`` lines, of which ``_usable`` may be table rows and ``_marked`` begin like a tree; the signatures, and the
+    distinct fingerprints by 128 bits of two hashes.
+    """
+    first = lines.filter(F.col("line_no") <= p.sample_lines)
+    line, usable = F.col("line"), F.octet_length("line") >= p.table_min_bytes
+    facts = first.select(
+        "run_id", usable.alias("usable"), _tree_marked(line).alias("marked"), F.when(usable, column_signature(line, p)).alias("sig"),
+        fingerprint(line).alias("print"))
+    return facts.groupBy("run_id").agg(
+        F.count("*").alias("_n"), F.count_if("usable").alias("_usable"), F.count_if("marked").alias("_marked"),
+        F.collect_list(F.when(F.col("sig") != "", F.col("sig"))).alias("_sigs"),
+        F.collect_set(F.struct(F.xxhash64("print").alias("a"), F.xxhash64(F.lit(1), "print").alias("b"))).alias("_prints"))
+
+
 def classify_runs(lines: DataFrame, p: Params = DEFAULTS, ends_newline: bool = True) -> DataFrame:
     """Size, scores and archetype of each run; scores of short runs are still reported.
 
-    The classifier only ever sees ``sample_lines`` rows per run; totals use partial
+    The classifier only ever sees facts of ``sample_lines`` rows per run; totals use partial
     aggregation. Both end up partitioned by ``run_id``, so their join adds no shuffle.
     """
-    runs = run_totals(lines, ends_newline).join(run_samples(lines, p), "run_id", "left")
-    runs = runs.withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
-    scored = with_scores(runs, "sample", p).withColumn("scored_archetype", archetype_of(p))
+    runs = run_totals(lines, ends_newline).join(sample_facts(lines, p), "run_id", "left")
+    n, marked, usable = (F.coalesce(c, F.lit(0)) for c in ("_n", "_marked", "_usable"))
+    sigs, prints = F.coalesce("_sigs", F.array().cast("array<string>")), F.coalesce(F.size("_prints"), F.lit(0))
+    scored = runs.withColumns({
+        "tabular_score": _table_share(sigs, usable, p), "tree_score": _tree_share(marked, n), "linear_score": _linear_share(prints, n, p),
+    }).withColumn("scored_archetype", archetype_of(p))
     return scored.withColumn(
         "archetype",
         F.when(F.col("n_bytes") < p.short_bytes, PASSTHROUGH).otherwise(F.col("scored_archetype")),
-    ).drop("sample")
+    ).drop("_n", "_usable", "_marked", "_sigs", "_prints")

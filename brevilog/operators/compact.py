@@ -88,15 +88,21 @@ def _row(line_no: Column, line: Column) -> list[Column]:
     return ["run_id", "block", (line_no * 2).alias("ord"), line.alias("line"), *CARRIED]
 
 
-def _keep_whole(rows: DataFrame) -> DataFrame:
-    return rows.select(*_row(F.col("line_no"), F.col("line")))
+def keep_lines(rows: DataFrame, p: Params) -> DataFrame:
+    """What is decided by a line and its place alone: all lines of untouched runs, first and last rows of tables, last lines
+    of logs, lines of prose that aren't blank. One pass over runs of all these kinds."""
+    n, at, route, line = F.col("n_lines"), F.col("line_no"), F.col("route"), F.col("line")
+    text = F.when(route == PASSTHROUGH, trim_end(line)).otherwise(line)
+    rows = rows.filter(
+        F.when(route == TABULAR, (at <= 1 + p.table_head) | (at > n - p.table_tail))
+        .when(route == LINEAR, at > n - p.log_tail).otherwise(route.isin(RAW, PASSTHROUGH)))
+    return rows.withColumn("line", text).filter((route != PASSTHROUGH) | (line != "")).select(*_row(at, line))
 
 
 def fold_tables(rows: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
-    """Header, first and last rows, and one line for the rest of each table."""
+    """One line for the rows between the first and last ones of each table."""
     head, tail = 1 + p.table_head, p.table_tail
     n, at = F.col("n_lines"), F.col("line_no")
-    kept = rows.filter((at <= head) | (at > n - tail))
     token = F.regexp_extract("line", LAST_TOKEN, 0)
     counts = (
         rows.filter((at > head) & (at <= n - tail))
@@ -114,18 +120,17 @@ def fold_tables(rows: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
         .select("run_id", F.array_join(F.transform(
             "top", lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["token"])), ", ").alias("note"))
     )
-    folds = (
+    return (
         runs.filter(F.col("route") == TABULAR).join(few, "run_id", "left")
         .select(
             "run_id", F.lit(2 * head // (2 * p.block_lines)).cast("bigint").alias("block"),
             F.lit(2 * head + 1).cast("bigint").alias("ord"),
             fold_note(n - head - tail, F.col("note")).alias("line"), *CARRIED)
     )
-    return kept.select(*_row(at, F.col("line"))).unionByName(folds)
 
 
 def dedupe_logs(rows: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
-    """First line of each template with its count, a separator, and the last lines."""
+    """First line of each template with its count, and a separator; the last lines are left out."""
     n, at = F.col("n_lines"), F.col("line_no")
     cut = n - p.log_tail
     templates = (
@@ -140,8 +145,7 @@ def dedupe_logs(rows: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
     marks = runs.filter(F.col("route") == LINEAR).select(
         "run_id", block_of_ord(mark, p.block_lines).alias("block"), mark.alias("ord"),
         F.lit(separator(p)).alias("line"), *CARRIED)
-    tails = rows.filter(at > cut).select(*_row(at, F.col("line")))
-    return templates.unionByName(marks).unionByName(tails)
+    return templates.unionByName(marks)
 
 
 def prune_trees(rows: DataFrame, p: Params, any_long: bool) -> DataFrame:
@@ -208,25 +212,25 @@ def prune_trees(rows: DataFrame, p: Params, any_long: bool) -> DataFrame:
     return kept.unionByName(finals)
 
 
-def clean_prose(rows: DataFrame, p: Params, any_long: bool) -> DataFrame:
-    """Right-trimmed lines; of consecutive blank lines only the first stays."""
-    key = ["run_id", "block"]
+def blank_lines(rows: DataFrame, p: Params, any_long: bool) -> DataFrame:
+    """Of consecutive blank lines of prose the first. Numbers are dense, so blank lines tell by their numbers alone
+    which of them follow another; no other line is moved."""
+    key, at = ["run_id", "block"], F.col("line_no")
     order = Window.partitionBy(*key).orderBy("line_no")
-    rows = rows.select(*key, "line_no", trim_end(F.col("line")).alias("line"), *CARRIED)
-    blank = F.col("line") == ""
-    after_blank = F.lag(blank).over(order)
+    rows = rows.select(*key, "line_no", trim_end(F.col("line")).alias("line"), *CARRIED).filter(F.col("line") == "")
+    after_blank = F.lag(at).over(order) == at - 1
     if any_long:
         # Blank state across a block edge: the last line of the block before.
         edges = (
             rows.filter(F.col("is_long") & (F.pmod("line_no", F.lit(p.block_lines)) == 0))
-            .select("run_id", (F.col("block") + 1).alias("block"), blank.alias("edge"))
+            .select("run_id", (F.col("block") + 1).alias("block"), (at + 1).alias("edge"))
         )
         rows = rows.join(edges, key, "left")
-        after_blank = F.coalesce(after_blank, F.col("edge"))
+        after_blank = F.coalesce(after_blank, F.col("edge") == at)
     return (
         rows.withColumn("after_blank", F.coalesce(after_blank, F.lit(False)))
-        .filter(~(blank & F.col("after_blank")))
-        .select(*_row(F.col("line_no"), F.col("line")))
+        .filter(~F.col("after_blank"))
+        .select(*_row(at, F.col("line")))
     )
 
 
@@ -273,23 +277,26 @@ def compact_lines(
 
     facts = per_block(
         runs.select("run_id", "n_lines", "route", *CARRIED), "n_lines", p.block_lines)
-    # The exact number of fact rows is known by now; beyond the limit the join is a
-    # shuffle on (run_id, block), whose keys hold at most one block of lines each.
-    if sum(r.blocks for r in census) <= p.broadcast_rows:
-        facts = F.broadcast(facts)
     keyed = lines.select(
         "run_id", block_of_line(F.col("line_no"), p.block_lines).alias("block"), "line_no", "line")
-    rows = keyed.join(facts, ["run_id", "block"])
+
+    def rows(*names: str) -> DataFrame:
+        """Lines of the runs of these routes."""
+        part = facts.filter(F.col("route").isin(*names))
+        # The exact number of fact rows is known by now; beyond the limit the join is a
+        # shuffle on (run_id, block), whose keys hold at most one block of lines each.
+        few = sum(r.blocks for r in census if r.route in names) <= p.broadcast_rows
+        return keyed.join(F.broadcast(part) if few else part, ["run_id", "block"])
     branch = {
-        RAW: lambda rows: _keep_whole(rows),
-        TABULAR: lambda rows: fold_tables(rows, runs, p),
-        LINEAR: lambda rows: dedupe_logs(rows, runs, p),
-        TREE: lambda rows: prune_trees(rows, p, routes[TREE]),
-        PASSTHROUGH: lambda rows: clean_prose(rows, p, routes[PASSTHROUGH]),
+        TABULAR: lambda: fold_tables(rows(TABULAR), runs, p),
+        LINEAR: lambda: dedupe_logs(rows(LINEAR), runs, p),
+        TREE: lambda: prune_trees(rows(TREE), p, routes[TREE]),
+        PASSTHROUGH: lambda: blank_lines(rows(PASSTHROUGH), p, routes[PASSTHROUGH]),
     }
-    # A run takes exactly one branch. Without any run the plan of RAW gives the schema.
+    # A run takes exactly one route. Without any run the plan of RAW gives the schema.
+    by_line = sorted(set(routes) - {TREE}) or ([] if routes else [RAW])
     out = reduce(DataFrame.unionByName, [
-        branch[name](rows.filter(F.col("route") == name)) for name in sorted(routes) or [RAW]])
+        *([keep_lines(rows(*by_line), p)] if by_line else []), *(branch[name]() for name in sorted(routes) if name in branch)])
     if {r.kind for r in census} & {"failure", "diff"}:
         runs, out = _bias(runs, out, p, any_long)
     return Compacted(runs, out, any_long)

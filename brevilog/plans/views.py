@@ -59,12 +59,14 @@ def log_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_lines(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """Lines of events by user; ``line`` is built from the numbered events, so that no sort carries it."""
     e = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), "ts", "event_id",
+        F.col("user_id").alias("run_id"), "ts", "event_id", "event_type",
         # Hour of the event: rises with the order and splits a busy user.
-        F.left(F.col("ts").cast("string"), F.lit(13)).alias("hour"), line.alias("line"))
+        F.left(F.col("ts").cast("string"), F.lit(13)).alias("hour"))
     numbered = number_by_size(e, ["run_id"], ["hour"], ["ts", "event_id"], "line_no", last="is_last")
-    return stash(numbered.select("run_id", "line_no", "line", "is_last"), "event-lines")
+    lines = numbered.withColumn("user_id", F.col("run_id")).select("run_id", "line_no", line.alias("line"), "is_last")
+    return stash(lines, "event-lines")
 
 
 def log_line() -> Column:
@@ -104,14 +106,15 @@ def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order listing per customer under a header row."""
     o = table(spark, sf_dir, "orders")
     body = o.select(
-        F.col("o_custkey").alias("run_id"), "o_orderkey", div(F.col("o_orderkey"), 100_000).alias("span"),
-        F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "),
-                 F.rpad("o_orderpriority", 20, " "), F.col("o_orderstatus")).alias("line"))
+        F.col("o_custkey").alias("run_id"), "o_orderkey", "o_orderpriority", "o_orderstatus",
+        div(F.col("o_orderkey"), 100_000).alias("span"))
     rows = number_by_size(body, ["run_id"], ["span"], ["o_orderkey"], "nr")
+    line = F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "),
+                    F.rpad("o_orderpriority", 20, " "), F.col("o_orderstatus"))
     header = o.select(F.col("o_custkey").alias("run_id")).distinct().select(
         "run_id", F.lit(1).cast("bigint").alias("line_no"),
         F.lit("ORDER".ljust(12) + "PRIORITY".ljust(20) + "STATUS").alias("line"))
-    return stash(header.unionByName(rows.select("run_id", (F.col("nr") + 1).alias("line_no"), "line")), "table-lines")
+    return stash(header.unionByName(rows.select("run_id", (F.col("nr") + 1).alias("line_no"), line.alias("line"))), "table-lines")
 
 
 def lines_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

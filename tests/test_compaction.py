@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevilog.operators import compact as K
+from brevilog.operators.classify import sample_facts
 from brevilog.operators.intents import focus_failures
 from brevilog.operators.lines import lines_of_texts
 from brevilog.operators.mining import templates
@@ -155,3 +156,21 @@ def test_bytes_are_exact(spark, end, last):
         done = K.report(K.compact_lines(lines_of_texts(frame, "run_id", exact=True), Params(block_lines=block))).collect()
         assert {r.run_id: (r.archetype, r.tokens_in, r.tokens_out) for r in done} == want
         assert {r.run_id: r.n_bytes for r in done} == {i: len(t) for i, t in texts if t}
+
+
+def test_only_blank_lines_of_prose_are_moved(spark):
+    """Blank lines tell by their numbers which of them follow another, across block edges too; other lines meet no window."""
+    p = Params(block_lines=4)
+    texts = {1: ["one word " * 40, "", " ", "", "", "\t", "two", "", "", "three", "", "four", ""], 2: [""] * 9, 3: ["plain " * 60] * 3}
+    lines = spark.createDataFrame([(r, k + 1, x) for r, t in texts.items() for k, x in enumerate(t)], "run_id long, line_no long, line string")
+    done = K.compact_lines(lines, p, force="passthrough")
+    want = {r: [x.rstrip() for k, x in enumerate(t) if x.strip() or not k or t[k - 1].strip()] for r, t in texts.items()}
+    got = {}
+    for x in K.number_lines(done).orderBy("run_id", "out_no").collect():
+        got.setdefault(x.run_id, []).append(x.line)
+    assert got == want
+    rows = lines.selectExpr("*", "0L AS block", "13L AS n_lines", "'passthrough' AS route", "false AS is_long", "'none' AS kind")
+    assert {x.line for x in K.blank_lines(rows, p, False).collect()} == {""}
+    plan = K.keep_lines(rows, p)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert "line" not in sample_facts(lines).columns
