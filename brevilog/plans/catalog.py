@@ -1098,15 +1098,16 @@ def st06_journal(spark, sf):
     """Runs that end in a stream of chunks become journal rows, once each, though their chunks come twice."""
     journal, out = (scratch_path(spark, n) for n in ("journal", "recorded"))
     chunks = stash(_chunks(spark, sf), "chunk-source")
-    path, stored, _ = _stored(chunks, "chunks", 2, F.xxhash64("run_id", "chunk_no"))
-    chunks.filter("chunk_no % 3 = 0").write.mode("append").parquet(path)
+    path, stored, files = _stored(chunks, "chunks", 2, F.xxhash64("run_id", "chunk_no"))
+    # A third micro-batch, whatever the size of the tables.
+    chunks.filter("chunk_no % 3 = 0").repartition(files).write.mode("append").parquet(path)
     ids = V.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct()
     begun = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     runs = ids.select(
         F.col("u").cast("string").alias("id"), F.array(F.lit("job"), F.col("u").cast("string")).alias("argv"), F.lit("/srv").alias("cwd"),
         begun.alias("started_at"), (begun + F.make_dt_interval(mins=F.lit(1))).alias("finished_at"), F.lit(0).alias("exit_code"),
         F.lit("logs/x.log").alias("log_path"), F.lit(None).cast("string").alias("intent"), (F.col("u") % 10 == 0).alias("is_tty"))
-    stream = live.read_stream(spark, path, stored.schema, files_per_batch=8)
+    stream = live.read_stream(spark, path, stored.schema, files_per_batch=files)
     live.start_chunk_compaction(stream, out, f"{out}-checkpoint", window=WINDOW, once=True, runs=runs, journal=journal).awaitTermination()
     return read_journal(spark, journal).select("id", "raw_bytes", "tokens_in", "tokens_out", _r6("savings_pct"), "archetype", "is_tty", "wall_ms")
 

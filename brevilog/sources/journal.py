@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import argv_from_json
 from ..schema import RUNS
+from ..session import stash
 
 DAY, PART = "day", "part"
 # Folders of a day. An append of few runs reads the ids of few of them.
@@ -69,10 +70,10 @@ def ids_like(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
 
 
 def append_new_runs(batch: DataFrame, path: str) -> None:
-    """Insert or ignore, by id alone. A batch that is written again adds nothing."""
-    spark = batch.sparkSession
+    """Insert or ignore, by id alone. A batch that is written again adds nothing. What the batch is made from is read once."""
+    spark, batch = batch.sparkSession, stash(batch.dropDuplicates(["id"]), "new-runs")
     if not _is_there(spark, path):  # first write
-        append_runs(batch.dropDuplicates(["id"]), path)
+        append_runs(batch, path)
         return
     append_runs(new_runs(batch, ids_like(spark, batch, path)), path)
 

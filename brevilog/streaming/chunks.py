@@ -208,9 +208,10 @@ class ChunkCompactor:
         zero = F.lit(0).cast("bigint")
         both = batch.unionByName(waiting).withColumn("span", _span(F.col("chunk_no")))
         seen = both.select("run_id", "span").distinct().join(known, "run_id", "left")
-        chunks = both.dropDuplicates(["run_id", "chunk_no"])
-        fresh = step(chunks.join(seen, ["run_id", "span"]).filter(
-            (F.col("chunk_no") >= F.coalesce("next_chunk", zero)) & ~F.coalesce("ended", F.lit(False))), "fresh")
+        # Rows are dealt by (run_id, span) for the join; copies of a chunk are then side by side.
+        todo = both.join(seen, ["run_id", "span"]).filter(
+            (F.col("chunk_no") >= F.coalesce("next_chunk", zero)) & ~F.coalesce("ended", F.lit(False)))
+        fresh = step(todo.dropDuplicates(["run_id", "span", "chunk_no"]), "fresh")
         ranked = number_within(fresh, ["run_id"], ["span"], [F.col("chunk_no")], "rank")
         # Numbers are distinct, so from the first gap on each is above its rank.
         ready = F.col("chunk_no") == F.coalesce("next_chunk", zero) + F.col("rank") - 1

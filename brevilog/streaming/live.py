@@ -12,6 +12,7 @@ from ..operators.classify import PASSTHROUGH
 from ..operators.compact import compact_lines, report, tty_bypass
 from ..params import DEFAULTS, Params
 from ..schema import RUNS
+from ..session import stash
 from ..sources.journal import append_new_runs
 from .chunks import ChunkCompactor, lines_of_chunks
 from .windows import WindowCompactor
@@ -71,9 +72,10 @@ def start_chunk_compaction(
 
 
 def finished_totals(chunks: DataFrame, intent: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """Journal totals of finished runs: one batch pass over each whole text, line ends as they came."""
+    """Journal totals of finished runs: one batch pass over each whole text, line ends as they came. Runs jobs."""
     raw = raw_totals(chunks).select("run_id", "raw_bytes")
-    lines = lines_of_chunks(chunks, exact=True)
+    # Written once: the classifier, the census and each way of compaction read them.
+    lines = stash(lines_of_chunks(chunks, exact=True), "finished-lines")
     totals = report(compact_lines(lines, p, intent=intent))
     # A run whose output holds no line has no row there.
     zero = F.lit(0).cast("bigint")

@@ -207,3 +207,18 @@ def test_append_reads_the_folders_of_its_ids_only(spark, runs, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan and "ReadSchema: struct<id:string>" in plan
     ids = {r.id for r in S.ids_like(spark, runs.filter("id = 'a'"), path).collect()}
     assert "a" in ids and ids < set("abcde")
+
+
+def test_new_runs_are_made_once(spark, runs, tmp_path):
+    """Runs of a stream are the result of a whole compaction, which an append to a stored journal reads once."""
+    path, made = str(tmp_path / "journal"), spark.sparkContext.accumulator(0)
+    rows = runs.withColumn("savings_pct", F.lit(0.0))
+    S.append_new_runs(rows.filter("id = 'a'"), path)
+
+    @F.udf("string")
+    def seen(text):
+        made.add(1)
+        return text
+    S.append_new_runs(rows.withColumn("id", seen(F.col("id"))), path)
+    assert made.value == rows.count()
+    assert sorted(r.id for r in S.read_journal(spark, path).collect()) == ["a", "b", "c", "d", "e"]

@@ -351,3 +351,18 @@ def test_chunk_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog, "scratch_path", lambda _, name: str(tmp_path / name))
     assert catalog.CATALOG["st08b_chunk_stream"][0](spark, "/root/testdata/sf0.001").count() > 0
     assert len(list(tmp_path.glob("chunks/*.parquet"))) > 3
+
+
+def test_lines_of_finished_runs_are_made_once(spark):
+    """One pass for the raw bytes; escapes are followed and lines put together once, whatever reads them."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def seen(data):
+        read.add(1)
+        return data
+    chunks = chunks_of(spark, 200).repartition(2).cache().withColumn("data", seen(F.col("data")))
+    lines_of_chunks(chunks, exact=True).write.format("noop").mode("overwrite").save()
+    once = read.value
+    assert len(live.finished_totals(chunks).collect()) == len(TEXTS)
+    assert read.value - once <= once + chunks.count()
