@@ -354,6 +354,31 @@ def test_all_training_rows_are_counted(docs):
     assert sorted(map(key, model.counts.collect())) == sorted(map(key, mixing_lm.context_counts(rows).collect()))
 
 
+def test_first_weights_learn_from_all_training_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of many, each with a number such as {i * 7919 % 1000}") for i in range(1200)], "doc_id long, text string")
+    seen, real = [], mixing_lm.first_weights
+
+    def spy(texts, *rest):
+        seen.extend(x.k1 for x in texts.collect())
+        return real(texts, *rest)
+    monkeypatch.setattr(mixing_lm, "first_weights", spy)
+    assert mixing_lm.score_documents(docs).count() == 1200
+    assert sorted(seen) == [i for i in range(1200) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+
+def test_fits_of_pieces_make_the_fit_of_the_whole():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(mixing_lm.ORDERS, 40_000)).astype(np.float32)
+    true = np.linspace(-0.1, 0.7, mixing_lm.ORDERS)
+    sign = np.where(r.random(x.shape[1]) < 1 / (1 + np.exp(-true @ x)), 1, -1).astype(np.float32)
+    parts = [mixing_lm.fit(x[:, k::4], sign[k::4]) for k in range(4)]
+    got = np.linalg.solve(sum(h for h, _ in parts), sum(b for _, b in parts))
+    hess, best = mixing_lm.fit(x, sign)
+    assert np.abs(got - np.linalg.solve(hess, best)).max() < 0.005 and np.abs(got - true).max() < 0.05
+    none = mixing_lm.fit(x[:, :0], sign[:0])
+    assert not none[0].any() and not none[1].any()
+
+
 def test_the_end_of_a_long_text_teaches_too():
     sign = np.ones(120_000, np.float32)
     sign[70_000:] = -1
