@@ -387,6 +387,46 @@ def test_the_end_of_a_long_text_teaches_too():
     assert cost < 0.5 * 50_000 * math.log(2)
 
 
+def test_contexts_travel_packed(spark, docs, rows):
+    """A block asks for its contexts by one row for each bucket, not for each context, and settings are put back."""
+    from brevilog.llm.common import keyed
+    before = {key: spark.conf.get(key, None) for key in mixing_lm.LEAN}
+    model = mixing_lm.train(keyed(docs, "doc_id", "text"))
+    held = model.blocks.select("block", "bucket").collect()
+    assert len(held) == len(set(held)) <= len({x.block for x in held}) * (mixing_lm.MIN_BUCKETS + 1)
+    assert len(held) * 10 < model.counts.count()
+    assert sorted(x.k1 for x in mixing_lm.score(model).collect() if x.k1 is not None) == sorted(i for i, *_ in rows if i is not None)
+    assert {key: spark.conf.get(key, None) for key in mixing_lm.LEAN} == before
+
+
+def test_packed_pairs_come_back():
+    r = np.random.default_rng(5)
+    for size in (0, 1, 9, 4000):
+        parts = [np.sort(np.unique(r.integers(0, 2**high, size, dtype=np.uint64))) for high in (12, 24, 40, 56, 63)]
+        got = mixing_lm.unpacked(mixing_lm.packed(parts))
+        assert all(np.array_equal(a, b) for a, b in zip(got, parts, strict=True))
+        n = [r.integers(0, 2**40, len(p)) for p in parts]
+        assert np.array_equal(mixing_lm._unpack_counts(mixing_lm._pack_counts(n)), np.concatenate(n))
+
+
+def test_odds_of_paths_are_sums_over_neighbours():
+    """Log-odds from runs of neighbours are those of counts below each node of the tree."""
+    r = np.random.default_rng(6)
+    code = mixing_lm.code_tree((1000 / (1 + np.arange(256)) ** 2).astype(np.int64))
+    pairs = np.unique(r.integers(0, 30, 600, dtype=np.uint64) << np.uint64(8) | code.rank[np.minimum(r.geometric(0.1, 600), 255)])
+    n = r.integers(0, 50, len(pairs))
+    odds, begin = mixing_lm.path_odds(code, pairs, n)
+    byte, ctx = code.byte[(pairs & np.uint64(255)).astype(int)], pairs >> np.uint64(8)
+    path = lambda b: [(int(code.node[code.first[b] + d]), int(code.sign[code.first[b] + d])) for d in range(code.size[b])]
+    count = collections.Counter()
+    for b, c, k in zip(byte, ctx, n, strict=True):
+        for step in path(b):
+            count[(c, *step)] += k
+    for b, c, lo in zip(byte, ctx, begin, strict=True):
+        want = [math.log((count[(c, node, 1)] + 0.3) / (count[(c, node, -1)] + 0.3)) for node, _ in path(b)]
+        assert np.allclose(odds[lo : lo + len(want)], want, atol=1e-4)
+
+
 # --- texts that collide in linear hashes ---------------------------------------------
 
 def two_letters(n, flip=False):
