@@ -425,6 +425,14 @@ def test_odds_of_paths_are_sums_over_neighbours():
     for b, c, lo in zip(byte, ctx, begin, strict=True):
         want = [math.log((count[(c, node, 1)] + 0.3) / (count[(c, node, -1)] + 0.3)) for node, _ in path(b)]
         assert np.allclose(odds[lo : lo + len(want)], want, atol=1e-4)
+    own = r.random(len(pairs)) < 0.3
+    own |= np.isin(ctx, np.setdiff1d(ctx, ctx[own]))  # a block asks for contexts that it has
+    fewer, sums = mixing_lm.beside(code, pairs, n, own)
+    assert own.sum() <= len(fewer) < len(pairs) and sums.sum() == n.sum()
+    less, at = mixing_lm.path_odds(code, fewer, sums)
+    place = dict(zip(fewer.tolist(), at.tolist(), strict=True))
+    for pair, b, lo in zip(pairs[own].tolist(), byte[own], begin[own], strict=True):
+        assert np.allclose(less[place[pair] : place[pair] + code.size[b]], odds[lo : lo + code.size[b]], atol=1e-5)
 
 
 # --- texts that collide in linear hashes ---------------------------------------------
