@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -435,6 +436,80 @@ def test_odds_of_paths_are_sums_over_neighbours():
         assert np.allclose(less[place[pair] : place[pair] + code.size[b]], odds[lo : lo + code.size[b]], atol=1e-5)
 
 
+def test_words_of_the_base_travel_packed(spark, docs, rows, monkeypatch):
+    """A block has one row for each bucket of words, not for each word."""
+    written, real = {}, mixing_lm.stash
+
+    def spy(df, name):
+        written[name] = real(df, name)
+        return written[name]
+    monkeypatch.setattr(mixing_lm, "stash", spy)
+    mixing_lm.score_documents(docs).count()
+    words = written["words"].select("block", "bucket").collect()
+    assert len(words) == len(set(words)) <= len({x.block for x in words}) * (mixing_lm.MIN_BUCKETS + 1)
+    assert len(words) < len({w for _, t, *_ in rows for w in words_of(t, lower=True)})
+
+
+def test_blocks_are_moved_in_groups(spark, monkeypatch):
+    """All blocks are in one group each, and scores don't depend on groups."""
+    docs = spark.createDataFrame([(i, f"text {i} of many " * 40) for i in range(60)], "doc_id long, text string").repartition(8)
+    path = mixing_lm.stash(docs, "docs")
+    whole = {x.doc_id: x.score for x in mixing_lm.score_documents(path).collect()}
+    monkeypatch.setattr(mixing_lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(mixing_lm, "first_weights", lambda *_: np.full((mixing_lm.GATES, mixing_lm.ORDERS), 0.3))
+    groups = {x.doc_id: x.score for x in mixing_lm.score_documents(path).collect()}
+    monkeypatch.setattr(mixing_lm, "WAVES", 1)
+    one = {x.doc_id: x.score for x in mixing_lm.score_documents(path).collect()}
+    assert whole.keys() == groups.keys() == one.keys()
+    assert all(abs(groups[k] - one[k]) < 1e-6 * abs(one[k]) for k in one)
+
+
+def test_the_jvm_scores_and_fits_as_numpy_does(spark):
+    """Mixing.java against path_odds, bits_of, mix_stream and fit, place by place."""
+    from brevilog.llm.jvm import function
+    from pyspark.sql.types import ArrayType, DoubleType
+    r = np.random.default_rng(8)
+    vocabulary = ["a", "of", "the", "number", "international", "internationally", "context", "\u00e9t\u00e9", "x" * 300]
+    texts = pa.array([" ".join(r.choice(vocabulary, n)) for n in (0, 1, 7, 900, 30, 3000)])
+    data, offs = mixing_lm.utf8(texts)
+    out, at, first = mixing_lm.normal(data, offs)
+    code = mixing_lm.code_tree(np.bincount(out[at], minlength=256))
+    place = np.zeros(len(out), bool)
+    place[at] = True
+    pairs, n = zip(*mixing_lm._block_pairs(code, [(out, place, np.ones(len(at), bool))]), strict=True)
+    counts = [v + r.integers(0, 9, len(v)) for v in n]
+    weights = r.normal(0.2, 0.1, (mixing_lm.GATES, mixing_lm.ORDERS))
+    held = [mixing_lm.packed(list(pairs))], [mixing_lm._pack_counts(counts)]
+
+    def jvm(weights, part_bytes=None):
+        row = pa.RecordBatch.from_arrays(mixing_lm.taken(code, weights, texts, *held, part_bytes), schema=mixing_lm._TAKEN_ARROW).to_pylist()
+        block = spark.createDataFrame([tuple(map(bytearray, row[0].values()))], mixing_lm._TAKEN)
+        return np.array(block.select(function(spark, "Mixing", ArrayType(DoubleType()))(*mixing_lm._TAKEN_ARROW.names)).first()[0])
+
+    # where each place is among the pairs of an order: by the bytes before it
+    word = [bytes(out[:p]).replace(b"\n", b" ").rpartition(b" ")[2] for p in at]
+    hashed = dict(zip(word, (mixing_lm.rolling_hashes(np.frombuffer(w, np.uint8).astype(np.uint64) + np.uint64(1), np.zeros(1, int), np.full(1, len(w))) for w in word), strict=True))
+    keys = [np.array([int.from_bytes(bytes(out[p - k : p]), "big") << 8 | int(code.rank[out[p]]) for p in at], np.uint64) for k in mixing_lm.LENGTHS]
+    keys.append(np.array([int(hashed[w][0]) >> 8 << 8 | int(code.rank[out[p]]) for w, p in zip(word, at, strict=True)], np.uint64))
+    rows = [np.searchsorted(p, k) for p, k in zip(pairs, keys, strict=True)]
+    assert all((p[i] == k).all() for p, i, k in zip(pairs, rows, keys, strict=True))
+
+    def gates(counts):
+        odds = [(values, begin[i]) for (values, begin), i in zip((mixing_lm.path_odds(code, *x) for x in zip(pairs, counts, strict=True)), rows, strict=True)]
+        return mixing_lm.bits_of(code, out[at], np.isin(out[at - 1], (0x20, 10)), odds)
+    want = sum(mixing_lm.mix_stream(x, sign, np.append(0, np.cumsum(m))[first], weights[g]) for g, (m, x, sign) in enumerate(gates(counts)))
+    assert np.allclose(jvm(weights), want, rtol=1e-4, atol=1e-4)
+    got = jvm(None, len(data) + 1).reshape(mixing_lm.GATES, -1)
+    rest = [c - v for c, v in zip(counts, n, strict=True)]
+    for g, (_, x, sign) in enumerate(gates(rest)):
+        hess, best = mixing_lm.fit(x[:, : -mixing_lm.STRIDE], sign[: -mixing_lm.STRIDE])
+        size = np.abs(hess).max() + 1e-9
+        assert np.allclose(got[g, 5:].reshape(5, 5) / size, hess / size, atol=2e-3) and np.allclose(got[g, :5] / size, best / size, atol=2e-3)
+    with pytest.raises(Exception, match="doesn't fit"):
+        held = [mixing_lm.packed([p[:0] for p in pairs])], [mixing_lm._pack_counts([v[:0] for v in n])]
+        jvm(weights)
+
+
 # --- texts that collide in linear hashes ---------------------------------------------
 
 def two_letters(n, flip=False):
